@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import common, langid, simhash, toxicity
+from hitwatch.llm import bpe, common, langid, simhash, toxicity
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
@@ -19,6 +19,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text decoded from them."""
+    docs = common.read(spark, sf_dir, "documents")
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
@@ -32,7 +45,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.predictor(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_simhash, op9_langid)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bpe, op5_simhash, op9_langid)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier over features scaled by naive Bayes log-count ratios.
 
-Presence of hashed character n-grams (3 to 5 code points of the lower-cased text) gives the naive Bayes
+Presence of hashed character n-grams (3 to 6 code points of the lower-cased text) gives the naive Bayes
 log-count ratios; the most significant n-grams become features, each scaled by its ratio, and an
 L2-regularised logistic regression is fitted on them. Labels come from a bounded sample of labelled rows
 (``max_rows``, documented parameter); every text is scored whole.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hitwatch.llm import common
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BITS = 20
 
 
@@ -98,7 +98,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     return coef * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, features: int = 4096, alpha: float = 0.5, penalty: float = 2e-4, rounds: int = 150, seed: int = 7) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, features: int = 2048, alpha: float = 1.0, penalty: float = 1e-3, rounds: int = 150, seed: int = 7) -> Toxicity:
     """Fit on at most about ``max_rows`` of the rows of ``labels``; its ids select the texts, so only those are moved."""
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
