@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, simhash, tokenstore, toxicity
+from hitwatch.llm import bpe, common, langid, media, simhash, tokenstore, toxicity, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
@@ -37,6 +37,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums and audio features of every document's bytes, read back from their stored form."""
+    return media.digests(media.store(common.read(spark, sf_dir, "documents")))
+
+
 def op7_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the token shards, and a checksum of its ids read back from them."""
     folder = common.scratch(spark, "tokens")
@@ -44,6 +49,13 @@ def op7_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(spark, folder, manifest)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives that its legacy record was converted to."""
+    folder = common.scratch(spark, "warc")
+    files = warc.write(common.read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 5 = 0 are never learned from."""
     docs = common.read(spark, sf_dir, "documents")
@@ -52,7 +64,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.predictor(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bpe, op5_simhash, op7_tokenstore, op9_langid)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {}
