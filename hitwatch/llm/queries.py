@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, media, simhash, tokenstore, toxicity, warc
+from hitwatch.llm import bpe, common, langid, media, mixing, simhash, tokenstore, topk, toxicity, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated to weights by the square roots of their sources' sizes, and shuffled with their texts."""
+    mixed = mixing.mix(common.read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "n_copies", "copy_no", "mix_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels of rows with crc32(doc_id) mod 4 = 2 are never used."""
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
@@ -64,7 +70,22 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.predictor(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows for every vector whose id is divisible by 50."""
+    return topk.search(common.read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk)}
 
 #: DuckDB twins, for what SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mix": mixing.ORACLE_SQL,
+    "op10_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
