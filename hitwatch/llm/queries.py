@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, media, mixing, simhash, tokenstore, topk, toxicity, warc
+from hitwatch.llm import bpe, common, langid, licenses, media, mixing, simhash, tokenstore, topk, toxicity, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    docs = common.read(spark, sf_dir, "documents")
+    index = licenses.build_index(licenses.document_frequencies(docs))
+    return licenses.report(licenses.scan(docs, index))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated to weights by the square roots of their sources' sizes, and shuffled with their texts."""
     mixed = mixing.mix(common.read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -75,7 +82,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {
