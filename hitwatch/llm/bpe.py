@@ -29,6 +29,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -197,6 +198,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def id_lists(ids: list[array]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype="i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(i.tobytes() for i in ids), "<u4").view("<i4")))
+
+
 def encoder(path: str, text_col: str = "text") -> Column:
     """Column of token ids (array of int) of a text column; ``path`` is the tokenizer's file, found on every executor."""
 
@@ -204,9 +210,7 @@ def encoder(path: str, text_col: str = "text") -> Column:
     def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for texts in batches:
-            ids = [own.encode(t) for t in texts.to_pylist()]
-            ends = np.cumsum([0, *(len(i) for i in ids)], dtype="i4")
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(i.tobytes() for i in ids), "<u4").view("<i4")))
+            yield id_lists([own.encode(t.as_py()) for t in texts])
 
     return bpe_encode(F.col(text_col))
 
@@ -218,15 +222,28 @@ def decoder(path: str, ids_col: str = "ids") -> Column:
     def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for ids in batches:
-            yield pa.array([None if i is None else own.decode(i) for i in ids.to_pylist()], pa.string())
+            yield pa.array([own.decode(i.values.to_numpy().tolist()) if i.is_valid else None for i in ids], pa.string())
 
     return bpe_decode(F.col(ids_col))
 
 
-def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids, decoded) for all rows of ``docs``."""
-    coded = docs.select(F.col(id_col), encoder(path, text_col).alias("ids"))
-    return coded.select(id_col, "ids", decoder(path, "ids").alias("decoded"))
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+    """Rows (id, ids, decoded) for all rows of ``docs``, handed on in small batches so that a worker's memory stays low."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            ids, decoded, first, held = [], [], 0, 0
+            for row, text in enumerate(batch.column(1), 1):
+                ids.append(own.encode(text.as_py()))
+                decoded.append(own.decode(ids[-1]))
+                held += 4 * len(ids[-1]) + len(decoded[-1])
+                if held >= batch_bytes or row == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, row - first), id_lists(ids), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+                    ids, decoded, first, held = [], [], row, 0
+
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    return rows.mapInArrow(work, StructType([rows.schema[0], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
