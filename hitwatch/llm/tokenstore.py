@@ -7,14 +7,13 @@ repeated attempts leave orphans that no reader opens. Reading back adds the ids
 
 Defined cases: a null text is empty and has just the end id; a null document id sorts first; documents with
 equal ids stay next to each other, in the order of their texts; an empty table makes no file and no row.
-Texts are split at single spaces (which no token crosses), each distinct piece is encoded once a worker.
+Words are tokenised independently of each other, so each distinct word is encoded once while a worker keeps it.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -95,66 +94,100 @@ class EliasFano:
         return ((ones - np.arange(self.n, dtype="u8")) << np.uint64(self.low_bits)) | self._lows(0, self.n)
 
 
-class Pieces:
-    """Token ids of texts; pieces between single spaces, and words in them, are encoded once while they are kept."""
+class Words:
+    """Token ids of texts whose words are tokenised independently: each distinct word is encoded once while it is kept.
 
-    #: Characters whose classes no Unicode version changes, and which are case-mapped one by one.
-    ODD = re.compile("[^\x00-įı-ɏ‐-‧€]|<\\|")
-    #: Fixed value: how the word-level pre-tokeniser splits lower-cased text of those characters.
-    WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9²³¹¼½¾A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
-    MOST = 400_000
+    Splitting, counting and gathering are Arrow and NumPy operations on whole batches. Texts with characters
+    beyond Latin letters and common punctuation, or with special tokens, are encoded whole by the library.
+    """
+
+    #: Letters, digits and white space of the characters handled here; all Unicode versions class and lower-case them alike.
+    LETTERS, DIGITS, SPACES = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾", "\t-\r\x85\xa0"
+    ODD = "[^\x00-įı-ɏ‐-‧€]|<\\|"
+    #: Fixed value: what the word-level pre-tokeniser takes besides runs of letters.
+    OTHERS = f"'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES} {DIGITS}{LETTERS}]+"
+    MOST = 300_000
+    SEPARATOR = "\x01"
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         parts = json.loads(self.library.to_str())
-        text = json.dumps([parts.get("normalizer"), parts.get("pre_tokenizer")])
-        #: White space is dropped, so pieces between spaces are independent.
-        self.by_pieces = '"Removed"' in text and '"Lowercase"' in text and "NFC" in text
+        rules = json.dumps([parts.get("normalizer"), parts.get("pre_tokenizer")])
+        self.by_words = '"Removed"' in rules and '"Lowercase"' in rules and "NFC" in rules
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.library.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of(self, pieces: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.MOST:
-            self.pieces.clear()
-        if len(self.words) > self.MOST:
-            self.words.clear()
-        new = [p for p in pieces if p not in self.pieces]
-        odd = [p for p in new if self.ODD.search(p)]
-        self.pieces.update(zip(odd, self._ask(odd), strict=True))
-        split = {p: self.WORDS.findall(p.lower()) for p in new if p not in self.pieces}
-        missing = list({w for words in split.values() for w in words} - self.words.keys())
-        for i in range(0, len(missing), 4096):
-            self.words.update(zip(missing[i : i + 4096], self._ask(missing[i : i + 4096]), strict=True))
-        self.pieces.update((p, b"".join(map(self.words.__getitem__, words))) for p, words in split.items())
-        return [self.pieces[p] for p in pieces]
+    def _ask(self, words: list[str], together: int = 256) -> list[bytes]:
+        """Ids of words, asked for in runs with a separator that is a token of its own."""
+        if self.mark is None or any(self.SEPARATOR in w for w in words):
+            return self._each(words)
+        runs = [words[i : i + together] for i in range(0, len(words), together)]
+        out: list[bytes] = []
+        for run, got in zip(runs, self.library.encode_batch_fast([f" {self.SEPARATOR} ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, f"<u{self.width}")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(run) - 1:
+                out += self._each(run)
+                continue
+            raw = ids.tobytes()
+            bounds = [0, *((ends + 1) * self.width).tolist(), len(raw) + self.width]
+            out += [raw[a : b - self.width] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def of(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        missing = []
+        for i, got in enumerate(found):
+            if got is None:
+                got = self.older.get(words[i])
+                if got is None:
+                    missing.append(i)
+                else:
+                    found[i] = self.known[words[i]] = got
+        for i, got in zip(missing, self._ask([words[i] for i in missing]), strict=True):
+            found[i] = self.known[words[i]] = got
+        if len(self.known) > self.MOST:  # words that stay in use move on to the next generation
+            self.known, self.older = {}, self.known
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         texts = pc.fill_null(texts, "")
-        if not self.by_pieces:
-            ids = self._ask(texts.to_pylist())
-            return np.frombuffer(b"".join(ids), f"<u{self.width}"), np.array([len(i) // self.width for i in ids])
-        split = pc.split_pattern(texts, " ")
+        if not self.by_words or pc.any(pc.match_substring_regex(texts, self.ODD)).as_py():
+            if self.by_words:
+                odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(odd[1:] != odd[:-1]) + 1).tolist(), len(odd)]
+                parts = [self._whole(texts.slice(a, b - a)) if odd[a] else self.encode(texts.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return self._whole(texts)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), self.OTHERS, r" \0 ")
+        split = pc.split_pattern(pc.replace_substring_regex(spaced, f"[{self.SPACES}]", " "), " ")
+        offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         ids = self.of(coded.dictionary.to_pylist())
-        flat, sizes = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.array([len(i) // self.width for i in ids], "i8")
+        flat, sizes = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.fromiter(map(len, ids), "i4", len(ids)) // self.width
         codes = coded.indices.to_numpy()
         each = sizes[codes]
-        begins, ends = (np.cumsum(sizes) - sizes)[codes], np.cumsum(each)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - each), each)
-        offsets = split.offsets.to_numpy()
-        return flat[at], np.add.reduceat(each, offsets[:-1] - offsets[0]) if len(texts) else np.zeros(0, "i8")
+        begins, ends = (np.cumsum(sizes, dtype="i4") - sizes)[codes], np.cumsum(each, dtype="i4")
+        at = np.arange(ends[-1] if len(ends) else 0, dtype="i4") + np.repeat(begins - (ends - each), each)
+        return flat[at], np.add.reduceat(each, offsets[:-1] - offsets[0]).astype("i8") if len(texts) else np.zeros(0, "i8")
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._each(texts.to_pylist())
+        return np.frombuffer(b"".join(ids), f"<u{self.width}"), np.array([len(i) // self.width for i in ids], "i8")
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def words(path: str) -> Words:
+    return Words(path)
 
 
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -218,7 +251,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
         raise ValueError("end_id must not be negative")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number = pieces(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, number = words(tokenizer), TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(folder)
         names: list[int | None] = []
         counts: list[np.ndarray] = []
