@@ -16,7 +16,12 @@ def explode_hits(events: DataFrame, planes: list[dict[str, str]], keep: list[str
     there = [p for p in planes if all(c in events.columns for c in p.values())]
     if not there:
         raise ValueError("no plane has all its columns")
-    hits = F.concat(*[F.coalesce(F.transform(zip_hits(**{k: F.col(f"`{c}`") for k, c in p.items()}), lambda h, i=i: F.struct(F.lit(i).alias("plane_ord"), *[h[k].alias(k) for k in p])), F.array()) for i, p in enumerate(there)])
+
+    def cleaned(number: int, plane: dict[str, str]):
+        zipped = zip_hits(**{k: F.col(f"`{c}`") for k, c in plane.items()})
+        return F.coalesce(F.transform(zipped, lambda h: F.struct(F.lit(number).alias("plane_ord"), *[h[k].alias(k) for k in plane])), F.array())
+
+    hits = F.concat(*[cleaned(i, p) for i, p in enumerate(there)])
     return events.select(*keep, F.posexplode(hits).alias("pos", "_h")).select(*keep, F.col("pos").cast("long").alias("pos"), "_h.*")
 
 

@@ -69,16 +69,16 @@ def used_frames(index: Column, layout: Layout, n_windows: int) -> Column:
     step = gcd(layout.size, layout.stride)
     first = F.greatest(F.ceil((index - layout.size + 1) / step).cast("long"), F.lit(0).cast("long"))
     starts = F.transform(F.sequence(first, F.floor(index / step).cast("long")), lambda j: j * step)
-    reach = (n_windows - 1) * layout.stride
+    return F.filter(starts, lambda f: is_used(f, layout, n_windows))
 
-    def used(f: Column) -> Column:
-        tests = [((f - w * layout.size) % layout.stride == 0) & (f - w * layout.size).between(0, reach) for w in range(layout.history + 1)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out | t
-        return out
 
-    return F.filter(starts, used)
+def is_used(start: Column, layout: Layout, n_windows: int) -> Column:
+    """Whether one of the first ``n_windows`` windows has a frame that starts there."""
+    out = F.lit(False)
+    for w in range(layout.history + 1):
+        at = start - w * layout.size
+        out = out | ((at % layout.stride == 0) & at.between(0, (n_windows - 1) * layout.stride))
+    return out
 
 
 def merge_features(grouped) -> DataFrame:
