@@ -24,7 +24,7 @@ def check_model(kind: str) -> str:
 
 def reconstruct(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray], out: str = "x_hat") -> DataFrame:
     """``df`` with ``fn`` of its vectors, called on batches (rows x length) of vectors of equal length; null stays null."""
-    shared = df.sparkSession.sparkContext.broadcast(fn)
+    # a function with a large model is sent once a job: Spark broadcasts serialised functions over 1 MB
 
     @F.arrow_udf("array<double>")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -33,7 +33,7 @@ def reconstruct(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarra
             result: list[np.ndarray | None] = [None] * len(rows)
             for length in {len(r) for r in rows if r is not None}:
                 at = [i for i, r in enumerate(rows) if r is not None and len(r) == length]
-                for i, y in zip(at, np.asarray(shared.value(np.stack([rows[i] for i in at])), float), strict=True):
+                for i, y in zip(at, np.asarray(fn(np.stack([rows[i] for i in at])), float), strict=True):
                     result[i] = y
             yield pa.array([None if r is None else r.tolist() for r in result], pa.list_(pa.float64()))
 
@@ -50,14 +50,13 @@ def predict_windows(nodes: DataFrame, edges: DataFrame, fn: Callable[[np.ndarray
 
     A window has at most as many rows as there are channels; windows are dealt out by their ids.
     """
-    shared = nodes.sparkSession.sparkContext.broadcast(fn)
     schema = StructType([nodes.schema["window_id"], nodes.schema["channel"], StructField("pred", ArrayType(DoubleType()))])
 
     def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("node_rank")
         if not len(left):
             return pd.DataFrame({"window_id": [], "channel": [], "pred": []})
-        pred = shared.value(np.stack(left["x"].to_numpy()), right[["src", "dst"]].to_numpy().T)
+        pred = fn(np.stack(left["x"].to_numpy()), right[["src", "dst"]].to_numpy().T)
         return pd.DataFrame({"window_id": left["window_id"], "channel": left["channel"], "pred": [np.asarray(p, float).tolist() for p in pred]})
 
     return nodes.select("window_id", "channel", "node_rank", "x").groupBy("window_id").cogroup(edges.select("window_id", "src", "dst").groupBy("window_id")).applyInPandas(work, schema)

@@ -134,7 +134,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """(run, good) from a JSON file of run lists ``good`` and ``bad``; repeated runs count once."""
     lists = spark.read.option("multiLine", True).json(path)
-    parts = [lists.select(F.explode(c).cast("long").alias("run"), F.lit(c == "good").alias("good")) for c in ("good", "bad") if c in lists.columns]
+    parts = [lists.select(F.explode(F.col(c).cast("array<long>")).alias("run"), F.lit(c == "good").alias("good")) for c in ("good", "bad") if c in lists.columns]
     if not parts:
         raise ValueError("a run list needs good or bad runs")
     out = parts[0]

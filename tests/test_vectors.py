@@ -1,0 +1,99 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from hitwatch.functions import keys
+from hitwatch.functions import vectors as vec
+
+
+def one(spark, column, schema="a array<double>", value=(None,)):
+    return spark.createDataFrame([value], schema).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("given", "dim"), [(100, 256), (300, 256), (0, 16)])
+def test_pad_and_truncate(spark, given, dim):
+    values = [float(i + 1) for i in range(given)]
+    assert one(spark, vec.pad(F.col("a"), dim), value=(values,)) == (values + [0.0] * dim)[:dim]
+
+
+def test_pad_of_null_is_zeros(spark):
+    assert one(spark, vec.pad(F.col("a"), 3)) == [0.0] * 3
+
+
+def test_flatten_nested_waveform(spark):
+    assert one(spark, vec.flatten_waveform(F.col("a")), "a array<array<float>>", ([[1.0, 2.0], [3.0]],)) == [1.0, 2.0, 3.0]
+
+
+def interleaved(spark, a, b, c=None, **kw):
+    df = spark.createDataFrame([(a, b, c)], "a array<double>, b array<double>, c array<double>")
+    return df.select(vec.interleave([F.col("a"), F.col("b"), F.col("c")], **kw).alias("x")).first()["x"]
+
+
+def test_interleave(spark):
+    assert interleaved(spark, [1.0, 2.0], [3.0, 4.0]) == [1.0, 3.0, 2.0, 4.0]  # c is absent and takes no place
+    assert interleaved(spark, [1.0, 2.0, 9.0], [3.0]) == [1.0, 3.0, 2.0, 0.0, 9.0, 0.0]
+    assert interleaved(spark, [], []) == []
+    assert interleaved(spark, None, None) == []
+
+
+def test_interleave_whole_hits(spark):
+    assert interleaved(spark, [1.0, 2.0, 3.0], [4.0], hits=2) == [1.0, 4.0, 2.0, 0.0]
+    assert interleaved(spark, [1.0], [4.0], hits=3) == [1.0, 4.0, 0.0, 0.0, 0.0, 0.0]
+    with pytest.raises(ValueError):
+        vec.interleave([F.col("a")], hits=0)
+
+
+def test_zscores_without_spread(spark):
+    assert one(spark, vec.zscore_keep(F.col("a")), value=([2.0] * 3,)) == [2.0] * 3
+    assert one(spark, vec.zscore_unit(F.col("a")), value=([2.0] * 3,)) == [0.0] * 3
+
+
+def test_zscore_has_unit_population_deviation(spark):
+    got = one(spark, vec.zscore_keep(F.col("a")), value=([1.0, 2.0, 3.0, 10.0],))
+    assert math.isclose(sum(got), 0, abs_tol=1e-12) and math.isclose(sum(x * x for x in got) / 4, 1)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_repair(spark, bad):
+    df = spark.createDataFrame([([1.0, bad],)], "a array<double>")
+    row = df.select(vec.repair(vec.zscore_keep(vec.pad(F.col("a"), 8))).alias("x"), vec.has_non_finite(F.col("a")).alias("f")).first()
+    assert row["f"] and len(row["x"]) == 8 and all(map(math.isfinite, row["x"]))
+
+
+def test_zip_cuts_to_the_shortest_and_drops_negative_channels(spark):
+    df = spark.createDataFrame([([5, -1, 7, 8], [1.0, 2.0, 3.0])], "c array<int>, q array<double>")
+    got = df.select(vec.zip_hits(channel=F.col("c"), integral=F.col("q")).alias("h")).first()["h"]
+    assert [tuple(h) for h in got] == [(5, 1.0), (7, 3.0)]
+
+
+def test_pad_to_longest(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0]), (3, None)], "i int, x array<double>")
+    assert {r["i"]: r["x"] for r in vec.pad_to_longest(df, "x").collect()} == {1: [1.0, 0, 0], 2: [1.0, 2.0, 3.0], 3: [0.0] * 3}
+
+
+def test_feature_label(spark):
+    rows = spark.range(4).select(vec.feature_label(F.col("id"), ["q", "t"]).alias("l")).select("l.*").collect()
+    assert [tuple(r) for r in rows] == [("q", 0), ("t", 0), ("q", 1), ("t", 1)]
+
+
+def test_key_names():
+    assert keys.key_columns(["meta.run", "meta.subrun", "meta.evt", "event"]) == {"run": "meta.run", "subrun": "meta.subrun", "evt": "meta.evt"}
+    assert keys.hit_prefixes(["hits1.h.time", "hits0.h.channel", "hits0.h.time", "run"]) == ["hits0.h", "hits1.h"]
+    assert keys.ordered_union(["a", "b"], ["b", "c", "a"]) == ["a", "b", "c"]
+    assert keys.split_metadata(["meta.run", "hits0.h.a"], ["meta.run"]) == (["meta.run"], ["hits0.h.a"])
+    assert keys.slug("hits0.h.sp-x ") == "hits0_h_sp_x" and keys.slug("--") == "branch"
+
+
+def test_sort_and_provenance_keys(spark):
+    df = spark.createDataFrame([(None,), (0,), (7,)], "r long")
+    get = lambda c: [r[0] for r in df.select(c).collect()]
+    assert get(keys.sort_key(F.col("r"))) == [999999999, 0, 7]
+    assert get(keys.sort_key(F.col("r"), zero_is_missing=True)) == [999999999, 999999999, 7]
+    assert get(keys.provenance_key(F.col("r"))) == [-1, 0, 7]
+    assert get(keys.provenance_key(F.col("r"), zero_is_missing=True)) == [-1, -1, 7]
+
+
+def test_whole_or_minus_one(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.0,), (5.0,)], "x double")
+    assert [r[0] for r in df.select(keys.whole_or_minus_one(F.col("x"))).collect()] == [-1, -1, 0, 5]
