@@ -1,11 +1,12 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Vectors become whole numbers (floor of ``scale`` times each component). An index block holds, for each
-dimension, its postings in the order of their values, so for a query the postings of largest impact - its own
-component times how far a value exceeds the dimension's least useful one - are a prefix or suffix. All
-dimensions are processed together by descending impact level; what is left unprocessed bounds how much any
-vector can still gain. When that bound proves that few vectors can be in the first ``k``, processing stops
-and those are rescored exactly. Nothing depends on when it stops but time.
+Vectors become whole numbers (floor of ``scale`` times each component). In an index block, a component's
+impact is what it exceeds its dimension's smallest value by, quantised in levels: a first segment of postings
+holds the impacts' leading digits, each further one the next digits. Every vector has a posting in every
+dimension, so a segment is a dense matrix of digits, and a pack of queries takes it up in one product. Segments go by
+descending impact; what the digits not yet seen can add at most and at least bounds every score. A query
+stops when these bounds prove that only few vectors can be among its best ``k`` - at the latest after the
+last segment, when bounds are exact - and those are rescored exactly, so results never depend on where it stopped.
 
 Blocks and packs of queries meet by block number: every query pack visits every block, so the whole query
 set is searched against all rows; a query's best rows of each block are then ranked by a window.
@@ -31,62 +32,63 @@ from hitwatch.llm import common
 
 BLOCK_ROWS = 16_384
 PACK_ROWS = 512
-#: Impact level of each round, as a share of the one before.
-FALL = 0.6
+#: Lowest bit of each segment's digits, by descending impact.
+SEGMENTS = (6, 4, 3, 2, 1, 0)
+#: Queries taken up together: bounds the table of partial scores.
+TOGETHER = 128
 _PACKED = "block long, kind int, dim int, ids binary, marks binary, vectors binary"
 
 
 class ImpactIndex:
-    """Postings of one block of vectors."""
+    """Posting segments of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype("i4").T.copy()
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
-
-    def search(self, query: np.ndarray, own: int, k: int, enough: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the best ``k`` vectors but ``own``."""
-        n, dims = self.vectors.shape
-        query = query.astype("i8")
-        used = np.flatnonzero(query)
-        gained = np.zeros(n, "i8")
-        barred = self.ids == own
-        if n > enough and len(used):
-            low = np.zeros(dims, "i8")  # postings at either end that are not processed yet
-            high = np.full(dims, n)
-            ahead = np.zeros(dims, "i8")
-            ahead[used] = np.abs(query[used]) * (self.values[used, -1].astype("i8") - self.values[used, 0])
-            level = float(ahead.max())
-            while True:
-                level *= FALL
-                for d in used[ahead[used] > 0]:
-                    q, values = int(query[d]), self.values[d]
-                    if ahead[d] < level and level >= 1:
-                        continue
-                    if q > 0:
-                        base = int(values[0])
-                        cut = int(np.searchsorted(values[: high[d]], base + level / q, "left")) if level >= 1 else 0
-                        part = slice(cut, high[d])
-                        high[d] = cut
-                        ahead[d] = q * (int(values[cut - 1]) - base) if cut else 0
-                    else:
-                        base = int(values[-1])
-                        cut = int(np.searchsorted(values[low[d] :], base + level / q, "right")) + low[d] if level >= 1 else n
-                        part = slice(low[d], cut)
-                        low[d] = cut
-                        ahead[d] = q * (int(values[cut]) - base) if cut < n else 0
-                    gained[self.order[d, part]] += q * (values[part].astype("i8") - base)
-                rest = int(ahead.sum())
-                known = np.where(barred, -1, gained)
-                bar = np.partition(known, n - k)[n - k]
-                members = np.flatnonzero((gained + rest >= bar) & ~barred)
-                if not rest or len(members) <= enough:
-                    break
-        else:
-            members = np.flatnonzero(~barred)
-        scores = self.vectors[members].astype("i8") @ query
-        best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best]
+        self.ids, self.vectors = ids, vectors.astype("i8")
+        self.base = self.vectors.min(0)
+        impacts = self.vectors - self.base
+        self.segments, seen = [], np.zeros_like(impacts)
+        for low in SEGMENTS:
+            digits = (impacts >> low << low) - seen
+            seen += digits
+            self.segments.append(((1 << low) - 1, digits.astype("f8")))
+        self.most = impacts.max(0)  # of each dimension
+
+    def _bests(self, queries: np.ndarray, barred: np.ndarray, k: int, enough: int) -> list[np.ndarray]:
+        """For each query, the rows that can be among its best ``k``; ``barred`` rows cannot."""
+        n = len(self.ids)
+        open_, members = np.arange(len(queries)), [np.flatnonzero(~b) for b in barred]
+        if n <= enough:
+            return members
+        if float(np.abs(queries).astype("f8").max(initial=0)) * float(self.most.sum()) >= 1 << 53:
+            return members  # sums might not be exact in floating point: all rows are rescored in whole numbers
+        part = np.zeros((len(queries), n))
+        part[barred] = -np.inf
+        for rest, digits in self.segments:
+            part[open_] += queries[open_].astype("f8") @ digits.T
+            left = np.minimum(self.most, rest)
+            over = (np.maximum(queries[open_], 0) @ left).astype("f8")
+            under = (np.minimum(queries[open_], 0) @ left).astype("f8")
+            bars = np.partition(part[open_], n - k, axis=1)[:, n - k] + under  # at least k rows reach this
+            still = []
+            for q, bar, high in zip(open_, bars, over, strict=True):
+                members[q] = np.flatnonzero((part[q] + high >= bar) & ~barred[q])
+                if len(members[q]) > enough:
+                    still.append(q)
+            open_ = np.array(still, int)
+            if not len(open_):
+                break
+        return members
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and exact scores of the best ``k`` vectors for each query, without those of its own id."""
+        queries = queries.astype("i8")
+        for i in range(0, len(queries), TOGETHER):
+            pack = queries[i : i + TOGETHER]
+            barred = own[i : i + TOGETHER, None] == self.ids
+            for query, rows in zip(pack, self._bests(pack, barred, k, max(2 * k, len(self.ids) // 64)), strict=True):
+                scores = self.vectors[rows] @ query
+                best = np.lexsort((self.ids[rows], -scores))[:k]
+                yield self.ids[rows][best], scores[best]
 
 
 def _pack(kind: int, rows: int):
@@ -141,7 +143,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                 if row["kind"] == 0:
                     own.setdefault(dim, []).append(ImpactIndex(ids, table))
                     continue
-                out = [(i, m, *hit) for part in own.get(dim, ()) for i, m, q in zip(ids, marks, table, strict=True) for hit in zip(*part.search(q, int(i), k), strict=True)]
+                out = [(i, m, *hit) for part in own.get(dim, ()) for i, m, found in zip(ids, marks, part.search(table, ids, k), strict=True) for hit in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([],) * 4)], names=["query_id", "mark", "vec_id", "score"])
 
     best = met.mapInArrow(match, "query_id long, mark long, vec_id long, score long")
