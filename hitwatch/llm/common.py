@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitwatch.sources.scratch import Stored, discard, scratch, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "Stored", "bounded", "crc_fold", "discard", "read", "scratch", "shared_dir"]
+
 #: Sides of a join up to this many rows are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -17,41 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='hitwatch-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/hitwatch/{label}-{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path on whatever file system holds it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Stored:
-    """A DataFrame written to the shared folder and read again: its lineage ends there, so lost executors cost no rework."""
-
-    def __init__(self, df: DataFrame, label: str) -> None:
-        self.spark = df.sparkSession
-        self.path = scratch(self.spark, label)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def discard(self) -> None:
-        discard(self.spark, self.path)
-
-
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the id as decimal text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds

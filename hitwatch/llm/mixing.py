@@ -38,17 +38,17 @@ def poisson_cdf(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str | None, float] | None, *, source_col: str, temperature: float, total: int | None) -> DataFrame:
-    """Rows (_source, _rate) of sources with a positive rate."""
-    sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("_n"))
+    """Rows (_hw_source, _hw_rate) of sources with a positive rate."""
+    sizes = docs.groupBy(F.col(source_col).alias("_hw_source")).agg(F.count("*").alias("_hw_n"))
     if targets is None:
-        weighted = sizes.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(temperature)))
+        weighted = sizes.withColumn("_hw_w", F.pow(F.col("_hw_n").cast("double"), F.lit(temperature)))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_target string, _w double")
-        weighted = sizes.join(given, F.col("_source").eqNullSafe(F.col("_target"))).drop("_target")
-    sums = weighted.agg(F.sum("_w").alias("w")).first()
-    whole = sizes.agg(F.sum("_n").alias("n")).first()["n"] if total is None else total
-    share = F.col("_w") / F.lit(sums["w"] or 1.0)
-    return weighted.filter("_w > 0").select("_source", (share * F.lit(float(whole or 0)) / F.col("_n")).alias("_rate")).filter("_rate > 0")
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_hw_target string, _hw_w double")
+        weighted = sizes.join(given, F.col("_hw_source").eqNullSafe(F.col("_hw_target"))).drop("_hw_target")
+    sums = weighted.agg(F.sum("_hw_w").alias("w")).first()
+    whole = sizes.agg(F.sum("_hw_n").alias("n")).first()["n"] if total is None else total
+    share = F.col("_hw_w") / F.lit(sums["w"] or 1.0)
+    return weighted.filter("_hw_w > 0").select("_hw_source", (share * F.lit(float(whole or 0)) / F.col("_hw_n")).alias("_hw_rate")).filter("_hw_rate > 0")
 
 
 def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", temperature: float = 0.5, total: int | None = None, seed: int = 2024, copy_col: str = "copy_no", count_col: str = "n_copies", key_col: str = "mix_key") -> DataFrame:
@@ -60,20 +60,20 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, *, id_c
     if clash := {copy_col, count_col, key_col} & set(docs.columns):
         raise ValueError(f"columns are there already: {sorted(clash)}")
     rate = rates(docs, targets, source_col=source_col, temperature=temperature, total=total)
-    parts = F.ceil(F.col("_rate") / PART).cast("int")
-    table = rate.withColumn("_parts", parts).select("_source", "_parts", poisson_cdf(F.col("_rate") / F.col("_parts")).alias("_cdf"))
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    parts = F.ceil(F.col("_hw_rate") / PART).cast("int")
+    table = rate.withColumn("_hw_parts", parts).select("_hw_source", "_hw_parts", poisson_cdf(F.col("_hw_rate") / F.col("_hw_parts")).alias("_hw_cdf"))
+    same = F.col(source_col).eqNullSafe(F.col("_hw_source"))
     if table.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_own", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
+        salted = table.withColumn("_hw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn("_hw_own", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_hw_own") == F.col("_hw_salt"))).drop("_hw_own", "_hw_salt")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = lambda part: uniform(F.concat_ws("|", F.lit(str(seed)), part.cast("string"), name))
     # the array of one element holds each number, so that it is hashed once and not for each step of the function
-    inverse = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
-    number = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), draw), F.lit(0), lambda n, u: n + inverse(u))
-    counted = joined.withColumn(count_col, number).drop("_source", "_parts", "_cdf").filter(F.col(count_col) > 0)
+    inverse = lambda u: F.size(F.filter("_hw_cdf", lambda c: c <= u))
+    number = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_hw_parts")), draw), F.lit(0), lambda n, u: n + inverse(u))
+    counted = joined.withColumn(count_col, number).drop("_hw_source", "_hw_parts", "_hw_cdf").filter(F.col(count_col) > 0)
     copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(count_col) - 1)))
     keyed = copies.withColumn(key_col, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("shuffle"), name, F.col(copy_col).cast("string")).cast("binary")))
     return keyed.repartition(key_col).sortWithinPartitions(key_col)

@@ -224,13 +224,13 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A component without any non-null id keeps all its rows.
     """
     marked = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, near=near)
-    gone = common.Stored(marked.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "duplicates").df
+    gone = common.Stored(marked.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_hw_gone")).distinct(), "duplicates").df
     nulls = marked.filter(F.col(id_col).isNull() & F.col("component_id").isNotNull()).limit(1).count()
     small = gone.count() <= common.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_hw_gone"), "left_anti")
     if not nulls:
         return kept
     # rows with a null id can only be told apart by their own fingerprints
-    twins = marked.filter(F.col("component_id").isNotNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct()
-    bare = kept.filter(F.col(id_col).isNull()).withColumn("_fp", fingerprints(text_col, words)).join(twins, "_fp", "left_anti").drop("_fp")
+    twins = marked.filter(F.col("component_id").isNotNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_hw_fp")).distinct()
+    bare = kept.filter(F.col(id_col).isNull()).withColumn("_hw_fp", fingerprints(text_col, words)).join(twins, "_hw_fp", "left_anti").drop("_hw_fp")
     return kept.filter(F.col(id_col).isNotNull()).unionByName(bare)

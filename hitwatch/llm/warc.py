@@ -6,7 +6,7 @@ bodies by their declared lengths, and synthesises what WARC needs: a record id (
 the archived place), an ISO timestamp from the 14-digit date, type and MIME type, and block and payload digests.
 
 Duplicates: of records with equal payloads of at least ``least`` bytes, that with the smallest id becomes a
-response, the others revisit it. Equality is by SHA-1, SHA-256 and length, found by a grouped minimum.
+response, the others revisit it. Equality is by SHA-256 and length, found by a grouped minimum.
 
 Defined cases: a null payload is empty; null URLs, types or dates become ``-`` in ARC and placeholders in
 WARC; white space in a URL is percent-encoded; rows with a null id are archived as responses and come back
@@ -26,7 +26,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitwatch.llm import common
@@ -140,17 +140,21 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def owners(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
-    """Rows (_id, _owner): pages that revisit another, by grouped minimum over digests; no group is gathered."""
+    """Rows (_id, _sha, _owner): payloads that revisit another page's, by a grouped minimum over digests; no group is gathered."""
+    marked = _marked(pages, id_col, payload_col).select("_id", "_sha", F.length("_body").alias("_n")).filter(f"_n >= {int(least)} AND _id IS NOT NULL")
+    groups = marked.groupBy("_sha", "_n").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).filter("_last > _owner")
+    return marked.join(groups, ["_sha", "_n"]).filter("_id > _owner").select("_id", "_sha", "_owner").distinct()
+
+
+def _marked(pages: DataFrame, id_col: str, payload_col: str, *more: Column) -> DataFrame:
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    marked = pages.select(F.col(id_col).cast("long").alias("_id"), F.sha1(body).alias("_s1"), F.sha2(body, 256).alias("_s2"), F.length(body).alias("_n")).filter(f"_n >= {int(least)} AND _id IS NOT NULL")
-    groups = marked.groupBy("_s1", "_s2", "_n").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).filter("_last > _owner")
-    return marked.join(groups, ["_s1", "_s2", "_n"]).filter("_id > _owner").select("_id", "_owner").distinct()
+    return pages.select(F.col(id_col).cast("long").alias("_id"), *more, body.alias("_body")).withColumn("_sha", F.sha2("_body", 256))
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", mime: str = "text/html", date: str = "20240101000000", version: int = 1, least: int = 0, file_bytes: int = 64 << 20) -> list[str]:
     """Pack ``pages`` as ARC, convert to WARC files under ``folder``; returns the files of committed tasks."""
-    base = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(payload_col).cast("binary").alias("_body"))
-    rows = base.join(owners(pages, id_col, payload_col, least), "_id", "left").select("_id", "_url", "_body", "_owner")
+    base = _marked(pages, id_col, payload_col, F.col(url_col).cast("string").alias("_url"))
+    rows = base.join(owners(pages, id_col, payload_col, least), ["_id", "_sha"], "left").select("_id", "_url", "_body", "_owner")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
