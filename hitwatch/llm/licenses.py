@@ -115,7 +115,7 @@ def _scan(text_words: Column, index: list[Notice], least: float) -> Column:
     return F.get(F.transform(F.array(text_words), of), F.lit(0))
 
 
-def scan(docs: DataFrame, index: list[Notice], *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, index: list[Notice], *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """Rows (id, n_words, found): the notices found, each with label, base, start and share of its weight in place."""
     return docs.select(F.col(id_col), _scan(words(text_col), index, least).alias("_s")).select(id_col, "_s.n_words", "_s.found")
 

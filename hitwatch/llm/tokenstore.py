@@ -271,7 +271,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             return row
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), min(4 << 20, 2 * shard_ids)):
                 flat, each = own.encode(batch.column(1).slice(a, b - a))
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 counts.append(each + 1)

@@ -80,10 +80,9 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         body = bytes(view[begin:stop])
         if fields is None:
             lines = body.decode("utf-8").splitlines()
-            version = int(lines[0].split(" ")[0]) if lines else 0
-            if not values[0].startswith("filedesc://") or version not in ARC_FIELDS or tuple(lines[1].split(" ")) != ARC_FIELDS[version]:
+            fields = next((f for v, f in ARC_FIELDS.items() if len(lines) > 1 and lines[0].split(" ")[0] == str(v) and tuple(lines[1].split(" ")) == f), None)
+            if fields is None or not values[0].startswith("filedesc://"):
                 raise ValueError("not an ARC version block")
-            fields = ARC_FIELDS[version]
         else:
             if len(values) != len(fields):
                 raise ValueError(f"ARC header has {len(values)} fields, not {len(fields)}")
