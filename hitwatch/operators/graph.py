@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hitwatch.functions.vectors import bound
 from hitwatch.operators.windows import DEFAULT_FEATURES, Layout, check_features
 
 
@@ -20,31 +21,32 @@ def assemble(frames: DataFrame, layout: Layout, n_windows: int) -> DataFrame:
     return frames.withColumn("_p", F.explode(places)).select((F.col("_p.at") / layout.stride).cast("long").alias("window_id"), F.col("_p.w").alias("w"), *[c for c in frames.columns if c != "frame_start"])
 
 
-def _size(features: Sequence[str]) -> Column:
+def feature_size(features: Sequence[str]) -> Column:
+    """Sum of the features' absolute values."""
     out = F.lit(0.0)
     for f in features:
         out = out + F.abs(F.col(f))
     return out
 
 
-def rank_nodes(nodes: DataFrame) -> DataFrame:
-    """Adds node_rank (by channel) and rank_index = rank / (nodes - 1) within each window."""
-    w = W.partitionBy("window_id")
-    rank = F.row_number().over(w.orderBy("channel")) - 1
-    return nodes.select("window_id", "channel", rank.cast("long").alias("node_rank"), F.count("*").over(w).alias("_m")).withColumn("rank_index", F.col("node_rank") / F.greatest(F.col("_m") - 1, F.lit(1))).drop("_m")
-
-
 def active_nodes(assembled: DataFrame, layout: Layout, n_windows: int, features: Sequence[str] = DEFAULT_FEATURES, least: float = 1e-6) -> DataFrame:
-    """(window_id, channel, node_rank, rank_index) of channels with past activity; channel 0 where there is none."""
-    check_features(features)
-    active = assembled.filter(F.col("w") < layout.history).groupBy("window_id", "channel").agg(F.sum(_size(features)).alias("_a")).filter(F.col("_a") > least).select("window_id", "channel")
-    idle = assembled.sparkSession.range(n_windows).select(F.col("id").alias("window_id")).join(active.select("window_id").distinct(), "window_id", "left_anti")
-    return rank_nodes(active.union(idle.select("window_id", F.lit(0).cast("long").alias("channel"))))
+    """(window_id, channel, node_rank, rank_index) of channels with past activity; channel 0 where there is none.
+
+    Rows are dealt by window once: sums by channel, ranks and counts all happen there. Each window gets one spare
+    row that sorts after its active channels and stays only if there are none.
+    """
+    size = feature_size(check_features(features))
+    dealt = assembled.filter(F.col("w") < layout.history).select("window_id", "channel", size.alias("_a")).repartition("window_id")
+    active = dealt.groupBy("window_id", "channel").agg(F.sum("_a").alias("_a")).filter(F.col("_a") > least).select("window_id", "channel", F.lit(1).alias("_real"))
+    spare = assembled.sparkSession.range(n_windows).select(F.col("id").alias("window_id"), F.lit(0).cast("long").alias("channel"), F.lit(0).alias("_real"))
+    w = W.partitionBy("window_id")
+    ranked = active.union(spare).select("*", (F.row_number().over(w.orderBy(F.desc("_real"), "channel")) - 1).cast("long").alias("node_rank"), F.sum("_real").over(w).alias("_m"))
+    return ranked.filter("_real = 1 OR _m = 0").select("window_id", "channel", "node_rank", (F.col("node_rank") / F.greatest(F.col("_m") - 1, F.lit(1))).alias("rank_index"))
 
 
 def collate_nodes(assembled: DataFrame, n_channels: int, features: Sequence[str] = DEFAULT_FEATURES, max_nodes: int | None = None) -> DataFrame:
     """(window_id, channel, node_rank, channel_index): activity of past or target, lowest channels first, at most ``max_nodes``."""
-    active = assembled.groupBy("window_id", "channel").agg(F.sum(_size(check_features(features))).alias("_a")).filter("_a > 0")
+    active = assembled.groupBy("window_id", "channel").agg(F.sum(feature_size(check_features(features))).alias("_a")).filter("_a > 0")
     ranked = active.withColumn("node_rank", (F.row_number().over(W.partitionBy("window_id").orderBy("channel")) - 1).cast("long"))
     kept = ranked if max_nodes is None else ranked.filter(F.col("node_rank") < max_nodes)
     return kept.select("window_id", "channel", "node_rank", channel_index(F.col("channel"), n_channels).alias("channel_index"))
@@ -84,25 +86,56 @@ def band_edges(spark: SparkSession, n: int, radius: int = 4) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.greatest(F.col("id") - radius, F.lit(0)), F.least(F.col("id") + radius, F.lit(n - 1)))).alias("dst"))
 
 
+def _by_window(nodes: DataFrame, *columns: str) -> DataFrame:
+    """A row a window with its nodes by channel, as many as there are channels at most."""
+    return nodes.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("channel", *columns))).alias("_n"))
+
+
+def _near(nodes: Column, x: Column, i: Column, radius: int) -> Column:
+    """Nodes within the radius of node number ``i``: channels are distinct, so they are at most ``radius`` places away."""
+    first = F.greatest(i - radius, F.lit(0))
+    return F.filter(F.slice(nodes, first + 1, i + radius - first + 1), lambda y: F.abs(y["channel"] - x["channel"]) <= radius)
+
+
 def pruned_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """(window_id, src, dst, src_channel, dst_channel): band edges between active nodes, by rank; an equi-join on the channel."""
-    reach = nodes.select("window_id", F.col("node_rank").alias("src"), F.col("channel").alias("src_channel"), F.explode(F.sequence(F.col("channel") - radius, F.col("channel") + radius)).alias("dst_channel"))
-    other = nodes.select("window_id", F.col("node_rank").alias("dst"), F.col("channel").alias("dst_channel"))
-    return reach.join(other, ["window_id", "dst_channel"]).select("window_id", "src", "dst", "src_channel", "dst_channel")
+    """(window_id, src, dst, src_channel, dst_channel): band edges between active nodes, by rank."""
+    ends = lambda x, y: F.struct(x["node_rank"].alias("src"), y["node_rank"].alias("dst"), x["channel"].alias("src_channel"), y["channel"].alias("dst_channel"))
+    edges = bound(F.col("_n"), lambda n: F.flatten(F.transform(n, lambda x, i: F.transform(_near(n, x, i, radius), lambda y: ends(x, y)))))
+    return _by_window(nodes, "node_rank").select("window_id", F.inline(edges))
+
+
+def _with_values(nodes: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    key = ["window_id", "channel"]
+    joined = nodes.select(*key).join(values.select(*key, *columns), key, "left")
+    return _by_window(joined, *columns)
+
+
+def _sum(items: Column, pick) -> Column:
+    """Sum of what there is, null where there is nothing."""
+    return F.aggregate(items, F.lit(None).cast("double"), lambda s, y: F.when(pick(y).isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + pick(y)))
 
 
 def neighbour_sum(nodes: DataFrame, values: DataFrame, radius: int = 4, columns: Sequence[str] = ("value",)) -> DataFrame:
-    """Sum of the neighbours' values (window_id, channel, columns...), each node's own among them."""
-    got = values.select("window_id", F.col("channel").alias("src_channel"), *columns)
-    return pruned_edges(nodes, radius).join(got, ["window_id", "src_channel"]).groupBy("window_id", F.col("dst_channel").alias("channel")).agg(*[F.sum(c).alias(c) for c in columns])
+    """Sum of the neighbours' values (window_id, channel, columns...), each node's own among them; nodes without any have no row."""
+
+    def summed(n: Column) -> Column:
+        return F.transform(n, lambda x, i: bound(_near(n, x, i, radius), lambda near: F.struct(x["channel"].alias("channel"), *[_sum(near, _picker(c)).alias(c) for c in columns])))
+
+    return _with_values(nodes, values, columns).select("window_id", F.inline(bound(F.col("_n"), summed))).filter(" OR ".join(f"`{c}` IS NOT NULL" for c in columns))
+
+
+def _picker(column: str):
+    return lambda y: y[column].cast("double")
 
 
 def neighbour_norm(nodes: DataFrame, values: DataFrame, radius: int = 4, columns: Sequence[str] = ("value",)) -> DataFrame:
     """Neighbour sum weighted by 1 / sqrt(degree * degree) of both ends; self links count in degrees."""
-    edges = pruned_edges(nodes, radius)
-    degree = edges.groupBy("window_id", "src_channel").agg(F.count("*").alias("_d"))
-    got = values.select("window_id", F.col("channel").alias("src_channel"), *columns).join(degree, ["window_id", "src_channel"])
-    sent = got.select("window_id", "src_channel", *[(F.col(c) / F.sqrt("_d")).alias(c) for c in columns])
-    summed = edges.join(sent, ["window_id", "src_channel"]).groupBy("window_id", F.col("dst_channel").alias("channel")).agg(*[F.sum(c).alias(c) for c in columns])
-    own = degree.withColumnRenamed("src_channel", "channel")
-    return summed.join(own, ["window_id", "channel"]).select("window_id", "channel", *[(F.col(c) / F.sqrt("_d")).alias(c) for c in columns])
+
+    def degrees(n: Column) -> Column:
+        return F.transform(n, lambda x, i: bound(F.sqrt(F.size(_near(n, x, i, radius)).cast("double")), lambda d: F.struct(x["channel"].alias("channel"), d.alias("_d"), *[(_picker(c)(x) / d).alias(c) for c in columns])))
+
+    def summed(n: Column) -> Column:
+        return F.transform(n, lambda x, i: bound(_near(n, x, i, radius), lambda near: F.struct(x["channel"].alias("channel"), *[(_sum(near, _picker(c)) / x["_d"]).alias(c) for c in columns])))
+
+    weighted = bound(F.col("_n"), lambda n: bound(degrees(n), summed))
+    return _with_values(nodes, values, columns).select("window_id", F.inline(weighted)).filter(" OR ".join(f"`{c}` IS NOT NULL" for c in columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hitwatch.functions.vectors import mse
@@ -18,25 +19,29 @@ FORECASTS = {
 }
 
 
-def forecast_node_scores(assembled: DataFrame, nodes: DataFrame, layout: Layout, features: Sequence[str] = DEFAULT_FEATURES, forecast: str = "persistence") -> DataFrame:
+def forecast_node_scores(assembled: DataFrame, layout: Layout, n_windows: int, features: Sequence[str] = DEFAULT_FEATURES, forecast: str = "persistence", least: float = 1e-6) -> DataFrame:
     """(window_id, channel, mse) of the active nodes: mean squared error over the target's bins and features.
 
-    Forecast and target are linear in the frames, so one grouped sum of weighted frames gives the differences.
+    Forecast and target are linear in the frames, so one grouped sum of weighted frames gives the differences,
+    and the past's activity with them. Rows are dealt by window once; all sums, and the choice of channel 0 for
+    windows without activity, happen there.
     """
     if forecast not in FORECASTS:
         raise ValueError(f"unknown forecast {forecast}; one of {sorted(FORECASTS)}")
     check_features(features)
     w = F.col("w")
     weight = F.when(w == layout.history, -1.0).otherwise(FORECASTS[forecast](w, layout.history))
-    key = ["window_id", "channel"]
-    # dealt by node, so that the sums by bin and by node need no further exchange
-    rows = assembled.withColumn("_w", weight).filter("_w <> 0").select(*key, "bin", "_w", *features).repartition(*key)
-    cells = rows.groupBy(*key, "bin").agg(*[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features])
+    activity = F.when(w < layout.history, graph.feature_size(features)).otherwise(0.0)
+    dealt = assembled.select("window_id", "channel", "bin", weight.alias("_w"), activity.alias("_a"), *features).repartition("window_id")
+    cells = dealt.groupBy("window_id", "channel", "bin").agg(F.sum("_a").alias("_a"), *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in features])
     square = F.lit(0.0)
     for f in features:
         square = square + F.col(f) * F.col(f)
-    summed = cells.groupBy(*key).agg(F.sum(square).alias("_sq"))
-    return nodes.select(*key).join(summed, key, "left").select(*key, (F.coalesce("_sq", F.lit(0.0)) / (layout.bins * len(features))).alias("mse"))
+    nodes = cells.groupBy("window_id", "channel").agg((F.sum("_a") > least).cast("int").alias("_real"), F.sum(square).alias("_sq")).filter("_real = 1 OR channel = 0")
+    spare = assembled.sparkSession.range(n_windows).select(F.col("id").alias("window_id"), F.lit(0).cast("long").alias("channel"), F.lit(0).alias("_real"), F.lit(0.0).alias("_sq"))
+    of = W.partitionBy("window_id")
+    ranked = nodes.union(spare).select("*", F.row_number().over(of.orderBy(F.desc("_real"), "channel", F.desc("_sq"))).alias("_r"), F.sum("_real").over(of).alias("_m"))
+    return ranked.filter("_real = 1 OR (_m = 0 AND _r = 1)").select("window_id", "channel", (F.col("_sq") / (layout.bins * len(features))).alias("mse"))
 
 
 def neighbour_forecast(assembled: DataFrame, nodes: DataFrame, layout: Layout, features: Sequence[str] = DEFAULT_FEATURES, radius: int = 4) -> DataFrame:

@@ -11,7 +11,7 @@ from hitwatch.functions import vectors as vec
 from hitwatch.operators import ablation, geometry, graph, hits, index, metrics, predict, score, splits, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
-from hitwatch.sources.scratch import scratch
+from hitwatch.sources.scratch import Stored, scratch
 from hitwatch.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,7 +143,8 @@ class Graph:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         p = fx.Prepared(spark, sf_dir)
         self.n = LAYOUT.count(p.n)
-        self.rows = graph.assemble(p.frames(LAYOUT), LAYOUT, self.n)
+        # nodes, scores and vectors all start from the frames, which cost most to make
+        self.rows = graph.assemble(Stored(p.frames(LAYOUT), "frames").df, LAYOUT, self.n)
         self.channels = hits.channel_count(p.hits)
 
     @property
@@ -222,14 +223,14 @@ def neighbour_norm(spark, sf_dir):
 @query(f"WITH {_SCORES} SELECT window_id, channel, round(mse, 9) AS mse FROM mses")
 def forecast_node_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return rounded(score.forecast_node_scores(g.rows, g.nodes, LAYOUT), "mse", digits=9)
+    return rounded(score.forecast_node_scores(g.rows, LAYOUT, g.n), "mse", digits=9)
 
 
 @query(f"""WITH {_GRAPH}, c AS (SELECT window_id, channel, bin, {", ".join(f"sum(CASE w WHEN 4 THEN -{f} ELSE {f} / 4.0 END) AS d_{f}" for f in windows.DEFAULT_FEATURES)} FROM asm JOIN nodes USING (window_id, channel) GROUP BY ALL)
 SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in windows.DEFAULT_FEATURES)}), 0) / {CELLS} + {NUDGE}, 6) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
 def history_mean_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return nudged(score.forecast_node_scores(g.rows, g.nodes, LAYOUT, forecast="history_mean"), "mse")
+    return nudged(score.forecast_node_scores(g.rows, LAYOUT, g.n, forecast="history_mean"), "mse")
 
 
 _FEATS = windows.DEFAULT_FEATURES
@@ -250,7 +251,7 @@ _WINDOWS = f"{_SCORES}, ws AS (SELECT window_id, avg(mse) AS score_mean, max(mse
 
 def _window_scores(spark, sf_dir) -> DataFrame:
     g = Graph(spark, sf_dir)
-    return score.window_scores(score.forecast_node_scores(g.rows, g.nodes, LAYOUT))
+    return score.window_scores(score.forecast_node_scores(g.rows, LAYOUT, g.n))
 
 
 @query(f"WITH {_WINDOWS} SELECT window_id, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, n_nodes, score_max > 2000.25 AS is_anomaly FROM ws")
@@ -277,13 +278,13 @@ def score_series(spark, sf_dir):
 @query(f"WITH {_SCORES}, n AS (SELECT max(channel) + 1 AS n FROM hit), c AS (SELECT unnest(range(0, n)) AS channel FROM n) SELECT c.channel, round(avg(mse), 9) AS mse FROM c LEFT JOIN mses USING (channel) GROUP BY c.channel")
 def channel_mse(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return rounded(score.channel_mse(score.forecast_node_scores(g.rows, g.nodes, LAYOUT), g.channels), "mse", digits=9)
+    return rounded(score.channel_mse(score.forecast_node_scores(g.rows, LAYOUT, g.n), g.channels), "mse", digits=9)
 
 
 @query(f"WITH {_SCORES}, n AS (SELECT max(channel) + 1 AS n FROM hit), c AS (SELECT window_id, unnest(range(0, n)) AS channel FROM wins, n) SELECT window_id, channel, round(mse, 9) AS mse FROM c LEFT JOIN mses USING (window_id, channel)")
 def node_score_grid(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    grid = score.score_grid(score.forecast_node_scores(g.rows, g.nodes, LAYOUT), windows.windows(spark, LAYOUT, (g.n - 1) * LAYOUT.stride + LAYOUT.span if g.n else 0), g.channels)
+    grid = score.score_grid(score.forecast_node_scores(g.rows, LAYOUT, g.n), windows.windows(spark, LAYOUT, (g.n - 1) * LAYOUT.stride + LAYOUT.span if g.n else 0), g.channels)
     return rounded(grid, "mse", digits=9)
 
 

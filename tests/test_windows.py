@@ -78,7 +78,7 @@ def test_idle_window_falls_back_to_channel_zero(spark):
     nodes = graph.active_nodes(rows, layout, layout.count(6))
     assert sorted((r["window_id"], r["channel"]) for r in nodes.collect()) == [(0, 0), (1, 4)]
     # the only hit is in the target of window 0, so its fallback node scores 0 there
-    scores = {r["window_id"]: r["mse"] for r in score.forecast_node_scores(rows, nodes, layout).collect()}
+    scores = {r["window_id"]: r["mse"] for r in score.forecast_node_scores(rows, layout, layout.count(6)).collect()}
     assert scores[0] == 0 and scores[1] > 0
 
 
@@ -92,7 +92,7 @@ def test_scores_mean_at_most_max(spark):
     n, _, df = events_and_hits(spark, [7] * 24, 6, 5)
     layout = Layout(4, 2, 2, 2)
     rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, n), layout, layout.count(n))
-    got = score.window_scores(score.forecast_node_scores(rows, graph.active_nodes(rows, layout, layout.count(n)), layout)).collect()
+    got = score.window_scores(score.forecast_node_scores(rows, layout, layout.count(n))).collect()
     assert len(got) == layout.count(n) and all(0 <= r["score_mean"] <= r["score_max"] for r in got)
 
 
