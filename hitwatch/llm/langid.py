@@ -7,7 +7,7 @@ prototype has the largest cosine with its own vector. Everything but letters is
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language that
 sorts first; with nothing to learn from, every text is ``und``. Training takes a bounded sample
-(``max_rows``) of rows with text and language. Repeated rows are predicted alike, other columns ignored.
+(``max_rows``) of rows with text and language, one row an id. Repeated rows are predicted alike, other columns ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +110,9 @@ def units(vectors: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 8_000, seed: int = 9) -> Profiles:
     """Prototypes from at most about ``max_rows`` rows of ``docs``."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    known = common.bounded(rows.filter("_lang IS NOT NULL AND _id IS NOT NULL"), "_id", max_rows, seed).filter("_text IS NOT NULL").select("_text", "_lang")
+    chosen = common.bounded(rows.filter("_lang IS NOT NULL AND _id IS NOT NULL"), "_id", max_rows, seed).filter("_text IS NOT NULL")
+    # an id that many rows share counts once, with its smallest text
+    known = chosen.groupBy("_id").agg(F.min(F.struct("_text", "_lang")).alias("_r")).select("_r._text", "_r._lang")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

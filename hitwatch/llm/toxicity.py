@@ -6,7 +6,7 @@ L2-regularised logistic regression is fitted on them. Labels come from a bounded
 (``max_rows``, documented parameter); every text is scored whole.
 
 Defined cases: a null text counts as empty and gets the model's score for a text without features; null
-labels are ignored; with no labelled rows, or a single class, every score is the smoothed share of label 1.
+labels are ignored, a label counts once for an id and its smallest text; with no labelled rows, or a single class, every score is the smoothed share of label 1.
 Repeated rows are scored alike, row by row; other columns pass through untouched.
 """
 
@@ -101,10 +101,12 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, features: int = 2048, alpha: float = 1.0, penalty: float = 1e-3, rounds: int = 150, seed: int = 7) -> Toxicity:
     """Fit on at most about ``max_rows`` of the rows of ``labels``; its ids select the texts, so only those are moved."""
     spark = docs.sparkSession
-    ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
+    ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)").distinct()
     chosen = common.bounded(ids, "_id", max_rows, seed)
-    # at most max_rows rows of 12 bytes: the bound makes the broadcast safe at any size of the corpus
-    labelled = common.Stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_label"), "toxicity")
+    # about max_rows rows of 12 bytes: the bound makes the broadcast safe at any size of the corpus
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # an id that many rows share counts once, with its smallest text
+    labelled = common.Stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label"), "toxicity")
     sizes = {r["_label"]: r["n"] for r in labelled.df.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     none = Toxicity(np.zeros(1 << BITS, "u2"), np.zeros(1), float(np.log((pos + 1) / (neg + 1))))
