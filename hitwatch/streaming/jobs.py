@@ -40,32 +40,42 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
 
 
 class WindowSink:
-    """foreachBatch sink that appends hits of dense, arriving event indexes and emits the frames that became complete.
+    """foreachBatch sink that emits the frames that became complete with the hits of arriving, dense event indexes.
 
-    Events must arrive in index order; a batch may hold any number of them. State is two folders - hits and
-    finished frames, with a subfolder a batch - so a repeated batch overwrites its own.
+    Events must arrive in index order; a batch may hold any number of them. Each batch leaves a subfolder with
+    the hits that later windows still need and one with the last index, so state does not grow with the stream,
+    and a repeated batch overwrites its own.
     """
 
     def __init__(self, folder: str, layout: Layout) -> None:
         self.folder, self.layout = folder, layout
 
+    def _before(self, batch: DataFrame, batch_id: int) -> tuple[int | None, DataFrame | None]:
+        """Last index before a batch, and the hits that were kept for it."""
+        spark = batch.sparkSession
+        marks = spark.read.schema("last long, batch long").parquet(f"{self.folder}/progress").filter(F.col("batch") < batch_id)
+        found = marks.orderBy(F.desc("batch")).first()
+        if found is None:
+            return None, None
+        return found["last"], spark.read.schema(batch.schema).parquet(f"{self.folder}/open/batch={found['batch']}")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.folder}/hits/batch={batch_id}")
-        hits = spark.read.parquet(f"{self.folder}/hits").filter(F.col("batch") <= batch_id).drop("batch")
-        ends = hits.filter("event_idx IS NOT NULL").agg(F.max("event_idx").alias("now")).first()
-        before = spark.read.parquet(f"{self.folder}/hits").filter(F.col("batch") < batch_id).agg(F.max("event_idx").alias("then")).first()["then"]
-        now = ends["now"]
+        spark.createDataFrame([], "last long, batch long").write.mode("append").partitionBy("batch").parquet(f"{self.folder}/progress")  # makes the folder
+        before, kept = self._before(batch, batch_id)
+        hits = batch if kept is None else kept.unionByName(batch)
+        newest = batch.agg(F.max("event_idx")).first()[0]
+        now = max((x for x in (before, newest) if x is not None), default=None)
         if now is None:
             return
         done = self.layout.count(before + 1) if before is not None else 0
         ready = self.layout.count(now + 1)
-        if ready <= done:
-            return
-        recent = hits.filter(F.col("event_idx") >= done * self.layout.stride)
-        known = frame_features(channel_partials(recent.filter("channel IS NOT NULL")), self.layout, now + 1)
-        new = known.filter(~is_used(F.col("frame_start"), self.layout, done)) if done else known
-        new.write.mode("overwrite").parquet(f"{self.folder}/frames/batch={batch_id}")
+        if ready > done:
+            known = frame_features(channel_partials(hits.filter("channel IS NOT NULL")), self.layout, now + 1)
+            new = known.filter(~is_used(F.col("frame_start"), self.layout, done)) if done else known
+            new.write.mode("overwrite").parquet(f"{self.folder}/frames/batch={batch_id}")
+        hits.filter(F.col("event_idx") >= ready * self.layout.stride).write.mode("overwrite").parquet(f"{self.folder}/open/batch={batch_id}")
+        spark.range(1).select(F.lit(now).cast("long").alias("last")).write.mode("overwrite").parquet(f"{self.folder}/progress/batch={batch_id}")
 
     def frames(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/frames").drop("batch")
