@@ -119,6 +119,11 @@ def pair_by_position(left: DataFrame, right: DataFrame, order: str) -> DataFrame
     return a.join(b.select("_place", *[F.col(c).alias(f"right_{c}") for c in right.columns]), "_place").drop("_place")
 
 
+def with_labels(rows: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``labels``, null where a key has none."""
+    return rows.join(labels, list(keys), "left")
+
+
 def multi_branch(branches: Mapping[str, DataFrame], thresholds: Mapping[str, float | None], keys: Sequence[str] = ("run", "subrun", "evt")) -> DataFrame:
     """Largest score and alert of events over branches with a ``score`` column each.
 

@@ -52,9 +52,10 @@ def bin_of(pos: Column, size: int, bins: int) -> Column:
     return (long if q == 0 else F.when(pos < r * (q + 1), long).otherwise(r + F.floor((pos - r * (q + 1)) / q))).cast("long")
 
 
-def windows(spark, layout: Layout, n_events: int) -> DataFrame:
-    """(window_id, start, end): end is the last event's index."""
-    return spark.range(layout.count(n_events)).select(F.col("id").alias("window_id"), (F.col("id") * layout.stride).alias("start"), (F.col("id") * layout.stride + layout.span - 1).alias("end"))
+def windows(spark, layout: Layout, n_events: int, max_windows: int | None = None) -> DataFrame:
+    """(window_id, start, end) of all windows, or of the first ``max_windows``; end is the last event's index."""
+    count = layout.count(n_events)
+    return spark.range(count if max_windows is None else min(count, max_windows)).select(F.col("id").alias("window_id"), (F.col("id") * layout.stride).alias("start"), (F.col("id") * layout.stride + layout.span - 1).alias("end"))
 
 
 def window_ids(index: Column, span: int, stride: int, count: int) -> Column:

@@ -154,3 +154,16 @@ def test_window_predictor_plugin(spark):
     edges = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "window_id long, src long, dst long")
     got = predict.predict_windows(nodes, edges, lambda x, e: x * 2 + e.shape[1]).orderBy("window_id", "channel").collect()
     assert [(r["channel"], r["pred"]) for r in got] == [(5, [4.0, 6.0]), (7, [8.0, 10.0]), (2, [10.0, 12.0])]
+
+
+def test_first_rows_and_urls(spark):
+    df = spark.createDataFrame([(2, 1), (1, 9), (1, 2)], "file_idx int, entry int")
+    assert [tuple(r) for r in splits.first_rows(df, 2, "file_idx", "entry").collect()] == [(1, 2), (1, 9)]
+    urls = spark.createDataFrame([("/pnfs/a.root",), ("/data/b.root",)], "path string")
+    assert [r[0] for r in urls.select(splits.rewrite_url(F.col("path"), "/pnfs/", "root://door/")).collect()] == ["root://door/a.root", "/data/b.root"]
+
+
+def test_labels_and_pairs(spark):
+    v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "i int, x array<double>")
+    y = spark.createDataFrame([(2, 1)], "i int, label int")
+    assert [tuple(r) for r in score.with_labels(v, y, "i").orderBy("i").collect()] == [(1, [1.0], None), (2, [2.0], 1)]

@@ -131,3 +131,38 @@ def test_concat_metadata(spark):
     df = spark.createDataFrame([(1, [2.0, 3.0], None), (None, None, 4)], "run long, more array<double>, last int")
     got = hits.concat_metadata(df, ["run", "absent", "more", "last"]).collect()
     assert [r["meta_values"] for r in got] == [[1.0, 2.0, 3.0], [4.0]]
+
+
+def test_first_windows_only(spark):
+    layout = Layout(4, 2, 1)
+    assert [tuple(r) for r in windows.windows(spark, layout, 20, max_windows=2).collect()] == [(0, 0, 7), (1, 2, 9)]
+    assert windows.windows(spark, layout, 7).count() == 0 and windows.windows(spark, layout, 20).count() == 7
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark):
+    n, _, df = events_and_hits(spark, [5] * 30, 6, 9)
+    layout, before, seen = Layout(4, 3, 1, 2), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, n), layout, layout.count(n))
+            scores = score.forecast_node_scores(rows, layout, layout.count(n))
+            seen.append(sorted((r["window_id"], r["channel"], round(r["mse"], 9)) for r in scores.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and seen[0]
+
+
+def test_scored_nodes_are_the_active_ones(spark):
+    n, _, df = events_and_hits(spark, [random.Random(1).randrange(2) for _ in range(40)], 9, 4)
+    layout = Layout(3, 2, 1, 2)
+    rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, n), layout, layout.count(n))
+    pick = lambda d: sorted((r["window_id"], r["channel"]) for r in d.select("window_id", "channel").collect())
+    nodes = graph.active_nodes(rows, layout, layout.count(n))
+    assert pick(nodes) == pick(score.forecast_node_scores(rows, layout, layout.count(n)))
+    assert {r["window_id"] for r in nodes.collect()} == set(range(layout.count(n)))
+
+
+def test_files_keep_the_order_of_their_first_event(spark):
+    df = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 1)], "event_idx long, file_idx long")
+    assert [tuple(r) for r in windows.files_first_seen(df).orderBy("first_event").collect()] == [(7, 0), (3, 1), (1, 3)]
