@@ -106,7 +106,7 @@ class Words:
     ODD = "[^\x00-įı-ɏ‐-‧€]|<\\|"
     #: Fixed value: what the word-level pre-tokeniser takes besides runs of letters.
     OTHERS = f"'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES} {DIGITS}{LETTERS}]+"
-    MOST = 300_000
+    MOST = 150_000
     SEPARATOR = "\x01"
 
     def __init__(self, path: str) -> None:
@@ -190,7 +190,7 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -271,13 +271,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             return row
 
         for batch in batches:
-            for a, b in slices(batch.column(1), min(4 << 20, 2 * shard_ids)):
+            for a, b in slices(batch.column(1), min(2 << 20, 2 * shard_ids)):
                 flat, each = own.encode(batch.column(1).slice(a, b - a))
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 counts.append(each + 1)
                 ids.append(with_end(flat, each, end_id))
                 if sum(map(len, ids)) >= shard_ids:
                     yield flush()
+            pa.default_memory_pool().release_unused()
         if names:
             yield flush()
 
