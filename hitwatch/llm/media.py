@@ -149,8 +149,13 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     @F.arrow_udf("struct<n_bytes: bigint, media: binary>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([len(r) for r in raw], pa.int64()), pa.array([to_wav(pad(r)) for r in raw], pa.binary())], names=["n_bytes", "media"])
+            sizes, media = [], []
+            for text in texts:  # one text at a time: a batch may hold long ones
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                sizes.append(len(raw))
+                media.append(to_wav(pad(raw)))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["n_bytes", "media"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col), encode(F.col(text_col)).alias("_m")).select(id_col, "_m.n_bytes", "_m.media")
 
@@ -184,6 +189,8 @@ def analyse(media_col: str = "media") -> Column:
                 items = pa.StructArray.from_arrays(arrays, fields=[pa.field(*x) for x in fields])
                 lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), items))
             yield pa.StructArray.from_arrays([*columns, *lists], names=names)
+            del rows, found, columns, lists
+            pa.default_memory_pool().release_unused()
 
     return read_back(F.col(media_col))
 
