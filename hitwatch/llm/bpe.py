@@ -5,7 +5,7 @@ so passages that documents share become equal chunks; a task encodes each distin
 Chunks joined end to end may tokenise differently around the cut: a window from the last-but-one certain word border
 before it to the second one after it is encoded anew, and spliced in once its outer words agree exactly with what the two chunks
 have there. A border is certain between a character and a single space that are both followed by non-space:
-the pre-tokeniser always splits there. Chunks without enough such borders grow by their neighbours.
+the pre-tokeniser always splits there. Chunks without enough such borders grow by their neighbours; a text that has none over ``MOST`` characters is encoded in one piece.
 
 Texts with special tokens, or with characters outside blocks whose classes are fixed in every Unicode
 version, are encoded whole by the tokenizers library. Chunks go through the same vocabulary as merge ranks.
@@ -171,6 +171,8 @@ class Codec:
             if part.joins or end == len(text):
                 parts.append(part)
                 start = end
+            elif end - start > MOST:  # as in scripts without spaces: growing on would encode the same text over and over
+                return array("I", self.ranked.encode_ordinary(text))
         while len(parts) > 1 and not parts[-1].joins:
             last = parts.pop()
             parts[-1] = self.chunk(parts[-1].text + last.text)
