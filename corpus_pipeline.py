@@ -27,8 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    return simhash.keep_first(docs.select(*COLUMNS))
+    """One row of each near-duplicate group: the one with the smallest id, nulls last, then by the row's hashes."""
+    return simhash.keep_first(docs.select(*COLUMNS), repeats=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from hitwatch.llm import common
 from hitwatch.llm.components import components
@@ -207,30 +208,52 @@ def links(nodes: DataFrame, near: int = 3) -> DataFrame:
     return first.df.filter("v IS NOT NULL").select("u", "v").union(again.select("u", "v"))
 
 
+def _rooted(prints: DataFrame, owner: Column, near: int) -> DataFrame:
+    """(fp, root, owner, n): the component of each fingerprint, the least ``owner`` of its rows and their number."""
+    nodes = prints.groupBy("fp").agg(F.min(owner).alias("owner"), F.count("*").alias("n"))
+    roots = components(links(nodes.select("fp"), near))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 3) -> DataFrame:
     """A row (id, fingerprint, component_id) for each row of ``docs``."""
     prints = common.Stored(docs.select(F.col(id_col).alias("_id"), fingerprints(text_col, words).alias("fp")), "fingerprints").df
-    nodes = prints.groupBy("fp").agg(F.min("_id").alias("owner"))
-    roots = components(links(nodes.select("fp"), near))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, F.col("_id"), near)
     owners = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
     member = rooted.join(owners, "root").select("fp", "component_id")
     return prints.join(member, "fp").select(F.col("_id").alias(id_col), hex16("fp").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 3) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of its component; rows with that id all stay.
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, null flags included; rows that agree in both count as the same row."""
+    cells = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        cells += [c.isNull(), F.to_json(F.struct(c)) if isinstance(f.dataType, ArrayType | MapType | StructType) else c]
+    return [F.xxhash64(F.lit(i), *cells).alias(f"_hw_{i}") for i in range(2)]
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 3, repeats: bool = True) -> DataFrame:
+    """``docs`` without the rows that are not the first of their component, judged row by row, not by id alone.
 
-    A component without any non-null id keeps all its rows.
+    With ``repeats``, all rows with a component's smallest id stay, and all rows of a component without any
+    non-null id. Without, exactly one row of each component stays: the one with the smallest id, nulls last, and
+    of those the one with the least hashes of the whole row.
     """
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, near=near)
-    gone = common.Stored(marked.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_hw_gone")).distinct(), "duplicates").df
-    nulls = marked.filter(F.col(id_col).isNull() & F.col("component_id").isNotNull()).limit(1).count()
-    small = gone.count() <= common.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_hw_gone"), "left_anti")
-    if not nulls:
-        return kept
-    # rows with a null id can only be told apart by their own fingerprints
-    twins = marked.filter(F.col("component_id").isNotNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_hw_fp")).distinct()
-    bare = kept.filter(F.col(id_col).isNull()).withColumn("_hw_fp", fingerprints(text_col, words)).join(twins, "_hw_fp", "left_anti").drop("_hw_fp")
-    return kept.filter(F.col(id_col).isNotNull()).unionByName(bare)
+    keys = ["_hw_0", "_hw_1"]
+    prints = common.Stored(docs.select(F.col(id_col).alias("_id"), fingerprints(text_col, words).alias("fp"), *_row_keys(docs)), "fingerprints").df
+    rooted = _rooted(prints, F.struct(F.col("_id").isNull().alias("none"), "_id", *keys), near)
+    owners = rooted.groupBy("root").agg(F.min("owner").alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    member = rooted.join(owners, "root").select("fp", "first")
+    stays = F.col("_id").eqNullSafe(F.col("first._id")) if repeats else (F.col("_hw_0") == F.col("first._hw_0")) & (F.col("_hw_1") == F.col("first._hw_1"))
+    counted = prints.join(member, "fp").groupBy(*keys, stays.alias("stays")).agg(F.count("*").alias("n"))
+    marked = common.Stored(counted.filter("NOT stays" if repeats else "NOT stays OR n > 1"), "duplicates").df
+    small = marked.count() <= common.BROADCAST_ROWS
+    side = lambda rows: F.broadcast(rows.select(*keys)) if small else rows.select(*keys)
+    keyed = docs.select("*", *_row_keys(docs))
+    copied = marked.filter("stays")
+    if repeats or not copied.limit(1).count():
+        return keyed.join(side(marked), keys, "left_anti").drop(*keys)
+    # of rows that are alike in all columns any one will do
+    once = keyed.join(side(copied), keys, "left_semi").dropDuplicates(keys)
+    return keyed.join(side(marked), keys, "left_anti").unionByName(once).drop(*keys)

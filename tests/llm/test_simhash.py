@@ -130,3 +130,35 @@ def test_keep_first(odd_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r, c in zip(rows, want, strict=True) if r["doc_id"] == c)
     assert kept.filter(F.col("doc_id") == 8).count() == 2
+
+
+def test_keep_first_judges_rows_by_their_own_text(spark):
+    """An id carried by a clean text and by a copy of another document loses the copy only."""
+    rows = [(3, "red blue green stone river"), (7, "red blue green stone river"), (7, "quite other words that no one else has"), (9, "a third text without any copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for repeats in (True, False):
+        assert sorted(map(tuple, simhash.keep_first(docs, repeats=repeats).collect())) == sorted([rows[0], rows[2], rows[3]])
+
+
+def test_one_row_of_each_component(spark, odd_docs):
+    rows = odd_docs.collect()
+    want = plain_components([plain_fingerprint(r["text"]) for r in rows], [r["doc_id"] for r in rows])
+    kept = simhash.keep_first(odd_docs, repeats=False)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    null_only = [(None, "words of a text whose ids are all null", s, {"k": s}) for s in ("a", "b", None, "b")] * 50
+    repeated = [(5, "some words that come again and again", None, None)] * 80 + [(5, "some words that come again and again", "z", None)] * 3
+    docs = spark.createDataFrame(null_only + repeated, "doc_id long, text string, source string, more map<string,string>").repartition(5)
+    for n in (1, 7):
+        once = simhash.keep_first(docs.repartition(n), repeats=False).collect()
+        assert sorted(r["text"] for r in once) == [repeated[0][1], null_only[0][1]]
+        assert n == 1 or sorted(map(str, once)) == first
+        first = sorted(map(str, once))
+
+
+def test_pipeline_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "some words that come again and again", "en", "s", 36)] * 3 + [(None, "another text of seven words or so", "en", "s", 33)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in cp.one_of_each(spark, docs, "").collect()) == sorted({r[1] for r in rows})
