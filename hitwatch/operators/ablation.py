@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hitwatch.functions.keys import ordered_union, slug
 from hitwatch.functions.vectors import interleave, pad
-from hitwatch.operators.metrics import _spread, stats_columns
+from hitwatch.operators.metrics import stats_columns, with_percentiles
 
 
 def variants(branches: Sequence[str], baseline: bool = True) -> list[tuple[str, list[str], str | None]]:
@@ -32,4 +32,4 @@ def variant_scores(events: DataFrame, branches: Sequence[str], score: Callable[[
 def summary(scores: DataFrame, threshold: float) -> DataFrame:
     """A row a variant: mean, deviation, percentiles and share of scores at or over the threshold."""
     grouped = scores.groupBy("variant").agg(*stats_columns("score"), F.avg((F.col("score") >= threshold).cast("double")).alias("fraction"), F.count("*").alias("n"))
-    return _spread(grouped)
+    return with_percentiles(grouped, scores, "score", ["variant"])

@@ -8,28 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitwatch.operators.index import prefix_sum
+from hitwatch.sources.scratch import Stored
 
-#: Exact percentiles up to this many rows of a group; approximate ones beyond.
-EXACT_ROWS = 50_000_000
+#: Group tables up to this many rows are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
-def stats_columns(score: str, exact: bool = True) -> list[Column]:
-    """Mean, population deviation, extremes and percentiles (linear interpolation, or approximate)."""
-    at = F.array(*map(F.lit, PERCENTILES))
-    cut = F.percentile(F.col(score), at) if exact else F.percentile_approx(F.col(score), at, 10_000).cast("array<double>")
-    return [F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"), cut.alias("_p")]
+def stats_columns(score: str) -> list[Column]:
+    """Mean, population deviation and extremes."""
+    return [F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max")]
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != "_p"], *[F.get("_p", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(PERCENTILES)])
+def percentiles(scores: DataFrame, column: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """(_b0, _b1, ..., p50, p95, p99): exact percentiles of each group's non-null scores, with linear interpolation.
 
-
-def score_stats(scores: DataFrame, column: str = "score", by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
-    """A row of statistics, or one for each group; exact percentiles unless the table is too large for them."""
-    if exact is None:
-        exact = scores.count() <= EXACT_ROWS
-    return _spread(scores.groupBy(*by).agg(*stats_columns(column, exact)))
+    Scores collapse to distinct values with counts; running counts over all groups, less what lies before a
+    group, place each value, and only values at the wanted ranks are kept. No group is ordered in one task.
+    """
+    names = [f"_b{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+    counts = scores.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    running = prefix_sum(counts, [*map(F.col, names), F.col("_v")], {"_c": "_upto"})
+    groups = Stored(running.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_start")), "groups").df
+    if names:
+        small = groups.count() <= BROADCAST_ROWS
+        sides = groups.select(*[F.col(n).alias(f"_g{n}") for n in names], "_n", "_start")
+        same = [F.col(n).eqNullSafe(F.col(f"_g{n}")) for n in names]
+        placed = running.join(F.broadcast(sides) if small else sides, same)
+    else:
+        placed = running.crossJoin(F.broadcast(groups))
+    last = F.col("_upto") - F.col("_start") - 1  # places in the group: last - _c + 1 to last
+    wanted, cells = F.lit(False), []
+    for i, p in enumerate(PERCENTILES):
+        at = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda k: (k <= last) & (k > last - F.col("_c"))
+        wanted = wanted | holds(low) | holds(high)
+        cells += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{i}")]
+    found = placed.filter(wanted).groupBy(*names).agg(F.first("_n").alias("_n"), *cells)
+    made = []
+    for i, p in enumerate(PERCENTILES):
+        at, low, high = (F.col("_n") - 1) * F.lit(p), F.col(f"_l{i}"), F.col(f"_h{i}")
+        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        made.append(F.when(low == high, low).otherwise(between).alias(f"p{round(100 * p)}"))
+    return found.select(*names, *made)
+
+
+def with_percentiles(stats: DataFrame, scores: DataFrame, column: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """``stats``, a row or one for each group of ``scores``, with the percentiles beside."""
+    cuts = percentiles(scores, column, by)
+    if not by:
+        return stats.crossJoin(F.broadcast(cuts))
+    same = [stats[c].eqNullSafe(cuts[f"_b{i}"]) for i, c in enumerate(by)]
+    return stats.join(cuts, same, "left").drop(*[f"_b{i}" for i in range(len(by))])
+
+
+def score_stats(scores: DataFrame, column: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """A row of statistics, or one for each group; percentiles are exact at every size."""
+    return with_percentiles(scores.groupBy(*by).agg(*stats_columns(column)), scores, column, by)
 
 
 def _cumulative(scores: DataFrame, score: str, label: str) -> DataFrame:

@@ -60,6 +60,26 @@ def test_percentiles(spark):
     assert [round(got[p], 6) for p in ("p50", "p95", "p99")] == [2.5, 8.95, 9.79]
 
 
+def test_percentiles_stay_exact_in_large_tables(spark, monkeypatch):
+    """No size switches to approximate percentiles, and no group's values are gathered by one aggregate."""
+    monkeypatch.setattr(metrics, "EXACT_ROWS", 3, raising=False)
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 1000).astype("f8"), None: rng.normal(size=2), "one": np.array([5.0])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, score double").repartition(7)
+    every = np.concatenate(list(groups.values()))
+    got = metrics.score_stats(df)
+    assert got.columns == ["mean", "std", "min", "max", "p50", "p95", "p99"]
+    np.testing.assert_allclose(got.first()[4:], np.percentile(every, [50, 95, 99]), rtol=1e-12)
+    by = {r["g"]: r for r in metrics.score_stats(df, by=["g"]).collect()}
+    assert set(by) == {*groups, "none"} and by["none"][1:] == (None,) * 7
+    for g, v in groups.items():
+        np.testing.assert_allclose(by[g][1:], [v.mean(), v.std(), v.min(), v.max(), *np.percentile(v, [50, 95, 99])], rtol=1e-9)
+    assert tuple(metrics.score_stats(df.limit(0)).first()) == (None,) * 7
+    for made in (metrics.score_stats(df, by=["g"]), ablation.summary(df.withColumnRenamed("g", "variant"), 0.5)):
+        assert "percentile" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fraction_includes_the_threshold_and_is_nan_without_scores(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "score double")
     assert score.anomaly_fraction(df, 2.0).first()[0] == 0.5
