@@ -11,7 +11,7 @@ from hitwatch.functions import vectors as vec
 from hitwatch.operators import ablation, geometry, graph, hits, index, metrics, predict, score, splits, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
-from hitwatch.sources.scratch import Stored, scratch
+from hitwatch.sources.scratch import Stored, is_folder, scratch
 from hitwatch.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,7 +534,10 @@ def wire_positions(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
-    schema = fx.table(spark, sf_dir, "events").schema
+    """The events as a stream: of the part files where the table is a folder, else of the single file among the others."""
+    path, schema = f"{sf_dir}/events.parquet", fx.table(spark, sf_dir, "events").schema
+    if is_folder(spark, path):
+        return jobs.read_stream(spark, path, schema)
     return jobs.read_stream(spark, sf_dir, schema, pattern="events.parquet")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitwatch.operators.windows import Layout
+from hitwatch.plans.queries import QUERIES
 from hitwatch.sources import files
 from hitwatch.streaming import jobs
 
@@ -87,3 +88,19 @@ def test_streamed_windows_equal_batch(spark, tmp_path, layout):
     sink(rows.filter(F.col("event_idx").between(21, 29)), 3)  # a repeated batch changes nothing
     want = frame_features(channel_partials(rows), layout, 30)
     assert sorted(map(tuple, sink.frames(spark).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_event_streams_read_both_layouts(spark, sf_dir, tmp_path, folder):
+    """A single events.parquet among other tables, or a folder of part files of that name."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").limit(500)
+    out = tmp_path / "events.parquet"
+    if folder:
+        events.repartition(3).write.parquet(str(out))
+    else:
+        events.coalesce(1).write.parquet(str(tmp_path / "made"))
+        next((tmp_path / "made").glob("part-*.parquet")).rename(out)
+    spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
+    assert spark.read.parquet(str(out)).count() == 500
+    assert QUERIES["stream_vectors"](spark, str(tmp_path)).select("event_id").distinct().count() == 500
+    assert QUERIES["stream_scores"](spark, str(tmp_path)).count() == 500
