@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,14 +27,9 @@ def whole_or_minus_one(x: Column) -> Column:
 
 
 def key_columns(names: list[str]) -> dict[str, str]:
-    """Which columns hold run, subrun and event number, by their names; absent ones are left out."""
-    found: dict[str, str] = {}
-    for name in names:
-        low = name.lower()
-        kind = "subrun" if "subrun" in low else "run" if "run" in low else "evt" if "evt" in low else None
-        if kind:
-            found.setdefault(kind, name)
-    return found
+    """Which columns hold run, subrun and event number, by their names; of several the last, and absent ones are left out."""
+    kinds = ("subrun", "run", "evt")
+    return {kind: name for name in names for kind in [next((k for k in kinds if k in name.lower()), None)] if kind}
 
 
 def hit_prefixes(names: list[str]) -> list[str]:
@@ -56,13 +49,16 @@ def split_metadata(names: list[str], metadata: list[str]) -> tuple[list[str], li
 
 
 def slug(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_") or "branch"
+    """A name as a word for file and variant names: its ASCII letters and digits, an underscore for each run of others between them."""
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in name).split()
+    return "_".join(words) or "branch"
 
 
 def wire_name(name: Column) -> Column:
-    """Struct (plane, wire, channel) of names like ``posWire_U_12``; all null for other names."""
+    """Struct (plane, wire, channel) of names like ``posWire_U_12``, further parts ignored; what cannot be read is null by itself, other names are all null."""
     parts = F.split(name, "_")
-    number = F.get(parts, F.lit(2)).try_cast("int")
-    plane = F.try_element_at(F.create_map(*[x for k, v in PLANES.items() for x in (F.lit(k), F.lit(v))]), F.upper(F.get(parts, F.lit(1))))
-    good = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "posWire") & plane.isNotNull() & number.isNotNull()
-    return F.struct(F.when(good, plane).alias("plane"), F.when(good, number).alias("wire"), F.when(good, number).alias("channel"))
+    known = (F.get(parts, F.lit(0)) == "posWire") & (F.size(parts) >= 3)
+    number = F.when(known, F.get(parts, F.lit(2)).try_cast("int"))
+    planes = F.create_map(*[x for k, v in PLANES.items() for x in (F.lit(k), F.lit(v))])
+    plane = F.when(known, F.try_element_at(planes, F.upper(F.get(parts, F.lit(1)))))
+    return F.struct(plane.alias("plane"), number.alias("wire"), number.alias("channel"))

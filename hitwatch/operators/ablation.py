@@ -15,6 +15,8 @@ from hitwatch.operators.metrics import stats_columns, with_percentiles
 def variants(branches: Sequence[str], baseline: bool = True) -> list[tuple[str, list[str], str | None]]:
     """(name, branches kept, branch removed): the baseline and one variant without each branch."""
     names = ordered_union(list(branches))
+    if not names:
+        raise ValueError("no branch to leave out")
     out: list[tuple[str, list[str], str | None]] = [("baseline_all", names, None)] if baseline else []
     return out + [(f"minus_{slug(b)}", [n for n in names if n != b], b) for b in names]
 

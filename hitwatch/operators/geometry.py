@@ -36,7 +36,7 @@ def position_lookup(positions: DataFrame, order: str) -> DataFrame:
     return positions.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def add_positions(rows: DataFrame, positions: DataFrame, on: str = "channel", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``rows`` with x, y, z of their channel or wire; the table is broadcast only if it is small."""
+def add_positions(rows: DataFrame, positions: DataFrame, on: str = "channel", broadcast_rows: int = 500_000) -> DataFrame:
+    """``rows`` with x, y, z of their channel or wire; the table, some 50 bytes a row, is broadcast only if it is small."""
     place = positions.filter(F.col(on).isNotNull()).select(on, "x", "y", "z")
     return rows.join(F.broadcast(place) if place.count() <= broadcast_rows else place, on, "left")

@@ -56,29 +56,46 @@ def channel_index(channel: Column, n_channels: int) -> Column:
     return channel / F.lit(max(1, n_channels - 1))
 
 
-def node_slots(assembled: DataFrame, nodes: DataFrame, layout: Layout, features: Sequence[str] = DEFAULT_FEATURES, target: bool = False) -> DataFrame:
-    """(window_id, channel, slot, value), non-zero values only: slot 0 is the rank index, then frames, bins, features; or the target's."""
-    n = len(check_features(features))
-    rows = assembled.filter((F.col("w") == layout.history) if target else (F.col("w") < layout.history)).join(nodes.select("window_id", "channel"), ["window_id", "channel"])
-    base = (F.col("bin") * n) if target else (1 + (F.col("w") * layout.bins + F.col("bin")) * n)
-    values = F.array(*[F.struct((base + i).cast("long").alias("slot"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])
-    slots = rows.select("window_id", "channel", F.inline(values)).filter("value <> 0")
-    return slots if target else slots.union(nodes.select("window_id", "channel", F.lit(0).cast("long"), F.col("rank_index").cast("double")))
+def node_cells(assembled: DataFrame, layout: Layout, n_windows: int, features: Sequence[str] = DEFAULT_FEATURES, least: float = 1e-6) -> DataFrame:
+    """(window_id, channel, node_rank, rank_index, cells): the active nodes with their cells, at most one a frame and bin.
+
+    A cell is (w, bin, values). Rows are dealt by window once: activity, cells and ranks all come from that deal. As in
+    ``active_nodes`` a spare row stands in for windows without activity; it takes the cells of channel 0, where there are any.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in check_features(features)])
+    activity = F.when(F.col("w") < layout.history, feature_size(features)).otherwise(0.0)
+    dealt = assembled.select("window_id", "channel", activity.alias("_a"), F.struct("w", "bin", values.alias("values")).alias("_c")).repartition("window_id")
+    found = dealt.groupBy("window_id", "channel").agg((F.sum("_a") > least).cast("int").alias("_real"), F.collect_list("_c").alias("cells")).filter("_real = 1 OR channel = 0")
+    spare = assembled.sparkSession.range(n_windows).select(F.col("id").alias("window_id"), F.lit(0).cast("long").alias("channel"), F.lit(0).alias("_real"), F.array().cast(found.schema["cells"].dataType).alias("cells"))
+    w = W.partitionBy("window_id")
+    ranked = found.union(spare).select("*", F.row_number().over(w.orderBy(F.desc("_real"), "channel", F.size("cells").desc())).alias("_r"), F.sum("_real").over(w).alias("_m"))
+    kept = ranked.filter("_real = 1 OR (_m = 0 AND _r = 1)").withColumn("node_rank", (F.col("_r") - 1).cast("long"))
+    return kept.select("window_id", "channel", "node_rank", (F.col("node_rank") / F.greatest(F.col("_m") - 1, F.lit(1))).alias("rank_index"), "cells")
+
+
+def node_slots(cells: DataFrame, layout: Layout, n_features: int = len(DEFAULT_FEATURES), target: bool = False) -> DataFrame:
+    """(window_id, channel, slot, value) of ``node_cells``, non-zero values only: slot 0 is the rank index, then frames, bins, features; or the target's."""
+    of = (lambda c: c["w"] == layout.history) if target else (lambda c: c["w"] < layout.history)
+    base = (lambda c: c["bin"] * n_features) if target else (lambda c: 1 + (c["w"] * layout.bins + c["bin"]) * n_features)
+    each = F.flatten(F.transform(F.filter("cells", of), lambda c: F.transform(c["values"], lambda v, i: F.struct((base(c) + i).cast("long").alias("slot"), v.alias("value")))))
+    own = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("rank_index").cast("double").alias("value")))
+    kept = F.filter(each, lambda s: s["value"] != 0)
+    return cells.select("window_id", "channel", F.inline(kept if target else F.concat(own, kept)))
 
 
-def node_vectors(assembled: DataFrame, nodes: DataFrame, layout: Layout, features: Sequence[str] = DEFAULT_FEATURES) -> DataFrame:
-    """(window_id, channel, node_rank, x, y): dense vectors of the active nodes, zeros where there were no hits."""
+def node_vectors(cells: DataFrame, layout: Layout, n_features: int = len(DEFAULT_FEATURES)) -> DataFrame:
+    """(window_id, channel, node_rank, x, y) of ``node_cells``: dense vectors, zeros where there were no hits."""
+    none = F.array(*[F.lit(0.0)] * n_features)
 
-    def dense(slots: DataFrame, width: int, name: str) -> DataFrame:
-        filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-        # a node has at most ``width`` slots
-        return slots.groupBy("window_id", "channel").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_m")).select("window_id", "channel", filled.alias(name))
+    def dense(first: int, last: int) -> Column:
+        """Values of frames ``first`` to ``last``, bin by bin; absent cells are zeros."""
+        places = F.sequence(F.lit(first * layout.bins), F.lit((last + 1) * layout.bins - 1))
+        by_place = F.map_from_entries(F.transform("cells", lambda c: F.struct((c["w"] * layout.bins + c["bin"]).cast("int"), c["values"])))
+        return bound(by_place, lambda m: F.flatten(F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), none))))
 
-    cells = layout.bins * len(features)
-    x = dense(node_slots(assembled, nodes, layout, features), 1 + layout.history * cells, "x")
-    y = dense(node_slots(assembled, nodes, layout, features, target=True), cells, "y")
-    key = ["window_id", "channel"]
-    return nodes.join(x, key).join(y, key, "left").select("window_id", "channel", "node_rank", "x", F.coalesce("y", F.array_repeat(F.lit(0.0), cells)).alias("y"))
+    past = dense(0, layout.history - 1) if layout.history else F.array().cast("array<double>")
+    x = F.concat(F.array(F.col("rank_index").cast("double")), past)
+    return cells.select("window_id", "channel", "node_rank", x.alias("x"), dense(layout.history, layout.history).alias("y"))
 
 
 def band_edges(spark: SparkSession, n: int, radius: int = 4) -> DataFrame:
@@ -105,9 +122,11 @@ def pruned_edges(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def _with_values(nodes: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    key = ["window_id", "channel"]
-    joined = nodes.select(*key).join(values.select(*key, *columns), key, "left")
-    return _by_window(joined, *columns)
+    """Nodes of each window with their values: both are dealt by window, once, and meet there without a join."""
+    mine = nodes.select("window_id", "channel", F.lit(True).alias("_node"), *[F.lit(None).cast("double").alias(c) for c in columns])
+    theirs = values.select("window_id", "channel", F.lit(None).cast("boolean").alias("_node"), *[F.col(c).cast("double").alias(c) for c in columns])
+    met = mine.union(theirs).repartition("window_id").groupBy("window_id", "channel").agg(F.max("_node").alias("_node"), *[F.max(c).alias(c) for c in columns])
+    return _by_window(met.filter("_node"), *columns)
 
 
 def _sum(items: Column, pick) -> Column:

@@ -27,11 +27,21 @@ def _before(totals: DataFrame, names: list[str]) -> DataFrame:
     return totals.select("_part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_before_{n}") for n in names])
 
 
+def indexed(df: DataFrame, order: list[Column], name: str = "idx") -> tuple[DataFrame, int]:
+    """``df`` with the place 0, 1, ... of each row in the given order, which should be total, and the number of rows."""
+    ranged = _ranged(df, order)
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # a row a partition
+    before, n = [], 0
+    for row in totals:
+        before.append((row["_part"], n))
+        n += row["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_pos") + F.col("_before")).drop("_part", "_pos", "_before"), n
+
+
 def with_global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """``df`` with the place 0, 1, ... of each row in the given order, which should be total."""
-    ranged = _ranged(df, order)
-    before = _before(ranged.groupBy("_part").agg(F.count("*").alias("n")), ["n"])
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_pos") + F.col("_before_n")).drop("_part", "_pos", "_before_n")
+    return indexed(df, order, name)[0]
 
 
 def prefix_sum(df: DataFrame, order: list[Column], values: dict[str, str], inclusive: bool = True) -> DataFrame:
@@ -46,12 +56,16 @@ def prefix_sum(df: DataFrame, order: list[Column], values: dict[str, str], inclu
     return summed.drop("_part", "_pos", *[f"_local_{v}" for v in values], *[f"_before_{v}" for v in values])
 
 
-def order_events(events: DataFrame, *, zero_is_missing: bool = False, name: str = "event_idx") -> DataFrame:
-    """Events with their dense index by (run, subrun, evt), missing keys last, ties in file order."""
+def event_order(zero_is_missing: bool = False) -> list[Column]:
+    """Order of events: by (run, subrun, evt), missing keys last, ties in file order."""
     from hitwatch.functions.keys import sort_key
 
-    keys = [sort_key(F.col(c), zero_is_missing) for c in ("run", "subrun", "evt")]
-    return with_global_index(events, [*keys, F.col("file_idx"), F.col("entry")], name)
+    return [*[sort_key(F.col(c), zero_is_missing) for c in ("run", "subrun", "evt")], F.col("file_idx"), F.col("entry")]
+
+
+def order_events(events: DataFrame, *, zero_is_missing: bool = False, name: str = "event_idx") -> DataFrame:
+    """Events with their dense index in event order."""
+    return with_global_index(events, event_order(zero_is_missing), name)
 
 
 def csr_offsets(indexed: DataFrame, hits: DataFrame, key: str = "evt") -> DataFrame:

@@ -134,6 +134,15 @@ def score_histogram(scores: DataFrame, column: str = "score", bins: int = 100) -
     return sound.crossJoin(F.broadcast(wide)).groupBy(_bin(F.col("_x"), F.col("lo"), F.col("hi"), bins).alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
 
 
+def feature_histograms(df: DataFrame, column: str, low: float, high: float, bins: int = 100) -> DataFrame:
+    """(feature, bin, n, p95, p99): a histogram for each place of a vector; values out of bounds count in the outer bins. Not finite ones are left out."""
+    values = df.select(F.posexplode(column).alias("feature", "x")).select(F.col("feature").cast("long").alias("feature"), F.col("x").cast("double").alias("x")).filter(_finite(F.col("x")))
+    cuts = percentiles(values, "x", ["feature"]).select(F.col("_b0").alias("feature"), "p95", "p99")  # a row a place
+    inside = F.least(F.greatest("x", F.lit(low)), F.lit(high))
+    counts = values.groupBy("feature", _bin(inside, F.lit(low), F.lit(high), bins).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.join(cuts, "feature").select("feature", "bin", "n", "p95", "p99")
+
+
 def histogram_spec(spec, index: int, names: Sequence[str] | None = None) -> dict:
     """Histogram settings of one feature: bins, and range, underflow and overflow where given.
 

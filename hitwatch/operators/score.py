@@ -61,6 +61,11 @@ def neighbour_forecast(assembled: DataFrame, nodes: DataFrame, layout: Layout, f
     return nodes.select(*key).join(summed, key, "left").select(*key, (F.coalesce("_sq", F.lit(0.0)) / (layout.bins * len(features))).alias("mse"))
 
 
+def vector_scores(nodes: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(window_id, channel, mse) of predictions ``pred`` against the nodes' targets ``y``."""
+    return nodes.select("window_id", "channel", "y").join(predicted, ["window_id", "channel"]).select("window_id", "channel", mse(F.col("pred"), F.col("y")).alias("mse"))
+
+
 def window_scores(node_scores: DataFrame) -> DataFrame:
     """(window_id, score_mean, score_max, n_nodes)."""
     return node_scores.groupBy("window_id").agg(F.avg("mse").alias("score_mean"), F.max("mse").alias("score_max"), F.count("*").alias("n_nodes"))

@@ -65,9 +65,20 @@ def window_ids(index: Column, span: int, stride: int, count: int) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _frame_starts(index: Column, layout: Layout, n_windows: int, w: int) -> Column:
+    """Starts of the frames that contain an event and are the frame number ``w`` of a window."""
+    return F.transform(window_ids(index - w * layout.size, layout.size, layout.stride, n_windows), lambda k: k * layout.stride + w * layout.size)
+
+
 def used_frames(index: Column, layout: Layout, n_windows: int) -> Column:
-    """Starts of the distinct frames that contain an event and that some window uses."""
+    """Starts of the distinct frames that contain an event and that some window uses.
+
+    Where few candidates are in reach they are tested; where many are, the starts of each place in a window are listed.
+    """
     step = gcd(layout.size, layout.stride)
+    if layout.size // step > 2:
+        each = [_frame_starts(index, layout, n_windows, w) for w in range(layout.history + 1)]
+        return F.array_distinct(F.concat(*each)) if len(each) > 1 else each[0]
     first = F.greatest(F.ceil((index - layout.size + 1) / step).cast("long"), F.lit(0).cast("long"))
     starts = F.transform(F.sequence(first, F.floor(index / step).cast("long")), lambda j: j * step)
     return F.filter(starts, lambda f: is_used(f, layout, n_windows))
@@ -131,9 +142,22 @@ def signal_windows(signal: DataFrame, size: int, stride: int, n: int) -> DataFra
     return items.select("window_id", F.transform("_s", lambda s: s["v"]).alias("values"), F.transform("_s", lambda s: s["label"]).alias("labels"))
 
 
-def history_pairs(frames: DataFrame, history: int, stride: int = 1) -> DataFrame:
-    """Past frames and target over materialised windows: (sample, lag, source window); lag ``history`` is the target."""
-    ids = frames.select("window_id").distinct()
-    last = ids.agg(F.max("window_id").alias("_last"))
-    starts = ids.filter(F.col("window_id") % stride == 0).crossJoin(F.broadcast(last)).filter(F.col("window_id") + history <= F.col("_last"))
-    return starts.select((F.col("window_id") / stride).cast("long").alias("sample"), F.posexplode(F.sequence(F.col("window_id"), F.col("window_id") + history)).alias("lag", "window_id")).select("sample", F.col("lag").cast("long").alias("lag"), "window_id")
+def over_windows(history: int, stride: int = 1, bins: int = 1) -> Layout:
+    """Layout of samples over materialised windows: each window is a frame of one place."""
+    return Layout(size=1, stride=stride, history=history, bins=bins)
+
+
+def history_pairs(spark, n_windows: int, history: int, stride: int = 1) -> DataFrame:
+    """Past and target windows of samples over ``n_windows`` windows, hits or not: (sample, lag, window_id); lag ``history`` is the target."""
+    samples = windows(spark, over_windows(history, stride), n_windows)
+    lags = samples.select(F.col("window_id").alias("sample"), F.posexplode(F.sequence("start", "end")).alias("lag", "window_id"))
+    return lags.select("sample", F.col("lag").cast("long").alias("lag"), "window_id")
+
+
+def bin_arrays(features: DataFrame, bins: int, names=DEFAULT_FEATURES) -> DataFrame:
+    """(window_id, channel, bins): an array for each bin with its features, zeros where a bin has no hits. ``bins`` rows are gathered at most."""
+    cells = F.map_from_entries(F.collect_list(F.struct("bin", F.array(*[F.col(f).cast("double") for f in check_features(names)]))))
+    empty = F.array(*[F.lit(0.0)] * len(names))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+    grouped = features.groupBy("window_id", "channel").agg(cells.alias("_c"))
+    return grouped.select("window_id", "channel", F.transform(places, lambda b: F.coalesce(F.try_element_at("_c", b), empty)).alias("bins"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitwatch.operators.hits import channel_partials, index_hits
-from hitwatch.operators.index import order_events
+from hitwatch.operators.index import event_order, indexed
 from hitwatch.operators.windows import Layout, frame_features
 
 
@@ -61,10 +61,9 @@ class Prepared:
     """Indexed events, their number, and indexed hits of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
-        self.events = order_events(events(spark, sf_dir))
-        self.n = self.events.count()
-        self.hits = index_hits(hits(spark, sf_dir), self.events)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.events, self.n = indexed(events(spark, sf_dir), event_order(), "event_idx")
+        self.hits = index_hits(hits(spark, sf_dir), self.events, n_events=self.n)
 
     def frames(self, layout: Layout) -> DataFrame:
         return frame_features(channel_partials(self.hits), layout, self.n)
@@ -96,13 +95,13 @@ nw AS (SELECT CASE WHEN count(*) >= {layout.span} THEN (count(*) - {layout.span}
 wins AS (SELECT unnest(range(0, nw)) AS window_id FROM nw),
 uses AS (SELECT window_id, w, window_id * {layout.stride} + w * {layout.size} AS frame_start FROM wins, (SELECT unnest(range(0, {layout.history + 1})) AS w)),
 starts AS (SELECT DISTINCT frame_start FROM uses),
-raw AS (SELECT frame_start, channel, {sql_bin("event_idx - frame_start", layout)} AS bin, sum(integral) AS sum, count(*) AS cnt, min(integral) AS min, max(integral) AS max, sum(integral * integral) AS sq
-  FROM starts JOIN ih ON event_idx >= frame_start AND event_idx < frame_start + {layout.size} GROUP BY ALL),
-frames AS (SELECT frame_start, channel, bin, sum, cnt, sum / cnt AS mean, min, max, sqrt(greatest(sq / cnt - (sum / cnt) * (sum / cnt), 0)) AS stdev FROM raw),
-asm AS (SELECT window_id, w, f.* FROM uses u JOIN frames f USING (frame_start))"""
+raw AS MATERIALIZED (SELECT frame_start, channel, {sql_bin("event_idx - frame_start", layout)} AS bin, sum(integral) AS sum, count(*) AS cnt, min(integral) AS min, max(integral) AS max, sum(integral * integral) AS sq
+  FROM (SELECT *, unnest(range(greatest(event_idx - {layout.size - 1}, 0), event_idx + 1)) AS frame_start FROM ih) JOIN starts USING (frame_start) GROUP BY ALL),
+frames AS MATERIALIZED (SELECT frame_start, channel, bin, sum, cnt, sum / cnt AS mean, min, max, sqrt(greatest(sq / cnt - (sum / cnt) * (sum / cnt), 0)) AS stdev FROM raw),
+asm AS MATERIALIZED (SELECT window_id, w, f.* FROM uses u JOIN frames f USING (frame_start))"""
 
 
 SQL_NODES = """
-act AS (SELECT window_id, channel FROM asm WHERE w < {history} GROUP BY ALL HAVING sum(abs(sum) + abs(min) + abs(max) + abs(stdev) + abs(cnt)) > 1e-6),
+act AS MATERIALIZED (SELECT window_id, channel FROM asm WHERE w < {history} GROUP BY ALL HAVING sum(abs(sum) + abs(min) + abs(max) + abs(stdev) + abs(cnt)) > 1e-6),
 kept AS (SELECT * FROM act UNION ALL SELECT window_id, 0 FROM wins WHERE window_id NOT IN (SELECT window_id FROM act)),
-nodes AS (SELECT window_id, channel, row_number() OVER (PARTITION BY window_id ORDER BY channel) - 1 AS node_rank, count(*) OVER (PARTITION BY window_id) AS m FROM kept)"""
+nodes AS MATERIALIZED (SELECT window_id, channel, row_number() OVER (PARTITION BY window_id ORDER BY channel) - 1 AS node_rank, count(*) OVER (PARTITION BY window_id) AS m FROM kept)"""

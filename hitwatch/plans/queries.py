@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,32 +12,19 @@ from hitwatch.functions import vectors as vec
 from hitwatch.operators import ablation, geometry, graph, hits, index, metrics, predict, score, splits, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
+from hitwatch.plans import source_queries  # noqa: F401  registers its queries
+from hitwatch.plans.registry import ORACLE, QUERIES, query, rounded, slots
+from hitwatch.sources import files
 from hitwatch.sources.scratch import Stored, is_folder, scratch
 from hitwatch.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
 
 LAYOUT = Layout(size=20, stride=20, history=4, bins=4)
 RADIUS = 4
 CELLS = LAYOUT.bins * len(windows.DEFAULT_FEATURES)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
-
-
 #: Added before rounding where values are often exact halves, which the two engines round differently.
 NUDGE = 1.7e-8
 
@@ -45,11 +33,6 @@ def nudged(df: DataFrame, name: str) -> DataFrame:
     return rounded(df.withColumn(name, F.col(name) + NUDGE), name)
 
 
-def slots(df: DataFrame, key: str, column: str, digits: int = 6) -> DataFrame:
-    """(key, slot, value) of an array column."""
-    return df.select(key, F.posexplode(column).alias("slot", "value")).select(key, "slot", F.round("value", digits).alias("value"))
-
-
 # --- order and hits ---------------------------------------------------------------------------------------------
 
 
@@ -127,11 +110,28 @@ def signal_windows(spark, sf_dir):
     return made.select("window_id", F.posexplode(F.arrays_zip("values", "labels")).alias("pos", "_s")).select("window_id", "pos", F.col("_s.values").alias("v"), F.col("_s.labels").alias("label"))
 
 
-@query(f"""WITH {fx.sql_frames(Layout(20, 20, 0, 1))}, ids AS (SELECT DISTINCT window_id FROM asm)
-SELECT s.window_id AS sample, lag, s.window_id + lag AS window_id FROM ids s, (SELECT unnest(range(0, 4)) AS lag) WHERE s.window_id + 3 <= (SELECT max(window_id) FROM ids)""")
+@query(f"""WITH {fx.sql_frames(Layout(20, 20, 0, 1))} SELECT s::BIGINT AS sample, lag::BIGINT AS lag, (s * 2 + lag)::BIGINT AS window_id
+FROM (SELECT unnest(range(0, (nw - 3 + 1) // 2)) AS s FROM nw WHERE nw > 3), (SELECT unnest(range(0, 4)) AS lag)""")
 def history_target_pairs(spark, sf_dir):
     p = fx.Prepared(spark, sf_dir)
-    return windows.history_pairs(windows.dense_window_features(p.hits, Layout(20, 20), p.n), 3)
+    return windows.history_pairs(spark, Layout(20, 20).count(p.n), 3, 2)
+
+
+_SAVED = Layout(20, 20, 0, 4)
+
+
+@query(f"""WITH {fx.sql_frames(_SAVED)}, c AS (SELECT DISTINCT window_id, channel FROM asm), s AS (SELECT *, unnest(range(0, 8)) AS slot FROM c)
+SELECT s.window_id, s.channel, s.slot::INT AS slot, round(coalesce(CASE WHEN s.slot % 2 = 0 THEN sum ELSE cnt END, 0)::DOUBLE, 6) AS value, '20' AS window_size, b.run AS first_run
+FROM s LEFT JOIN asm a ON a.window_id = s.window_id AND a.channel = s.channel AND a.bin = s.slot // 2 JOIN idx b ON b.event_idx = s.window_id * 20""")
+def saved_windows(spark, sf_dir):
+    """Windows, their metadata and settings written and read back; bins flattened."""
+    p, path = fx.Prepared(spark, sf_dir), scratch(spark, "saved")
+    made = windows.bin_arrays(windows.dense_window_features(p.hits, _SAVED, p.n), _SAVED.bins, ("sum", "cnt"))
+    files.save_windows(made, windows.provenance(spark, p.events, _SAVED, p.n), {"window_size": _SAVED.size}, path)
+    rows, meta, settings = files.load_windows(spark, path)
+    flat = files.flatten_bins(rows).select("window_id", "channel", F.posexplode("bins").alias("slot", "value"))
+    known = flat.join(meta.select("window_id", "first_run"), "window_id")
+    return rounded(known.withColumn("window_size", F.lit(settings["window_size"])), "value")
 
 
 # --- graphs and forecasts ---------------------------------------------------------------------------------------
@@ -145,12 +145,20 @@ class Graph:
         self.n = LAYOUT.count(p.n)
         # nodes, scores and vectors all start from the frames, which cost most to make
         self.rows = graph.assemble(Stored(p.frames(LAYOUT), "frames").df, LAYOUT, self.n)
-        self.channels = hits.channel_count(p.hits)
+        self.prepared = p
+
+    @cached_property
+    def channels(self) -> int:
+        return hits.channel_count(fx.hits(self.prepared.spark, self.prepared.sf_dir))
 
     @property
     def nodes(self) -> DataFrame:
         return graph.active_nodes(self.rows, LAYOUT, self.n)
 
+    @property
+    def cells(self) -> DataFrame:
+        return graph.node_cells(self.rows, LAYOUT, self.n)
+
 
 _GRAPH = fx.sql_frames(LAYOUT) + "," + fx.SQL_NODES.format(history=LAYOUT.history)
 _SCORES = f"""{_GRAPH},
@@ -174,14 +182,14 @@ def collate_nodes(spark, sf_dir):
 SELECT window_id, channel, slot::BIGINT AS slot, round(value, 6) AS value FROM x WHERE value <> 0 UNION ALL SELECT window_id, channel, 0, round(node_rank / greatest(m - 1, 1), 6) FROM nodes""")
 def node_vectors(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return rounded(graph.node_slots(g.rows, g.nodes, LAYOUT), "value")
+    return rounded(graph.node_slots(g.cells, LAYOUT), "value")
 
 
 @query(f"""WITH {_GRAPH}, t AS (SELECT window_id, channel, sum(sum) AS s, sum(cnt) AS c FROM asm WHERE w = 4 GROUP BY ALL), h AS (SELECT window_id, channel, sum(sum) AS s FROM asm WHERE w < 4 GROUP BY ALL)
 SELECT n.window_id, n.channel, n.node_rank, 81 AS x_width, 20 AS y_width, coalesce(h.s, 0) AS x_sum, coalesce(t.s, 0) AS y_sum, coalesce(t.c, 0)::DOUBLE AS y_cnt FROM nodes n LEFT JOIN t USING (window_id, channel) LEFT JOIN h USING (window_id, channel)""")
 def node_vector_sums(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    full = graph.node_vectors(g.rows, g.nodes, LAYOUT)
+    full = graph.node_vectors(g.cells, LAYOUT)
     places = lambda start, c: F.aggregate(F.sequence(F.lit(start), F.size(c) - 1, F.lit(5)), F.lit(0.0), lambda a, i: a + F.get(F.col(c), i))
     return full.select("window_id", "channel", "node_rank", F.size("x").alias("x_width"), F.size("y").alias("y_width"), places(1, "x").alias("x_sum"), places(0, "y").alias("y_sum"), places(4, "y").alias("y_cnt"))
 
@@ -191,7 +199,7 @@ def band_edges(spark, sf_dir):
     return graph.band_edges(spark, hits.channel_count(fx.hits(spark, sf_dir)), RADIUS)
 
 
-_EDGES = f"{_GRAPH}, edges AS (SELECT a.window_id, a.node_rank AS src, b.node_rank AS dst, a.channel AS src_channel, b.channel AS dst_channel FROM nodes a JOIN nodes b ON a.window_id = b.window_id AND abs(a.channel - b.channel) <= {RADIUS})"
+_EDGES = f"{_GRAPH}, edges AS (SELECT a.window_id, a.node_rank AS src, b.node_rank AS dst, a.channel AS src_channel, b.channel AS dst_channel FROM (SELECT *, channel + unnest(range(-{RADIUS}, {RADIUS} + 1)) AS other FROM nodes) a JOIN nodes b ON a.window_id = b.window_id AND a.other = b.channel)"
 
 
 @query(f"WITH {_EDGES} SELECT window_id, src, dst, src_channel, dst_channel FROM edges")
@@ -288,14 +296,62 @@ def node_score_grid(spark, sf_dir):
     return rounded(grid, "mse", digits=9)
 
 
+def _half_and_quarter(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A linear model for the predictor plug-in: half the last frame, a quarter of the one before, an eighth of the number of neighbours."""
+    return 0.5 * x[:, -CELLS:] + 0.25 * x[:, -2 * CELLS : -CELLS] + 0.125 * np.bincount(edges[1], minlength=len(x))[:, None]
+
+
+_MODEL = f"""{_EDGES}, deg AS (SELECT window_id, dst_channel AS channel, count(*) AS d FROM edges GROUP BY ALL),
+grid AS (SELECT n.window_id, n.channel, d, unnest(range(0, {LAYOUT.bins})) AS bin FROM nodes n JOIN deg USING (window_id, channel)),
+told AS (SELECT g.window_id, g.channel, g.bin, any_value(d) AS d, {", ".join(f"coalesce(sum(CASE w WHEN 3 THEN 0.5 WHEN 2 THEN 0.25 WHEN 4 THEN -1 ELSE 0 END * a.{f}), 0) + 0.125 * any_value(d) AS d_{f}" for f in _FEATS)} FROM grid g LEFT JOIN asm a ON a.window_id = g.window_id AND a.channel = g.channel AND a.bin = g.bin GROUP BY ALL),
+mses AS (SELECT window_id, channel, sum({" + ".join(f"d_{f} * d_{f}" for f in _FEATS)}) / {CELLS} AS mse FROM told GROUP BY ALL),
+ws AS (SELECT window_id, avg(mse) AS score_mean, max(mse) AS score_max FROM mses GROUP BY window_id)"""
+
+
+@query(f"""WITH {_MODEL} SELECT m.window_id, m.channel, round(mse + {NUDGE}, 6) AS mse, round(score_mean + {NUDGE}, 6) AS score_mean, round(score_max + {NUDGE}, 6) AS score_max, score_max > 2000.25 AS is_anomaly, a.run AS first_run, a.evt AS first_evt, b.evt AS last_evt
+FROM mses m JOIN ws USING (window_id) JOIN idx a ON a.event_idx = m.window_id * 20 JOIN idx b ON b.event_idx = m.window_id * 20 + 99""")
+def model_scores(spark, sf_dir):
+    """Inference from end to end: window graphs, a model's forecasts, node and window scores, flags and provenance, saved and read back."""
+    g, path = Graph(spark, sf_dir), scratch(spark, "scores")
+    cells = Stored(g.cells, "cells").df
+    nodes = graph.node_vectors(cells, LAYOUT)
+    told = predict.predict_windows(nodes, graph.pruned_edges(cells.select("window_id", "channel", "node_rank"), RADIUS), _half_and_quarter)
+    node_scores = Stored(score.vector_scores(nodes, told), "node_scores").df
+    flagged = score.window_scores(node_scores).withColumn("is_anomaly", score.flag(score.score_column("max"), 2000.25))
+    files.save_scores(flagged.join(windows.provenance(spark, g.prepared.events, LAYOUT, g.prepared.n), "window_id"), node_scores, path)
+    by_window, by_node = files.load_scores(spark, path)
+    kept = by_node.join(by_window.select("window_id", "score_mean", "score_max", "is_anomaly", "first_run", "first_evt", "last_evt"), "window_id")
+    for name in ("mse", "score_mean", "score_max"):
+        kept = nudged(kept, name)
+    return kept
+
+
+_OVER = Layout(20, 20, 0, 1)
+
+
+@query(f"""WITH {fx.sql_frames(_OVER)}, k AS (SELECT unnest(range(0, CASE WHEN nw > 3 THEN (nw - 3 + 1) // 2 ELSE 0 END)) AS sample FROM nw), part AS (SELECT sample, window_id - 2 * sample AS lag, channel, sum, cnt FROM k JOIN asm ON window_id >= 2 * sample AND window_id <= 2 * sample + 3),
+act AS (SELECT sample, channel FROM part WHERE lag < 3 GROUP BY ALL HAVING sum(abs(sum) + cnt) > 1e-6), kept AS (SELECT * FROM act UNION ALL SELECT sample, 0 FROM k WHERE sample NOT IN (SELECT sample FROM act)),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY channel) - 1 AS node_rank, count(*) OVER (PARTITION BY sample) AS m FROM kept), s AS (SELECT *, unnest(range(0, 9)) AS slot FROM n)
+SELECT s.sample, s.channel, s.node_rank, s.slot::INT AS slot, round(CASE WHEN s.slot = 0 THEN s.node_rank / greatest(m - 1, 1) ELSE coalesce(CASE WHEN (s.slot - 1) % 2 = 0 THEN sum ELSE cnt END, 0) END::DOUBLE, 6) AS value
+FROM s LEFT JOIN part p ON p.sample = s.sample AND p.channel = s.channel AND p.lag = (s.slot - 1) // 2 AND s.slot > 0""")
+def history_graphs(spark, sf_dir):
+    """Graph samples over materialised windows: node vectors of three past windows (slots 0 to 6) and of the target (7 and 8), every second window on."""
+    p, over, names = fx.Prepared(spark, sf_dir), windows.over_windows(3, 2), ("sum", "cnt")
+    made = windows.dense_window_features(p.hits, _OVER, p.n).withColumnRenamed("window_id", "frame_start")
+    n = over.count(_OVER.count(p.n))
+    cells = graph.node_cells(graph.assemble(made, over, n), over, n, names)
+    full = graph.node_vectors(cells, over, len(names)).select(F.col("window_id").alias("sample"), "channel", "node_rank", F.posexplode(F.concat("x", "y")).alias("slot", "value"))
+    return rounded(full, "value")
+
+
 # --- joins and vectors ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {fx.SQL_HITS} SELECT e.run, e.subrun, e.evt, round(o_totalprice, 2) AS light FROM ev e JOIN orders o ON o.o_orderkey = e.evt WHERE e.evt % 3 <> 0")
+@query(f"WITH {fx.SQL_HITS} SELECT e.run, e.subrun, e.evt, round(l_extendedprice, 2) AS light FROM ev e JOIN lineitem l ON l.l_orderkey = e.evt")
 def event_join(spark, sf_dir):
-    ev = fx.events(spark, sf_dir)
-    light = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.year("o_orderdate").cast("long").alias("r"), F.month("o_orderdate").cast("long").alias("s"), F.col("o_orderkey").cast("long").alias("e"), F.round("o_totalprice", 2).alias("light"))
-    return score.join_events(ev, light, {"run": "r", "subrun": "s", "evt": "e"}).select("run", "subrun", "evt", "light")
+    """Events with every light signal of theirs; events without any have no row."""
+    light = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("e"), F.round("l_extendedprice", 2).alias("light"))
+    return score.join_events(fx.events(spark, sf_dir), light, {"evt": "e"}).select("run", "subrun", "evt", "light")
 
 
 @query("""WITH v AS (SELECT vec_id, label = 0 AS label, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, label::INT AS label, unnest(range(0, 128))::INT AS slot, round(unnest(list_concat(x, x)), 6) AS value FROM v""")
@@ -396,23 +452,39 @@ def reconstruction_scores(spark, sf_dir):
     return rounded(_reconstructed(spark, sf_dir).select("vec_id", "label", "score"), "score", digits=9)
 
 
-@query()
+_NETWORK = predict.DenseReLU.seeded([64, 8, 64])
+
+
+def _network_sql() -> str:
+    """The network's layers written out: a weighted sum for each output."""
+    (w1, _), (w2, _) = _NETWORK.layers
+    sums = lambda w, x: ", ".join(f"list_inner_product({[float(c) for c in row]}, {x})" for row in w)
+    hidden = f"list_transform([{sums(w1, 'x')}], lambda h: greatest(h, 0))"
+    return f"""WITH v AS (SELECT vec_id, (label = 0)::INT AS label, embedding::DOUBLE[] AS x FROM embeddings), h AS (SELECT *, {hidden} AS h FROM v), y AS (SELECT *, [{sums(w2, 'h')}] AS y FROM h)
+SELECT vec_id, label, round(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / len(x), 6) AS score FROM y"""
+
+
+@query(_network_sql())
 def network_scores(spark, sf_dir):
-    """A dense network's reconstruction errors; no SQL, tests compare with NumPy."""
-    return predict.score_vectors(fx.vectors(spark, sf_dir), "x", predict.DenseReLU.seeded([64, 16, 64])).select("vec_id", "label", "score")
+    """A dense network's reconstruction errors."""
+    return rounded(predict.score_vectors(fx.vectors(spark, sf_dir), "x", _NETWORK).select("vec_id", "label", "score"), "score")
 
 
-@query("""WITH t AS (SELECT year(o_orderdate)::BIGINT AS run, month(o_orderdate)::BIGINT AS subrun, o_orderkey::BIGINT AS evt, round(o_totalprice / 1e6, 6) AS a, CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 100) / 100.0::DOUBLE ELSE 0 END AS b, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 97) / 97.0::DOUBLE ELSE 0 END AS c FROM orders)
-SELECT run, subrun, evt, a AS tpc_score, b AS pmt_score, c AS window_score, greatest(a, b, c) AS max_score, a > 0.45 OR b > 0.9 AS alert FROM t""")
+@query("""WITH p AS (SELECT l_orderkey, count(*) / 7.0 AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), w AS (SELECT l_orderkey, max(l_discount) AS c FROM lineitem WHERE l_tax > 0.05 GROUP BY l_orderkey),
+t AS (SELECT year(o_orderdate)::BIGINT AS run, month(o_orderdate)::BIGINT AS subrun, o_orderkey::BIGINT AS evt, round(o_totalprice / 1e6, 6) AS a, round(coalesce(b, 0), 6)::DOUBLE AS b, round(coalesce(c, 0), 6)::DOUBLE AS c
+  FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN w ON w.l_orderkey = o_orderkey)
+SELECT run, subrun, evt, a AS tpc_score, b AS pmt_score, c AS window_score, greatest(a, b, c) AS max_score, a > 0.45 OR b > 0.5 AS alert FROM t""")
 def multi_branch_alerts(spark, sf_dir):
-    o = fx.table(spark, sf_dir, "orders")
+    """Three branches of scores; not every event has one in each."""
+    o, lines = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "lineitem")
     key = [F.year("o_orderdate").cast("long").alias("run"), F.month("o_orderdate").cast("long").alias("subrun"), F.col("o_orderkey").cast("long").alias("evt")]
+    scored = lambda keep, value: o.join(lines.filter(keep).groupBy("l_orderkey").agg(F.round(value, 6).alias("score")), F.col("o_orderkey") == F.col("l_orderkey")).select(*key, "score")
     branches = {
         "tpc": o.select(*key, F.round(F.col("o_totalprice") / 1e6, 6).alias("score")),
-        "pmt": o.filter("o_orderkey % 3 <> 0").select(*key, ((F.col("o_custkey") % 100) / 100.0).alias("score")),
-        "window": o.filter("o_orderkey % 2 = 0").select(*key, ((F.col("o_orderkey") % 97) / 97.0).alias("score")),
+        "pmt": scored(F.col("l_returnflag") == "R", F.count("*") / 7.0),
+        "window": scored(F.col("l_tax") > 0.05, F.max("l_discount").cast("double")),
     }
-    return score.multi_branch(branches, {"tpc": 0.45, "pmt": 0.9, "window": None})
+    return score.multi_branch(branches, {"tpc": 0.45, "pmt": 0.5, "window": None})
 
 
 _LABELLED = "s AS (SELECT n_chars::DOUBLE AS score, toxic AS label FROM documents JOIN labels USING (doc_id))"
@@ -475,10 +547,22 @@ def best_f1(spark, sf_dir):
 _BRANCHES = ["quantity", "discount", "tax"]
 
 
-@query("SELECT * FROM (VALUES ('baseline_all', 'quantity,discount,tax', NULL), ('minus_quantity', 'discount,tax', 'quantity'), ('minus_discount', 'quantity,tax', 'discount'), ('minus_tax', 'quantity,discount', 'tax')) t(variant, branches, removed) WHERE (SELECT count(*) FROM lineitem) > 0")
+def _variants_sql() -> str:
+    each = [f"SELECT '{name}' AS variant, '{','.join(kept)}' AS branches, {repr(gone) if gone else 'NULL'} AS removed, {' + '.join(f'l_{b}' for b in kept)} AS x FROM lineitem" for name, kept, gone in ablation.variants(_BRANCHES)]
+    return f"WITH v AS ({' UNION ALL '.join(each)}) SELECT variant, branches, removed, count(*) AS n_values, round(sum(x), 2) AS total FROM v GROUP BY ALL"
+
+
+@query(_variants_sql())
 def ablation_variants(spark, sf_dir):
-    there = fx.ragged(spark, sf_dir).columns
-    return ablation.variants_table(spark, [b for b in there if b in _BRANCHES]).select("variant", F.array_join("branches", ",").alias("branches"), "removed")
+    """What each variant keeps of all events: its branches, hits and the sum of their values."""
+    events = fx.ragged(spark, sf_dir)
+    table = ablation.variants_table(spark, [b for b in events.columns if b in _BRANCHES])  # a row a variant
+    values = events.select(F.explode(F.arrays_zip(*_BRANCHES)).alias("h")).crossJoin(F.broadcast(table))
+    kept = F.lit(0.0)
+    for b in _BRANCHES:
+        kept = kept + F.when(F.array_contains("branches", b), F.col(f"h.{b}")).otherwise(0.0)
+    grouped = values.groupBy("variant", F.array_join("branches", ",").alias("branches"), "removed").agg(F.count("*").alias("n_values"), F.sum(kept).alias("total"))
+    return rounded(grouped, "total", digits=2)
 
 
 def _ablation_sql() -> str:
@@ -523,7 +607,7 @@ def bootstrap_sample(spark, sf_dir):
 
 
 @query("""SELECT 'posWire_' || CASE p_partkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'V' WHEN 2 THEN 'Y' ELSE 'Q' END || '_' || p_partkey AS name, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 7)::DOUBLE AS z,
-CASE WHEN p_partkey % 4 < 3 THEN p_partkey % 4 END::INT AS plane, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END::INT AS channel, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END::INT AS wire FROM part""")
+CASE WHEN p_partkey % 4 < 3 THEN p_partkey % 4 END::INT AS plane, p_partkey::INT AS channel, p_partkey::INT AS wire FROM part""")
 def wire_positions(spark, sf_dir):
     letter = F.element_at(F.array(*map(F.lit, "UVYQ")), (F.col("p_partkey") % 4).cast("int") + 1)
     xml = F.format_string('<position name="posWire_%s_%d" x="%d" y="%s" z="%d"/>', letter, "p_partkey", "p_size", F.col("p_retailprice").cast("string"), F.col("p_partkey") % 7)
@@ -567,7 +651,7 @@ def stream_vectors(spark, sf_dir):
 @query(f"WITH {_STREAM} SELECT event_id, round(avg((value - 0.5) * (value - 0.5)), 6) AS score FROM z GROUP BY event_id")
 def stream_scores(spark, sf_dir):
     made = _stream_rows(_event_stream(spark, sf_dir))
-    scored = made.select("event_id", vec.mse(F.col("x"), F.transform("x", lambda e: F.lit(0.5))).alias("score"))
+    scored = predict.score_vectors(made, "x", lambda x: np.full_like(x, 0.5)).select("event_id", "score")
     return rounded(_streamed(scored, "scores"), "score")
 
 
@@ -581,9 +665,9 @@ def stream_windows(spark, sf_dir):
     folder = scratch(spark, "windows")
     rows = fx.table(spark, sf_dir, "events").select((F.col("event_id") / 10).cast("long").alias("event_idx"), F.col("user_id").cast("long").alias("channel"), F.col("value").cast("double").alias("integral"))
     last = rows.agg(F.max("event_idx")).first()[0] + 1
-    parts = 4
-    for i in range(parts):  # arrivals, in order
-        rows.filter(F.col("event_idx").between(last * i // parts, last * (i + 1) // parts - 1)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    parts = max(4, -(-last // 1_000_000))
     sink = jobs.WindowSink(folder, _STREAM_LAYOUT)
-    jobs.run_batches(jobs.read_stream(spark, f"{folder}/in", rows.schema, files_per_batch=1), sink, f"{folder}/checkpoint")
+    for i in range(parts):  # arrivals, in order: a batch takes all files of one
+        rows.filter(F.col("event_idx").between(last * i // parts, last * (i + 1) // parts - 1)).write.mode("append").parquet(f"{folder}/in")
+        jobs.run_batches(jobs.read_stream(spark, f"{folder}/in", rows.schema, files_per_batch=None), sink, f"{folder}/checkpoint")
     return rounded(sink.frames(spark).select("frame_start", "channel", "bin", "sum", "cnt", "min", "max"), "sum")

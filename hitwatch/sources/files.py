@@ -74,12 +74,24 @@ def flat_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.flatten(column) if nested else F.col(column)).alias("value"))
 
 
-def with_file_index(df: DataFrame, column: str = "source_file", broadcast_files: int = 1_000_000) -> DataFrame:
-    """``df`` with ``file_idx``, the place of the source file in the sorted list of files."""
+def with_file_index(df: DataFrame, column: str = "source_file", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with ``file_idx``, the place of the source file in the sorted list of files, which is broadcast only if its paths are few bytes."""
     from hitwatch.operators.index import with_global_index
 
     files = with_global_index(df.select(column).filter(F.col(column).isNotNull()).distinct(), [F.col(column)], "file_idx")
-    return df.join(F.broadcast(files) if files.count() <= broadcast_files else files, column, "left")
+    size = files.agg(F.coalesce(F.sum(F.octet_length(column) + 24), F.lit(0))).first()[0]
+    return df.join(F.broadcast(files) if size <= broadcast_bytes else files, column, "left")
+
+
+def unread_files(df: DataFrame, paths: Sequence[str], column: str = "source_file", pattern: str = "*.parquet") -> DataFrame:
+    """(source_file) of the files under ``paths`` that gave ``df`` no row: corrupt ones that were skipped, and empty ones."""
+    spark = df.sparkSession
+    there = [p for p in paths if _glob(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "source_file string")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(there).select(F.col("path").alias("source_file"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return listed.select(plain("source_file").alias("source_file")).join(df.select(plain(F.col(column)).alias("source_file")).distinct(), "source_file", "left_anti")
 
 
 _EVENT_COLUMNS = {"event_idx": "long", "run": "long", "subrun": "long", "evt": "long", "file_idx": "long"}
@@ -126,6 +138,10 @@ def save_scores(window_scores: DataFrame, node_scores: DataFrame, path: str) ->
     node_scores.write.mode("overwrite").parquet(f"{path}/node_scores")
 
 
+def load_scores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/window_scores"), spark.read.parquet(f"{path}/node_scores")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Small result tables as CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -14,9 +14,11 @@ from hitwatch.operators.hits import channel_partials
 from hitwatch.operators.windows import Layout, frame_features, is_used
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16, pattern: str | None = None) -> DataFrame:
-    """New Parquet files of a folder, so many a micro-batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 16, pattern: str | None = None) -> DataFrame:
+    """New Parquet files of a folder, so many a micro-batch, or (None) all that are there."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
@@ -42,7 +44,8 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
 class WindowSink:
     """foreachBatch sink that emits the frames that became complete with the hits of arriving, dense event indexes.
 
-    Events must arrive in index order; a batch may hold any number of them. Each batch leaves a subfolder with
+    Events must arrive in index order, each in one batch; a batch may hold any number of them, and one that goes back
+    raises ValueError, as its windows are out already. Each batch leaves a subfolder with
     the hits that later windows still need and one with the last index, so state does not grow with the stream,
     and a repeated batch overwrites its own.
     """
@@ -64,7 +67,9 @@ class WindowSink:
         spark.createDataFrame([], "last long, batch long").write.mode("append").partitionBy("batch").parquet(f"{self.folder}/progress")  # makes the folder
         before, kept = self._before(batch, batch_id)
         hits = batch if kept is None else kept.unionByName(batch)
-        newest = batch.agg(F.max("event_idx")).first()[0]
+        oldest, newest = batch.agg(F.min("event_idx"), F.max("event_idx")).first()
+        if before is not None and oldest is not None and oldest <= before:
+            raise ValueError(f"event {oldest} arrived after event {before}: run the batch job instead")
         now = max((x for x in (before, newest) if x is not None), default=None)
         if now is None:
             return

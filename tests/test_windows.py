@@ -67,7 +67,7 @@ def test_empty_events_keep_their_place(spark):
     rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, n), layout, layout.count(n))
     assert rows.select("window_id").distinct().count() == 13
     nodes = graph.active_nodes(rows, layout, 13)
-    vectors = graph.node_vectors(rows, nodes, layout).collect()
+    vectors = graph.node_vectors(graph.node_cells(rows, layout, 13), layout).collect()
     assert {len(v["x"]) for v in vectors} == {1 + 2 * 5} and {len(v["y"]) for v in vectors} == {2 * 5}
 
 
