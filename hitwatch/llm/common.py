@@ -9,8 +9,8 @@ from hitwatch.sources.scratch import Stored, discard, scratch, shared_dir
 
 __all__ = ["BROADCAST_ROWS", "Stored", "bounded", "crc_fold", "discard", "read", "scratch", "shared_dir"]
 
-#: Sides of a join up to this many rows are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Sides of a join up to this many rows, of 150 bytes or less each, are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -87,6 +87,7 @@ QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe,
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {
     "op2_mix": mixing.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op10_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
