@@ -1,6 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random bipolar vector. A trigram's vector binds (multiplies) its letters' vectors, the
+Each letter of any script has a random bipolar vector of its own, from a counter-based generator keyed by its code point, so
+no table of letters is needed. A trigram's vector binds (multiplies) its letters' vectors, the
 earlier ones rotated by two and one places; a text's vector bundles (adds) those of all its trigrams, and a
 language's prototype bundles the unit vectors of its training texts. A text gets the language whose
 prototype has the largest cosine with its own vector. Everything but letters is one separator.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from hitwatch.llm import common
 
-SYMBOLS = 64
 DIM = 1024
 UNKNOWN = "und"
 
@@ -36,66 +36,71 @@ class Profiles:
 
 
 @lru_cache(maxsize=1)
-def letter_symbols() -> np.ndarray:
-    """Symbol of every code point: 0 for what is no letter, a to z 1 to 26, other letters by hash in 27 to 63."""
-    points = np.arange(0x110000, dtype="u4")
-    letters = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
-    spread = ((points * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(SYMBOLS - 27) + 27
-    out = np.where(letters, spread, 0).astype("u1")
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return out
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=1)
-def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(20240611).choice(np.array([-1, 1], "i1"), (SYMBOLS, DIM))
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """Rows of -1 and 1 of code points: bits of a mixed counter, 64 at a time (the separator is code point 0)."""
+    counter = points.astype("u8")[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype="u8") + np.uint64(20240611)
+    z = counter * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    bits = np.unpackbits((z ^ (z >> np.uint64(31))).astype("<u8").view("u1"), axis=1)
+    return bits.astype("i1") * 2 - 1
 
 
 def trigram_vectors(grams: np.ndarray) -> np.ndarray:
-    """Bound vectors of trigram numbers, as rows."""
-    v = letter_vectors()
-    two, one = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    return (two[grams >> 12] * one[(grams >> 6) & 63] * v[grams & 63]).astype("f4")
+    """Bound vectors of trigrams (three code points in a 64-bit number), as rows."""
+    parts = [grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF]
+    used, place = np.unique(np.concatenate(parts), return_inverse=True)
+    v = letter_vectors(used)
+    first, second, third = place.reshape(3, -1)
+    return (np.roll(v, 2, axis=1)[first] * np.roll(v, 1, axis=1)[second] * v[third]).astype("f4")
 
 
 class Seen:
     """Vectors of the trigrams met so far, kept while they fit."""
 
     def __init__(self, most: int = 12_000) -> None:
-        self.row, self.vectors, self.n = np.full(SYMBOLS**3, -1, "i4"), np.empty((most, DIM), "f4"), 0
+        self.grams, self.rows, self.vectors, self.n = np.zeros(0, "i8"), np.zeros(0, "i8"), np.empty((most, DIM), "f4"), 0
 
     def of(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.row[grams] < 0]
+        """Vectors of distinct, sorted trigrams."""
+        at = np.searchsorted(self.grams, grams)
+        known = at < len(self.grams)
+        known[known] = self.grams[at[known]] == grams[known]
+        new = grams[~known]
         if self.n + len(new) > len(self.vectors):
             return trigram_vectors(grams)
-        self.row[new] = np.arange(self.n, self.n + len(new))
-        self.vectors[self.n : self.n + len(new)] = trigram_vectors(new)
-        self.n += len(new)
-        return self.vectors[self.row[grams]]
+        if len(new):
+            self.vectors[self.n : self.n + len(new)] = trigram_vectors(new)
+            places = np.searchsorted(self.grams, new)
+            self.grams = np.insert(self.grams, places, new)
+            self.rows = np.insert(self.rows, places, np.arange(self.n, self.n + len(new)))
+            self.n += len(new)
+            at = np.searchsorted(self.grams, grams)
+        return self.vectors[self.rows[at]]
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Trigram numbers of a text's letters, separators squeezed to one and put at both ends; empty without letters."""
+    """Trigrams of a text's letters, separators squeezed to one and put at both ends; empty without letters."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    symbols = letter_symbols()[points]
-    if not symbols.any():
-        return np.zeros(0, "i4")
-    s = np.concatenate([[0], symbols, [0]]).astype("i4")
+    kept = np.where(letters()[points], points, 0)
+    if not kept.any():
+        return np.zeros(0, "i8")
+    s = np.concatenate([[0], kept, [0]]).astype("i8")
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    return (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
+    return (s[:-2] << 42) | (s[1:-1] << 21) | s[2:]
 
 
 def bundle(texts: list[str | None], seen: Seen, block: int = 4096) -> np.ndarray:
     """The texts' vectors, as rows; zero for a text without letters."""
-    grams = [trigrams(t) for t in texts]
-    of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    flat = np.concatenate([*grams, np.zeros(0, "i4")])
-    there = np.zeros(SYMBOLS**3, bool)
-    there[flat] = True
-    used = np.flatnonzero(there)
-    place = np.zeros(SYMBOLS**3, "i8")
-    place[used] = np.arange(len(used))
-    counts = np.bincount(of * max(1, len(used)) + place[flat], minlength=len(texts) * len(used)).reshape(len(texts), len(used)).astype("f4")
+    counted = [np.unique(trigrams(t), return_counts=True) for t in texts]
+    used, place = np.unique(np.concatenate([*(g for g, _ in counted), np.zeros(0, "i8")]), return_inverse=True)
+    counts = np.zeros((len(texts), len(used)), "f4")
+    counts[np.repeat(np.arange(len(texts)), [len(g) for g, _ in counted]), place] = np.concatenate([*(n for _, n in counted), np.zeros(0, "i8")])
     out = np.zeros((len(texts), DIM), "f4")
     for i in range(0, len(used), block):
         out += counts[:, i : i + block] @ seen.of(used[i : i + block])
