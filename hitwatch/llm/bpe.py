@@ -2,13 +2,18 @@
 
 A rolling hash over the last 16 characters cuts each text into chunks whose borders depend on content alone,
 so passages that documents share become equal chunks; a task encodes each distinct chunk once and keeps it.
-Chunks joined end to end may tokenise differently around the cut: a window from the last-but-one certain word border
-before it to the second one after it is encoded anew, and spliced in once its outer words agree exactly with what the two chunks
-have there. A border is certain between a character and a single space that are both followed by non-space:
-the pre-tokeniser always splits there. Chunks without enough such borders grow by their neighbours; a text that has none over ``MOST`` characters is encoded in one piece.
+Chunks joined end to end may tokenise differently around the cut. A window around it is encoded anew: from the last-but-one
+certain word border before it to the second one after it, and from one border further out on either side each time its outer words
+do not agree exactly with what the two chunks have there; a text whose borders run out is encoded in one piece. A border is certain
+between a character and a single space that are both followed by non-space: the pre-tokeniser always splits there. Chunks without
+enough such borders grow by their neighbours; a text that has none over ``MOST`` characters is encoded in one piece.
 
-Texts with special tokens, or with characters outside blocks whose classes are fixed in every Unicode
-version, are encoded whole by the tokenizers library. Chunks go through the same vocabulary as merge ranks.
+Runs with special tokens, or with characters outside blocks whose classes are fixed in every Unicode version, are cut out at certain
+borders, a word away from them on either side, and encoded by the tokenizers library; the text around them goes by chunks. Chunks go
+through the same vocabulary as merge ranks.
+
+"Once" holds for a task. Sharing chunks among tasks was weighed and left out: of the chunks of the 1,000 documents of the smallest
+tables 7 % repeat, and finding them would take a pass over all texts and an exchange of the chunks to save less than that pass costs.
 
 Defined cases: a null text counts as empty and has no tokens; decoding null ids gives null; repeated rows
 are encoded alike; other columns are not touched. The chunk memo is bounded (``MEMO_BYTES`` a worker), and
@@ -36,6 +41,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 256, 16_384
 MEMO_BYTES = 48 << 20
+#: Certain borders that a chunk keeps at either end: how far a window can widen.
+BORDERS = 8
 BLOCK = 1 << 20
 #: Fixed value: how the byte-level pre-tokeniser splits a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,14 +86,14 @@ def cuts(text: str) -> list[int]:
 
 
 class Chunk:
-    """Ids of a piece of text, and its two outermost certain borders at either end as (characters, tokens)."""
+    """Ids of a piece of text, and its outermost certain borders at either end as (characters, tokens), at least two of them unless it has fewer."""
 
     __slots__ = ("head", "ids", "tail", "text")
 
     def __init__(self, text: str, ids: array, sizes: list[int]) -> None:
         self.text, self.ids, self.head, self.tail = text, ids, [], []
         at = tokens = done = 0
-        while len(self.head) < 2 and (at := text.find(" ", at + 1)) > 0:
+        while len(self.head) < BORDERS and (at := text.find(" ", at + 1)) > 0:
             if certain(text, at):
                 size = len(text[:at].encode())
                 while done < size:
@@ -94,7 +101,7 @@ class Chunk:
                     tokens += 1
                 self.head.append((at, tokens))
         at, tokens, left = len(text), len(ids), 0
-        while len(self.tail) < 2 and (at := text.rfind(" ", 1, at)) > 0:
+        while len(self.tail) < BORDERS and (at := text.rfind(" ", 1, at)) > 0:
             if certain(text, at):
                 size = len(text[at:].encode())
                 while left < size:
@@ -104,13 +111,42 @@ class Chunk:
 
     @property
     def joins(self) -> bool:
-        return len(self.head) == 2 == len(self.tail) and self.head[1][0] < self.tail[1][0]
+        return min(len(self.head), len(self.tail)) > 1 and self.head[1][0] < self.tail[1][0]
+
+    def reach(self, other: Chunk) -> int:
+        """How many borders a window between this chunk and the next can take in on either side: none beyond a chunk's middle, so windows of a chunk never meet."""
+        mine = sum(self.tail[i][0] > self.head[i][0] for i in range(min(len(self.head), len(self.tail))))
+        theirs = sum(other.tail[i][0] > other.head[i][0] for i in range(min(len(other.head), len(other.tail))))
+        return min(mine, theirs)
 
 
 def certain(text: str, at: int) -> bool:
     return 0 < at < len(text) - 1 and not text[at - 1].isspace() and not text[at + 1].isspace()
 
 
+def border_before(text: str, at: int, least: int) -> int:
+    """The second certain border before a place, or ``least`` where there is none after it."""
+    for _ in range(2):
+        at = text.rfind(" ", least, at)
+        while at > least and not certain(text, at):
+            at = text.rfind(" ", least, at)
+        if at <= least:
+            return least
+    return at
+
+
+def border_after(text: str, at: int) -> int:
+    """The second certain border from a place on, or the text's end."""
+    at -= 1
+    for _ in range(2):
+        at = text.find(" ", at + 1)
+        while at >= 0 and not certain(text, at):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            return len(text)
+    return at
+
+
 class Codec:
     """Encoder and decoder of one worker for one tokenizer file."""
 
@@ -131,6 +167,9 @@ class Codec:
         if self.by_chunks:
             ranks = {b: i for i, (b, t) in enumerate(zip(self.bytes, tokens, strict=True)) if t not in special}
             self.ranked = tiktoken.Encoding("chunks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        # special tokens that hold spaces could reach over a certain border: then all of a text goes to the library
+        self.by_chunks = self.by_chunks and not any(" " in t for t in self.specials)
+        self.odd = re.compile("|".join([f"{UNSETTLED.pattern}+", *map(re.escape, self.specials)]))
         self.memo: dict[str, Chunk] = {}
         self.held = 0
         self.made = self.reused = 0
@@ -149,19 +188,44 @@ class Codec:
             self.held -= 2 * len(old.text) + 4 * len(old.ids) + 600
         return new
 
-    def window(self, a: Chunk, b: Chunk) -> array | None:
-        """Ids from the outer certain border in ``a`` to that in ``b``, if their outer words agree with those of the chunks."""
-        (near_a, far_a), (near_b, far_b) = a.tail, b.head
-        ids = array("I", self.ranked.encode_ordinary(a.text[far_a[0] :] + b.text[: far_b[0]]))
-        left, right = a.ids[far_a[1] : near_a[1]], b.ids[near_b[1] : far_b[1]]
-        if len(ids) >= len(left) + len(right) and ids[: len(left)] == left and ids[len(ids) - len(right) :] == right:
-            return ids
+    def window(self, a: Chunk, b: Chunk) -> tuple[int, array] | None:
+        """How many borders out on either side, and the ids between those borders, as soon as the window's outer words agree with those of the chunks."""
+        for i in range(1, a.reach(b)):
+            (near_a, far_a), (near_b, far_b) = a.tail[i - 1 : i + 1], b.head[i - 1 : i + 1]
+            ids = array("I", self.ranked.encode_ordinary(a.text[far_a[0] :] + b.text[: far_b[0]]))
+            left, right = a.ids[far_a[1] : near_a[1]], b.ids[near_b[1] : far_b[1]]
+            if len(ids) >= len(left) + len(right) and ids[: len(left)] == left and ids[len(ids) - len(right) :] == right:
+                return i, ids
         return None
 
+    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in pieces cut at certain borders, and whether a piece holds special tokens or unsettled characters."""
+        odd = [m.span() for m in self.odd.finditer(text)]
+        at = 0
+        for first, last in odd:
+            if last <= at:
+                continue  # lies in the piece before
+            begin, end = border_before(text, first, at), border_after(text, last)
+            if at < begin:
+                yield text[at:begin], False
+            yield text[begin:end], True
+            at = end
+        if at < len(text):
+            yield text[at:], False
+
     def encode(self, text: str | None) -> array:
         text = text or ""
-        if not self.by_chunks or UNSETTLED.search(text) or any(s in text for s in self.specials):
+        if not self.by_chunks:
             return array("I", self.library.encode(text, add_special_tokens=False).ids)
+        if not self.odd.search(text):
+            return self.by_reuse(text)
+        out = array("I")
+        for piece, is_odd in self.pieces(text):
+            out.extend(self.library.encode(piece, add_special_tokens=False).ids if is_odd else self.by_reuse(piece))
+        return out
+
+    def by_reuse(self, text: str) -> array:
+        """Ids of a text without special tokens or unsettled characters, by chunks."""
         if not text:
             return array("I")
         parts: list[Chunk] = []
@@ -183,9 +247,9 @@ class Codec:
             seam = self.window(a, b)
             if seam is None:  # no agreement: the text is encoded in one piece
                 return array("I", self.ranked.encode_ordinary(text))
-            out.extend(a.ids[at : a.tail[1][1]])
-            out.extend(seam)
-            at = b.head[1][1]
+            out.extend(a.ids[at : a.tail[seam[0]][1]])
+            out.extend(seam[1])
+            at = b.head[seam[0]][1]
         out.extend(parts[-1].ids[at:])
         return out
 

@@ -4,7 +4,11 @@ Storage is a WAV file (unsigned 8-bit mono). Features: polyphase resampling by `
 windowed-sinc filter, overlapped Hann frames, log-mel filterbank energies, and segments found by hysteresis
 on the frame energy (they start above the high threshold and last while it stays over the low one). The mel
 frames are cut in tensors of a fixed shape (``FRAMES`` x ``MELS``, the last one zero-padded), each with its
-time span; ``tensor_array`` turns them into an Arrow fixed-shape tensor array.
+time span.
+
+Both are files of the shared folder. Stored media are a table; from its bytes, read back, tasks write Parquet files of features whose
+tensors are lists of Arrow's fixed-shape tensor type, so that any Arrow reader gets them as arrays. Names are fresh, and only
+files that committed tasks returned are read.
 
 Defined cases: null and empty payloads are stored as 64 zero samples, every payload is padded to a multiple
 of 64; null media count as those of an empty payload; a signal shorter than a frame is padded to one frame; silence has the floor's energy and no segment. Equal payloads give equal rows. Signals are processed in blocks, so length is bounded by the
@@ -15,14 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from hitwatch.llm import common
 
 RATE = 16_000
 UP, DOWN = 3, 4  # 16 kHz to 12 kHz
@@ -137,14 +147,23 @@ def features(wav: bytes) -> dict:
     return {"n_frames": len(mels), "tensors": tensors.reshape(count, FRAMES, MELS), "starts": starts, "ends": ends, "segments": active * ms}
 
 
-def tensor_array(tensors: list[bytes]) -> pa.FixedShapeTensorArray:
-    """Arrow fixed-shape tensor array of stored tensors (column ``tensors``' items)."""
-    flat = np.frombuffer(b"".join(tensors), "<i2").reshape(-1, FRAMES, MELS)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(flat.copy())
+def spans(starts: list[np.ndarray], ends: list[np.ndarray]) -> pa.ListArray:
+    """List of (start_ms, end_ms) for each item of the lists."""
+    flat = [np.concatenate([*part, np.zeros(0)]).astype("i8") for part in (starts, ends)]
+    items = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["start_ms", "end_ms"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, starts)]), pa.int32()), items)
+
+
+def tensor_lists(tensors: list[np.ndarray]) -> pa.ListArray:
+    """A list of fixed-shape tensors for each item."""
+    flat = np.concatenate([*tensors, np.zeros((0, FRAMES, MELS), "<i2")])
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), FRAMES * MELS)
+    typed = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.int16(), (FRAMES, MELS)), storage)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tensors)]), pa.int32()), typed)
 
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, media): each text's UTF-8 bytes stored as audio."""
+    """Rows (id, n_bytes, media): each text's UTF-8 bytes as audio, written to the shared folder and read from there."""
 
     @F.arrow_udf("struct<n_bytes: bigint, media: binary>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -157,50 +176,97 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["n_bytes", "media"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col(id_col), encode(F.col(text_col)).alias("_m")).select(id_col, "_m.n_bytes", "_m.media")
-
-
-def analyse(media_col: str = "media") -> Column:
-    """Column of struct: facts of the samples read back from stored media, tensors with time spans, segments."""
-    kind = "struct<payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, n_frames: bigint, tensors: array<struct<start_ms: bigint, end_ms: bigint, values: binary>>, segments: array<struct<start_ms: bigint, end_ms: bigint>>>"
-
-    @F.arrow_udf(kind)
-    def read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        span = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "n_frames", "tensors", "segments"]
-        for media in batches:
-            rows, found = [], []
-            for item in media:
-                wav = item.as_py() or to_wav(pad(b""))
-                _, samples = from_wav(wav)
-                f = features(wav)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), f["n_frames"]))
-                found.append(f)
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
-            lists = []
-            for part in ("tensors", "segments"):
-                sizes = [len(f[part]) for f in found]
-                starts = np.concatenate([f["starts"] if part == "tensors" else f["segments"][:, 0] for f in found] or [[]]).astype("i8")
-                ends = np.concatenate([f["ends"] if part == "tensors" else f["segments"][:, 1] for f in found] or [[]]).astype("i8")
-                fields, arrays = list(span), [pa.array(starts), pa.array(ends)]
-                if part == "tensors":
-                    fields.append(("values", pa.binary()))
-                    arrays.append(pa.array([t.tobytes() for f in found for t in f["tensors"]], pa.binary()))
-                items = pa.StructArray.from_arrays(arrays, fields=[pa.field(*x) for x in fields])
-                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), items))
-            yield pa.StructArray.from_arrays([*columns, *lists], names=names)
-            del rows, found, columns, lists
+    return common.Stored(docs.select(F.col(id_col), encode(F.col(text_col)).alias("_m")).select(id_col, "_m.n_bytes", "_m.media"), "media").df
+
+
+def feature_batch(ids: pa.Array, sizes: pa.Array, media: list[bytes | None]) -> pa.RecordBatch:
+    """Facts of the samples read back from media, tensors with their spans, and active segments."""
+    rows, found = [], []
+    for item in media:
+        wav = item or to_wav(pad(b""))
+        _, samples = from_wav(wav)
+        f = features(wav)
+        rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), f["n_frames"]))
+        found.append(f)
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames")
+    facts = [pa.array(c, pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
+    lists = [tensor_lists([f["tensors"] for f in found]), spans([f["starts"] for f in found], [f["ends"] for f in found]), spans([f["segments"][:, 0] for f in found], [f["segments"][:, 1] for f in found])]
+    return pa.RecordBatch.from_arrays([ids, sizes, *facts, *lists], names=["id", "n_bytes", *names, "tensors", "spans", "segments"])
+
+
+def write_features(stored: DataFrame, folder: str, *, id_col: str = "doc_id", media_col: str = "media", group_rows: int = 256, group_bytes: int = 4 << 20, file_bytes: int = 64 << 20) -> DataFrame:
+    """Write the features of stored media to Parquet files under ``folder``; rows (file, n_rows) of what was written."""
+    rows = stored.select(F.col(id_col), "n_bytes", F.col(media_col))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store_, root = fs.FileSystem.from_uri(folder)
+        writer, names, counts = None, [], []
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                end, held = at, 0
+                while end < batch.num_rows and end - at < group_rows and (end == at or held < group_bytes):
+                    held += batch.column(2)[end].as_buffer().size if batch.column(2)[end].is_valid else 0
+                    end += 1
+                made = feature_batch(batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), [m.as_py() for m in batch.column(2).slice(at, end - at)])
+                if writer is None:
+                    names.append(f"part-{uuid.uuid4().hex}.parquet")
+                    counts.append(0)
+                    store_.create_dir(root, recursive=True)
+                    writer = pq.ParquetWriter(f"{root}/{names[-1]}", made.schema, filesystem=store_, compression="zstd")
+                    written = 0
+                writer.write_batch(made)
+                counts[-1] += made.num_rows
+                written += held
+                at = end
+                if written >= file_bytes:
+                    writer.close()
+                    writer = None
+                del made
             pa.default_memory_pool().release_unused()
-
-    return read_back(F.col(media_col))
-
-
-def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Checksums of stored media, and the features as a short string: frames, tensors, segments, tensor checksum."""
-    read = stored.select(id_col, "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), analyse("media").alias("_a"))
-    # one more reference to the struct would not run the function again: it is evaluated once below the projection
-    tensors = F.col("_a.tensors")
-    joined = F.aggregate(tensors, F.lit(""), lambda acc, t: F.sha2(F.concat(acc.cast("binary"), t["values"]), 256))
-    spans = F.array_join(F.transform(F.col("_a.segments"), lambda s: F.concat_ws("-", s["start_ms"].cast("string"), s["end_ms"].cast("string"))), ",")
-    feature = F.concat_ws(";", F.col("_a.n_frames").cast("string"), F.size(tensors).cast("string"), F.size("_a.segments").cast("string"), F.sha2(spans.cast("binary"), 256), joined)
-    return read.select(id_col, "n_bytes", "_a.payload_bytes", "_a.payload_sha256", "_a.tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+        if writer is not None:
+            writer.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["file", "n_rows"])
+
+    return common.Stored(rows.mapInArrow(put, "file string, n_rows long"), "features").df
+
+
+def read_features(files: DataFrame, folder: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, rows: int = 256) -> DataFrame:
+    """Rows that ``work`` makes of the batches of the listed feature files; the tensors arrive as fixed-shape tensor arrays."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store_, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store_.open_input_file(f"{root}/{name}") as source:
+                    for read in pq.ParquetFile(source).iter_batches(batch_size=rows):
+                        yield work(read)
+                pa.default_memory_pool().release_unused()
+
+    n = max(1, files.count())
+    return files.select("file").repartition(min(n, 20_000)).mapInArrow(take, schema)
+
+
+def summary(read: pa.RecordBatch) -> pa.RecordBatch:
+    """Checksums as they were stored, and the features as a short string: frames, tensors, segments, digests of segments and tensors."""
+    lists, segments = read.column("tensors"), read.column("segments")
+    if not isinstance(lists.values.type, pa.FixedShapeTensorType):
+        raise ValueError(f"tensors are stored as {lists.values.type}")
+    tensors = lists.values.to_numpy_ndarray()
+    edges, cuts = lists.offsets.to_pylist(), segments.offsets.to_pylist()
+    begins, ends = (segments.values.field(i).to_pylist() for i in range(2))
+    made = []
+    for i, n in enumerate(read.column("n_frames").to_pylist()):
+        a, b, x, y = edges[i], edges[i + 1], cuts[i], cuts[i + 1]
+        times = ",".join(f"{s}-{e}" for s, e in zip(begins[x:y], ends[x:y], strict=True))
+        made.append(f"{n};{b - a};{y - x};{hashlib.sha256(times.encode()).hexdigest()};{hashlib.sha256(np.ascontiguousarray(tensors[a:b])).hexdigest()}")
+    kept = ("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return pa.RecordBatch.from_arrays([*(read.column(c) for c in kept), pa.array(made, pa.string())], names=[*kept, "feature"])
+
+
+def digests(stored: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """Checksums of stored media, and their features read back from the files that they are written to under ``folder``."""
+    files = write_features(stored, folder, id_col=id_col)
+    kinds = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = StructType([StructField("id", stored.schema[id_col].dataType), *StructType.fromDDL(kinds).fields])
+    return read_features(files, folder, summary, schema).withColumnRenamed("id", id_col)

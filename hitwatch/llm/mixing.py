@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitwatch.llm import common
+
 #: Mean of one draw at most: its probabilities stay clear of underflow.
 PART = 500
-#: With up to this many sources their rates are broadcast; with more, both sides are salted and shuffled.
-BROADCAST_SOURCES = 10_000
+#: Sources' names and distribution tables of up to so many bytes are broadcast; beyond it, both sides are salted and shuffled.
+BROADCAST_BYTES = 16 << 20
 SALTS = 32
 
 
@@ -39,7 +41,8 @@ def poisson_cdf(mean: Column) -> Column:
 
 def rates(docs: DataFrame, targets: dict[str | None, float] | None, *, source_col: str, temperature: float, total: int | None) -> DataFrame:
     """Rows (_hw_source, _hw_rate) of sources with a positive rate."""
-    sizes = docs.groupBy(F.col(source_col).alias("_hw_source")).agg(F.count("*").alias("_hw_n"))
+    # a table, as it is used several times: the documents are counted once
+    sizes = common.Stored(docs.groupBy(F.col(source_col).alias("_hw_source")).agg(F.count("*").alias("_hw_n")), "sources").df
     if targets is None:
         weighted = sizes.withColumn("_hw_w", F.pow(F.col("_hw_n").cast("double"), F.lit(temperature)))
     else:
@@ -62,8 +65,9 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, *, id_c
     rate = rates(docs, targets, source_col=source_col, temperature=temperature, total=total)
     parts = F.ceil(F.col("_hw_rate") / PART).cast("int")
     table = rate.withColumn("_hw_parts", parts).select("_hw_source", "_hw_parts", poisson_cdf(F.col("_hw_rate") / F.col("_hw_parts")).alias("_hw_cdf"))
+    size = table.agg(F.sum(F.size("_hw_cdf") * 8 + F.coalesce(F.octet_length(F.col("_hw_source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
     same = F.col(source_col).eqNullSafe(F.col("_hw_source"))
-    if table.count() <= BROADCAST_SOURCES:
+    if size <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(table), same)
     else:
         salted = table.withColumn("_hw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

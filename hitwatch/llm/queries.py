@@ -52,7 +52,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums and audio features of every document's bytes, read back from their stored form."""
-    return media.digests(media.store(common.read(spark, sf_dir, "documents")))
+    return media.digests(media.store(common.read(spark, sf_dir, "documents")), common.scratch(spark, "tensors"))
 
 
 def op7_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ merged first; two different ones can only link at ``near`` = 3 or fewer differin
 of six blocks of bits, so each goes to the twenty keys of its block triples. Within a key, every fingerprint has a row of
 precomputed Hamming distances to the reference fingerprints; pairs whose rows differ by more than ``near``
 anywhere are discarded (triangle inequality), the survivors are verified by their exact distance, and only a
-spanning forest of the links leaves the task. Keys held by very many fingerprints are dealt again in tiles.
+spanning forest of the links leaves the task. Keys are counted first, on the map side where they repeat; those held by very many
+fingerprints are dealt in tiles from the start, each pair of a key's chunks in a tile of its own, so no exchange gathers a hot key.
+A key of n fingerprints costs n * n / 2 comparisons of pivot rows in about (n / 2048)^2 / 2 tiles.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; texts with fewer words than
 a shingle hash their whole word sequence; repeated rows keep one row each; rows with a null id take part,
@@ -33,7 +35,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bit ranges of the six blocks; 3 differing bits leave at least three of them untouched.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 AGREE = 3
-#: A key with more fingerprints than this is dealt again in tiles of about as many.
+#: A key with more fingerprints than this is dealt in tiles of two chunks of about as many.
 TILE = 2048
 #: Pairs looked at together in one task.
 PAIRS = 1 << 20
@@ -98,7 +100,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(run: np.ndarray, side: np.ndarray, prints: np.ndarray, near: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links within runs of equal ``run`` (sorted); where sides are told apart, across different ones only.
+    """Forest of the links within runs of equal ``run`` (sorted): between rows of different sides, and of side -1 throughout.
 
     All runs advance together: step s pairs each row with the one s places after it, while that is in its run.
     """
@@ -112,9 +114,8 @@ def _links(run: np.ndarray, side: np.ndarray, prints: np.ndarray, near: int, ref
         for i in range(0, len(rows), PAIRS):
             a = rows[i : i + PAIRS]
             b = a + s
-            if side is not None:
-                across = (side[a] != side[b]) | (side[a] < 0)
-                a, b = a[across], b[across]
+            across = (side[a] != side[b]) | (side[a] < 0)
+            a, b = a[across], b[across]
             for row in table:
                 keep = np.abs(row[a] - row[b]) <= near
                 a, b = a[keep], b[keep]
@@ -134,61 +135,34 @@ def _links(run: np.ndarray, side: np.ndarray, prints: np.ndarray, near: int, ref
     return _forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _linker(near: int, tile: int | None):
-    """Function for mapInArrow over rows (run, side, fp) sorted by run; runs over ``tile`` rows come out as they are."""
-    out = pa.schema([("run", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-
-    def emit(run, u, v):
-        return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
+def _linker(near: int):
+    """Function for mapInArrow over rows (run, side, fp) sorted by run: the links within each run."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = pivots()
         carry = [np.zeros(0, "i8")] * 3
-        passing = None  # the oversized run whose rows go straight through
 
         def settle(run, side, prints):
-            """Rows of whole runs: links, and the rows of runs that are too long."""
-            if not len(run):
-                return
-            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            sizes = np.diff(np.append(starts, len(run)))
-            long = np.repeat(sizes > tile, sizes) if tile else np.zeros(len(run), bool)
-            if long.any():
-                yield emit(run[long], prints[long], np.full(long.sum(), None))
-            run, side, prints = run[~long], side[~long], prints[~long]
             if len(run):
-                u, v = _links(run, None if tile else side, prints.view("u8"), near, references)
+                u, v = _links(run, side, prints.view("u8"), near, references)
                 if len(u):
-                    yield emit(np.full(len(u), None), u.view("i8"), v.view("i8"))
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(v.view("i8"))], schema=out)
 
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if passing is not None:
-                same = new[0] == passing
-                if same.any():
-                    yield emit(new[0][same], new[2][same], np.full(same.sum(), None))
-                    new = [c[~same] for c in new]
-                if len(new[0]):
-                    passing = None
-            run, side, prints = (np.concatenate(p) for p in zip(carry, new, strict=True))
+            run, side, prints = (np.concatenate([c, n.to_numpy()]) for c, n in zip(carry, batch.columns, strict=True))
             if not len(run):
                 continue
             last = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
             yield from settle(run[:last], side[:last], prints[:last])
             carry = [run[last:], side[last:], prints[last:]]
-            if tile and len(carry[0]) > tile:
-                passing = int(carry[0][0])
-                yield emit(carry[0], carry[2], np.full(len(carry[0]), None))
-                carry = [np.zeros(0, "i8")] * 3
         yield from settle(*carry)
 
     return work
 
 
-def links(nodes: DataFrame, near: int = 3) -> DataFrame:
-    """Rows (u, v): links that join whatever fingerprints (``fp``, distinct) are chained by ``near`` or fewer differing bits."""
-    if near > len(BLOCKS) - AGREE:
-        raise ValueError(f"near must be at most {len(BLOCKS) - AGREE}")
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """Rows (run, side, fp): each fingerprint under its keys, those of hot keys under the tiles that their chunk takes part in."""
     keys = []
     for number, chosen in enumerate(combinations(BLOCKS, AGREE)):
         key = F.lit(number)
@@ -196,23 +170,27 @@ def links(nodes: DataFrame, near: int = 3) -> DataFrame:
             key = F.shiftleft(key.cast("long"), width).bitwiseOR(F.shiftrightunsigned("fp", start).bitwiseAND((1 << width) - 1))
         keys.append(key)
     keyed = nodes.select("fp", F.explode(F.array(*keys)).alias("run"))
-    schema = "run long, u long, v long"
-    dealt = keyed.select("run", F.lit(0).cast("long").alias("side"), "fp").repartition("run").sortWithinPartitions("run")
-    first = common.Stored(dealt.mapInArrow(_linker(near, TILE), schema), "links")
-    hot = first.df.filter("v IS NULL").select("run", F.col("u").alias("fp"))
-    sizes = hot.groupBy("run").agg(F.ceil(F.count("*") / TILE).cast("long").alias("n"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("n"))
-    tiles = hot.join(sizes, "run").withColumn("side", chunk).select("run", "side", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    # a tile of two chunks is compared across them; the tile of one chunk with itself, whose rows have side -1, throughout
-    again = tiles.select(F.xxhash64("run", F.least("side", "other"), F.greatest("side", "other")).alias("run"), F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side")).cast("long").alias("side"), "fp").repartition("run").sortWithinPartitions("run").mapInArrow(_linker(near, None), schema)
-    return first.df.filter("v IS NOT NULL").select("u", "v").union(again.select("u", "v"))
+    sizes = common.Stored(keyed.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("run").alias("hot"), F.ceil(F.col("n") / TILE).cast("long").alias("n")), "hot").df
+    small = sizes.count() <= common.BROADCAST_ROWS
+    marked = keyed.join(F.broadcast(sizes) if small else sizes, F.col("run") == F.col("hot"), "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("n"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda other: F.struct(F.xxhash64("run", F.least(own, other), F.greatest(own, other)).alias("run"), F.when(own == other, F.lit(-1).cast("long")).otherwise(own).alias("side")))
+    whole = F.array(F.struct(F.col("run"), F.lit(-1).cast("long").alias("side")))
+    return marked.select("fp", F.inline(F.when(F.col("n").isNull(), whole).otherwise(tiles))).select("run", "side", "fp")
+
+
+def links(nodes: DataFrame, near: int = 3) -> DataFrame:
+    """Rows (u, v): links that join whatever fingerprints (``fp``, distinct) are chained by ``near`` or fewer differing bits."""
+    if near > len(BLOCKS) - AGREE:
+        raise ValueError(f"near must be at most {len(BLOCKS) - AGREE}")
+    return _dealt(nodes).repartition("run").sortWithinPartitions("run").mapInArrow(_linker(near), "u long, v long")
 
 
 def _rooted(prints: DataFrame, owner: Column, near: int) -> DataFrame:
     """(fp, root, owner, n): the component of each fingerprint, the least ``owner`` of its rows and their number."""
-    nodes = prints.groupBy("fp").agg(F.min(owner).alias("owner"), F.count("*").alias("n"))
+    nodes = common.Stored(prints.groupBy("fp").agg(F.min(owner).alias("owner"), F.count("*").alias("n")), "nodes").df
     roots = components(links(nodes.select("fp"), near))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return common.Stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted").df
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 3) -> DataFrame:

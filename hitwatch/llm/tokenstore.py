@@ -1,12 +1,13 @@
 """Token-id shards: one concatenated id array a file, with Elias-Fano coded document boundaries and ids.
 
-Documents are range-partitioned and sorted by id; each task tokenises its range and writes files of at most
+Documents are range-partitioned and sorted by id, and by a hash of their text, so that an id of very many rows is spread too; each task tokenises its range and writes files of at most
 about ``shard_ids`` ids: a header, document ids and boundaries as Elias-Fano sequences with select samples,
 then the ids, two bytes each where the vocabulary allows. A file is only listed if its task committed, so
-repeated attempts leave orphans that no reader opens. Reading back adds the ids of earlier files.
+repeated attempts leave orphans that no reader opens. Reading back selects the boundaries run by run, from the sampled
+place before each, and adds the ids of earlier files; no table of all boundaries is made.
 
 Defined cases: a null text is empty and has just the end id; a null document id sorts first; documents with
-equal ids stay next to each other, in the order of their texts; an empty table makes no file and no row.
+equal ids stay next to each other, in the order of their texts' hashes; an empty table makes no file and no row.
 Words are tokenised independently of each other, so each distinct word is encoded once while a worker keeps it.
 """
 
@@ -37,6 +38,8 @@ MAGIC = b"HWTOK1\0\0"
 HEADER = struct.Struct("<8sIIQQqQ")  # magic, id width, select step, documents, null ids, least id, token ids
 SELECT_EVERY = 256
 SUFFIX = ".hwtok"
+#: Documents read together from a shard.
+READ_DOCS = 4 * SELECT_EVERY
 
 
 class EliasFano:
@@ -89,6 +92,20 @@ class EliasFano:
             rest -= len(ones)
             at = 8 * byte + len(bits)
 
+    def run(self, first: int, count: int) -> np.ndarray:
+        """Values ``first`` to ``first + count - 1``: from the sampled place before them over as many high bits as they take."""
+        if not 0 <= first <= first + count <= self.n:
+            raise IndexError((first, count))
+        high, skip = np.frombuffer(self.high, "u1"), first % SELECT_EVERY
+        if not count:
+            return np.zeros(0, "u8")
+        at = int(self.samples[first // SELECT_EVERY])
+        last = (first + count - 1) // SELECT_EVERY + 1  # the sample after the run ends the scan
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(high)
+        bits = np.unpackbits(high[at // 8 : -(-end // 8)])[at % 8 :]
+        ones = np.flatnonzero(bits)[skip : skip + count].astype("u8") + np.uint64(at)
+        return ((ones - np.arange(first, first + count, dtype="u8")) << np.uint64(self.low_bits)) | self._lows(first, count)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, "u1")))[: self.n].astype("u8")
         return ((ones - np.arange(self.n, dtype="u8")) << np.uint64(self.low_bits)) | self._lows(0, self.n)
@@ -106,7 +123,9 @@ class Words:
     ODD = "[^\x00-įı-ɏ‐-‧€]|<\\|"
     #: Fixed value: what the word-level pre-tokeniser takes besides runs of letters.
     OTHERS = f"'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES} {DIGITS}{LETTERS}]+"
-    MOST = 150_000
+    #: Fixed value: the tokenizer's own pattern of words, which the two above restate for the characters handled here.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    MOST = 100_000
     SEPARATOR = "\x01"
 
     def __init__(self, path: str) -> None:
@@ -114,14 +133,22 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         parts = json.loads(self.library.to_str())
-        rules = json.dumps([parts.get("normalizer"), parts.get("pre_tokenizer")])
-        self.by_words = '"Removed"' in rules and '"Lowercase"' in rules and "NFC" in rules
+        self.by_words = self._independent(parts)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         mark = self.library.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    @classmethod
+    def _independent(cls, parts: dict) -> bool:
+        """Whether the file's rules are those that are followed here: composed and lower-cased text, split by the known pattern, nothing added."""
+        members = lambda step, kind: (step or {}).get(kind) or ([step] if step else [])
+        normal = [n.get("type") for n in members(parts.get("normalizer"), "normalizers")]
+        splits = [s for s in members(parts.get("pre_tokenizer"), "pretokenizers") if s.get("type") == "Split"]
+        known = len(splits) == 1 and splits[0].get("pattern") == {"Regex": cls.SPLIT} and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
+        return normal == ["NFC", "Replace", "Lowercase"] and known and not parts.get("post_processor")
+
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -237,8 +264,12 @@ class Shard:
         if len(self.ids) != n_ids:
             raise ValueError("truncated token shard")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all().view("i8") + self.least).tolist()
+    def doc_ids(self, first: int = 0, count: int | None = None) -> list[int | None]:
+        """Document ids of a run of the shard, or of all."""
+        end = self.n if count is None else first + count
+        nulls = max(0, min(end, self.nulls) - first)
+        known = self.names.run(first + nulls - self.nulls, end - first - nulls) if end > first + nulls else np.zeros(0, "u8")
+        return [None] * nulls + (known.view("i8") + self.least).tolist()
 
     def tokens(self, i: int) -> np.ndarray:
         """Ids of document number ``i`` of the shard."""
@@ -282,7 +313,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text")).repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h", "_text").select("_id", "_text")
     spark = docs.sparkSession
     done = rows.mapInArrow(put, "file string, part long, number long, n_docs long, n_ids long").collect()  # a row a file
     done.sort(key=lambda r: (r["part"], r["number"]))
@@ -303,9 +334,12 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "d
         for batch in batches:
             for first, content in zip(*batch.columns, strict=True):
                 shard = Shard(content.as_buffer())
-                bounds = shard.bounds.all().astype("i8")
-                wide = shard.ids.astype("<u4")
-                sums = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1] + first.as_py()), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+                for at in range(0, shard.n, READ_DOCS):
+                    count = min(READ_DOCS, shard.n - at)
+                    bounds = shard.bounds.run(at, count + 1).astype("i8")
+                    wide = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    edges = (bounds - bounds[0]).tolist()
+                    sums = [zlib.crc32(wide[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(at, count), pa.int64()), pa.array(bounds[:-1] + first.as_py()), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(take, f"{id_col} long, start long, n_tokens long, ids_crc32 long")

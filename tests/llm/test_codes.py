@@ -59,6 +59,35 @@ def test_texts_without_certain_borders(coder, text):
     assert list(coder.encode(text)) == ids_of(lib, text)
 
 
+@pytest.mark.parametrize("odd", ["ё", "😀", "<|endoftext|>", " <|endoftext|> ", "\u0e01\u0e33", "\U0001f468\u200d\U0001f469", "\x1c", "\u2003x", "a\u0301"])
+def test_odd_runs_are_cut_out_of_long_texts(coder, odd):
+    rng, lib = random.Random(odd), library(BYTE)
+    words = ["".join(rng.choice("abcde,'é1") for _ in range(rng.randrange(1, 8))) for _ in range(3000)]
+    for gap in (1, 40, 1500):
+        text = " ".join(w + (odd if i % gap == 0 else "") for i, w in enumerate(words))
+        for t in (text, odd + text + odd, text.replace(" ", "  ", 50)):
+            before = coder.made + coder.reused
+            ids = list(coder.encode(t))
+            assert ids == ids_of(lib, t) and coder.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+            assert gap < 1500 or coder.made + coder.reused > before  # the rest still goes by chunks
+
+
+def test_a_window_widens_until_its_outer_words_agree(coder):
+    rng, lib = random.Random(5), library(BYTE)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    left, right = " ".join(words[:200]), " " + " ".join(words[200:])
+    a, b = (bpe.Chunk(t, bpe.array("I", coder.ranked.encode_ordinary(t)), coder.sizes) for t in (left, right))
+    at, ids = coder.window(a, b)
+    assert at == 1
+    spoiled = bpe.Chunk(left, bpe.array("I", a.ids), coder.sizes)
+    for i in range(spoiled.tail[2][1], spoiled.tail[0][1]):  # the words between the first three borders do not agree
+        spoiled.ids[i] ^= 1
+    at, ids = coder.window(spoiled, b)
+    assert at == 3
+    whole = spoiled.ids[: spoiled.tail[at][1]] + ids + b.ids[b.head[at][1] :]
+    assert list(whole) == ids_of(lib, left + right)
+
+
 def test_cuts_cover_a_text_and_move_with_it():
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefg ") for _ in range(60_000))
@@ -117,6 +146,10 @@ def test_elias_fano(values):
     back, used = tokenstore.EliasFano.read(memoryview(packed.to_bytes()))
     assert used == len(packed.to_bytes()) and back.all().tolist() == values
     assert [back.select(i) for i in range(len(values))] == values
+    for first in range(0, len(values), 37):
+        for count in (0, 1, 40, 300):
+            count = min(count, len(values) - first)
+            assert back.run(first, count).tolist() == values[first : first + count]
     with pytest.raises(IndexError):
         back.select(len(values))
 
@@ -131,7 +164,7 @@ def test_shards_of_odd_documents(spark, odd_docs, no_docs):
     folder = common.scratch(spark, "test-tokens")
     manifest = tokenstore.write(odd_docs, folder, WORD, shard_ids=2000)
     got = tokenstore.read(spark, folder, manifest).orderBy("start").collect()
-    rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))  # rows of one id have one text here
     start = 0
     for g, r in zip(got, rows, strict=True):
         ids = [*ids_of(lib, r["text"]), 1]
@@ -145,6 +178,7 @@ def test_shards_of_odd_documents(spark, odd_docs, no_docs):
 def test_shard_gives_single_documents():
     ids = np.arange(10, dtype="<u2")
     shard = tokenstore.Shard(tokenstore.pack([None, -5, 7, 7], np.array([1, 4, 0, 5]), ids))
+    assert [shard.doc_ids(a, 2) for a in range(3)] == [[None, -5], [-5, 7], [7, 7]]
     assert shard.doc_ids() == [None, -5, 7, 7] and shard.tokens(1).tolist() == [1, 2, 3, 4] and shard.tokens(2).tolist() == []
     with pytest.raises(ValueError, match="shard"):
         tokenstore.Shard(b"\0" * 200)

@@ -49,9 +49,47 @@ def test_own_labels(spark):
     assert got == ["gpl-3", "all-rights-reserved", "bsd", "", "", "cc-by"]
 
 
+def brute_labels(text, index, least=0.3):
+    """Labels and score of the whole method: every notice at every start of the text."""
+    words = licenses.split_words(text)
+    labels, best = set(), 0.0
+    for n in index:
+        for start in range(-60, len(words)):
+            if all(start + at >= 0 and tuple(words[start + at : start + at + len(p)]) == p for at, p in n.phrases):
+                share = sum(x for w, i, x in n.words if 0 <= start + i < len(words) and words[start + i] == w) / sum(x for *_, x in n.words)
+                if n.base or share >= least:
+                    labels.add(n.label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_equal_brute_force(spark, odd_docs):
+    notices = {t: label for label, t, _, _ in licenses.NOTICES}
+    texts = [f"start {t} end" for t in notices] + [t.title() for t in notices] + [" ".join(t.split()[2:]) for t in notices] + [" ".join(t.split()[:-1]) for t in notices] + [r["text"] for r in odd_docs.collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = licenses.build_index(licenses.document_frequencies(df))
+    for r in licenses.report(licenses.scan(df, index)).collect():
+        labels, score = brute_labels(texts[r["doc_id"]], index)
+        assert r["labels"] == labels and abs(r["score"] - score) < 1e-9, texts[r["doc_id"]]
+        if r["doc_id"] < 2 * len(notices):
+            assert notices[list(notices)[r["doc_id"] % len(notices)]] in labels.split(",")
+
+
+def test_customary_notices_and_near_misses(spark):
+    texts = [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "// SPDX-License-Identifier: BSD-3-Clause", "# SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: BSD-4-Clause", "SPDX-License-Identifier: Proprietary",
+        "under the terms of the GNU General Public Licence as published by the Free Software Foundation", "you can redistribute it under the terms of some General Public License, version 3 of the License",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose is refused", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["labels"] for r in report(df).orderBy("doc_id").collect()] == ["gpl-3", "bsd-3", "gpl-2", "", "", "", "", "bsd-3", "", "cc-by-sa"]
+
+
 def test_index_always_holds_a_word_of_each_key_phrase():
     for n in licenses.build_index({"": 1000, "mit": 999, "nc": 1000, "license": 3}):
-        assert any(n.phrase_at <= p < n.phrase_at + len(n.phrase) for _, p, _ in n.words)
+        assert all(any(at <= p < at + len(words) for _, p, _ in n.words) for at, words in n.phrases)
         assert all(math.isfinite(x) and x > 0 for *_, x in n.words)
 
 

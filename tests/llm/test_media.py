@@ -3,13 +3,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from hitwatch.llm import media
+from hitwatch.llm import common, media
 
 
-def test_checksums_of_odd_documents(odd_docs, no_docs):
-    rows = media.digests(media.store(odd_docs)).collect()
+def test_checksums_of_odd_documents(spark, odd_docs, no_docs):
+    rows = media.digests(media.store(odd_docs), common.scratch(spark, "test-media")).collect()
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     assert len(rows) == odd_docs.count()
     seen = {}
@@ -20,7 +21,7 @@ def test_checksums_of_odd_documents(odd_docs, no_docs):
         wav = media.to_wav(padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest())
         assert seen.setdefault(padded, r["feature"]) == r["feature"]
-    assert media.digests(media.store(no_docs)).count() == 0
+    assert media.digests(media.store(no_docs), common.scratch(spark, "test-media")).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
@@ -74,9 +75,18 @@ def test_long_signals_are_processed_in_blocks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, media.log_mel(x), strict=True))
 
 
-def test_tensors_have_a_fixed_shape_and_spans(odd_docs):
-    row = media.store(odd_docs.filter("doc_id = 7")).select(media.analyse().alias("a")).first()["a"]
-    arr = media.tensor_array([t["values"] for t in row["tensors"]])
-    assert isinstance(arr, pa.FixedShapeTensorArray) and arr.type.shape == [media.FRAMES, media.MELS]
-    spans = [(t["start_ms"], t["end_ms"]) for t in row["tensors"]]
-    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] == row["n_frames"] * 10
+def test_tensors_have_a_fixed_shape_and_spans(spark, odd_docs):
+    folder = common.scratch(spark, "test-media")
+    files = media.write_features(media.store(odd_docs), folder, group_rows=5, file_bytes=100_000)
+    assert files.agg({"n_rows": "sum"}).first()[0] == odd_docs.count()
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    for r in files.filter("n_rows > 0").collect():
+        read = pq.read_table(f"{folder.removeprefix('file://')}/{r['file']}").combine_chunks()
+        kind = read.schema.field("tensors").type.value_type
+        assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [media.FRAMES, media.MELS]
+        for batch in read.to_batches():
+            for i, doc_id in enumerate(batch.column("id").to_pylist()):
+                one = media.features(media.to_wav(media.pad((texts[doc_id] or "").encode())))
+                assert (batch.column("tensors").slice(i, 1).flatten().to_numpy_ndarray() == one["tensors"]).all()
+                spans = [(t["start_ms"], t["end_ms"]) for t in batch.column("spans")[i].as_py()]
+                assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] == batch.column("n_frames")[i].as_py() * 10

@@ -43,7 +43,7 @@ def test_large_rates_and_salted_sources(odd_docs, monkeypatch):
     for doc_id, source in rows:
         if source == "s2":
             want[doc_id] += copies(doc_id, 1300.0)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     got = Counter(r["doc_id"] for r in mixing.mix(odd_docs, {"s2": 1.0}, total=1300 * n).select("doc_id").collect())
     assert got == want and abs(sum(got.values()) / (1300 * n) - 1) < 0.02
 
