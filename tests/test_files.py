@@ -90,6 +90,39 @@ def test_streamed_windows_equal_batch(spark, tmp_path, layout):
     assert sorted(map(tuple, sink.frames(spark).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_events_that_arrive_late_are_refused(spark, tmp_path):
+    rows = spark.range(12).select(F.col("id").alias("event_idx"), F.lit(1).cast("long").alias("channel"), F.lit(1.0).alias("integral"))
+    sink = jobs.WindowSink(str(tmp_path / "sink"), Layout(2, 2, 1, 1))
+    sink(rows.filter("event_idx < 6"), 0)
+    with pytest.raises(ValueError, match="arrived after"):
+        sink(rows.filter("event_idx BETWEEN 5 AND 8"), 1)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from hitwatch.sources import scratch
+
+    class Unset:
+        def __init__(self, master):
+            self.master, self.made = master, None
+            self.conf = self.sparkContext = self
+
+        def get(self, *_):
+            return None
+
+        def getConf(self):
+            return self
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            self.made = path
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Unset("spark://host:7077"))
+    assert scratch.shared_dir(Unset("local[4]")).startswith("file:///")
+
+
 @pytest.mark.parametrize("folder", [False, True])
 def test_event_streams_read_both_layouts(spark, sf_dir, tmp_path, folder):
     """A single events.parquet among other tables, or a folder of part files of that name."""

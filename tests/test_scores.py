@@ -109,6 +109,19 @@ def test_variants():
     assert ablation.variants(["x.y"], baseline=False) == [("minus_x_y", [], "x.y")]
 
 
+def test_variants_need_a_branch():
+    with pytest.raises(ValueError, match="branch"):
+        ablation.variants([])
+
+
+def test_wire_name_parts_are_read_by_themselves(spark):
+    from hitwatch.functions.keys import wire_name
+
+    names = ["posWire_U_1_b", "posWire_Q_5", "posWire_V_x", "posWire_y_7", "posWire_U", "wire_U_1", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(wire_name(F.col("n")).alias("w")).select("w.*").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1), (None, 5, 5), (1, None, None), (2, 7, 7), (None, None, None), (None, None, None), (None, None, None)]
+
+
 def test_weighted_loss(spark):
     assert score.weighted_mean_loss(spark.createDataFrame([(1.0, 1), (3.0, 3)], "loss double, n long")).first()[0] == 2.5
 

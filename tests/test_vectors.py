@@ -85,6 +85,10 @@ def test_key_names():
     assert keys.slug("hits0.h.sp-x ") == "hits0_h_sp_x" and keys.slug("--") == "branch"
 
 
+def test_the_last_of_several_key_columns_counts():
+    assert keys.key_columns(["a.run", "b.run", "x_evt", "subrun"]) == {"run": "b.run", "evt": "x_evt", "subrun": "subrun"}
+
+
 def test_sort_and_provenance_keys(spark):
     df = spark.createDataFrame([(None,), (0,), (7,)], "r long")
     get = lambda c: [r[0] for r in df.select(c).collect()]

@@ -166,3 +166,28 @@ def test_scored_nodes_are_the_active_ones(spark):
 def test_files_keep_the_order_of_their_first_event(spark):
     df = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 1)], "event_idx long, file_idx long")
     assert [tuple(r) for r in windows.files_first_seen(df).orderBy("first_event").collect()] == [(7, 0), (3, 1), (1, 3)]
+
+
+def test_history_runs_over_all_windows_hits_or_not(spark):
+    """Windows without hits still start samples and count: starts are 0, stride, ... below the number of windows less the history."""
+    for n, history, stride in ((5, 1, 1), (9, 3, 2), (4, 3, 1), (3, 3, 1), (0, 2, 1)):
+        got = sorted(map(tuple, windows.history_pairs(spark, n, history, stride).collect()))
+        assert got == [(i, lag, start + lag) for i, start in enumerate(range(0, n - history, stride)) for lag in range(history + 1)]
+
+
+def test_idle_window_keeps_its_target_cells(spark):
+    layout = Layout(2, 2, 1, 1)
+    df = spark.createDataFrame([(3, 0, 5.0), (3, 4, 1.0)], "event_idx long, channel long, integral double")
+    rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, 6), layout, layout.count(6))
+    got = {(r["window_id"], r["channel"]): r for r in graph.node_vectors(graph.node_cells(rows, layout, 2), layout).collect()}
+    # window 0 has no past hit, so channel 0 stands in, with its real target; window 1 has both channels
+    assert set(got) == {(0, 0), (1, 0), (1, 4)} and got[0, 0]["y"][0] == 5.0 and got[1, 4]["x"][1] == 1.0 and got[1, 4]["y"] == [0.0] * 5
+
+
+def test_cells_agree_with_active_nodes(spark):
+    n, _, df = events_and_hits(spark, [3, 0, 5, 2, 6, 1, 4, 0, 7, 3, 2, 5], 9, 4)
+    layout = Layout(2, 1, 2, 2)
+    rows = graph.assemble(windows.frame_features(hits.channel_partials(df), layout, n), layout, layout.count(n))
+    a = graph.active_nodes(rows, layout, layout.count(n)).collect()
+    b = graph.node_cells(rows, layout, layout.count(n)).drop("cells").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
