@@ -27,7 +27,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest id, nulls last, then by the row's hashes."""
+    """One row of each near-duplicate group: the one with the smallest id, nulls last, then by the row's hashes.
+
+    Near duplicates are those of the SimHash operator: three-word shingles, 3 or fewer of 64 bits apart.
+    """
     return simhash.keep_first(docs.select(*COLUMNS), repeats=False)
 
 

@@ -31,8 +31,8 @@ def channel_count(hits: DataFrame) -> int:
 
 
 def index_hits(hits: DataFrame, indexed: DataFrame, key: str = "evt", broadcast_events: int = 1_000_000, n_events: int | None = None) -> DataFrame:
-    """Hits with the dense index of their event; the events' keys, 16 bytes each, are broadcast only if they are few (``n_events``, else counted)."""
-    keys = indexed.select(F.col(key).cast("long").alias(key), "event_idx")
+    """Hits with the dense index of their event; the events' keys, some 16 bytes each, are broadcast only if they are few (``n_events``, else counted)."""
+    keys = indexed.select(key, "event_idx")
     n = keys.count() if n_events is None else n_events
     return hits.join(F.broadcast(keys) if n <= broadcast_events else keys, key)
 

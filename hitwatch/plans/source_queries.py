@@ -98,6 +98,13 @@ def good_runs(spark, sf_dir):
     return events.join(F.broadcast(files.read_runs(spark, path)), "run").select("evt", "run", "good")
 
 
+@query("SELECT 'root://server//data/DQM_' || c_name || '.root' AS path, c_custkey::BIGINT AS run FROM customer")
+def rewritten_paths(spark, sf_dir):
+    """Data files with their paths as seen from elsewhere."""
+    paths, _ = fx.files(spark, sf_dir)
+    return splits.data_files(paths).select(splits.rewrite_url(F.col("path"), "/data/", "root://server//data/").alias("path"), "run")
+
+
 @query("""WITH p AS (SELECT p_size::BIGINT AS channel, arg_max(p_partkey, p_partkey)::DOUBLE AS x, arg_max(p_retailprice, p_partkey) AS y, (max(p_partkey) % 7)::DOUBLE AS z FROM part GROUP BY p_size)
 SELECT l_orderkey::BIGINT AS evt, l_linenumber::BIGINT AS number, (l_suppkey % 60)::BIGINT AS channel, x, y, z FROM lineitem LEFT JOIN p ON p.channel = l_suppkey % 60""")
 def hit_positions(spark, sf_dir):

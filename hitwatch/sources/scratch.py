@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths handed out inside each open ``temporary`` block.
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/hitwatch/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/hitwatch/{label}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Clears what was stored inside the block when it ends; results have to be written before, as they are read from there."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [p for p in _OPEN if p is not paths]
+        for path in paths:
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

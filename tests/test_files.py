@@ -98,6 +98,16 @@ def test_events_that_arrive_late_are_refused(spark, tmp_path):
         sink(rows.filter("event_idx BETWEEN 5 AND 8"), 1)
 
 
+def test_temporary_tables_go_with_their_block(spark):
+    from hitwatch.sources import scratch
+
+    with scratch.temporary(spark):
+        stored = scratch.Stored(spark.range(3), "test")
+        assert stored.df.count() == 3 and scratch.is_folder(spark, stored.path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(stored.path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     from hitwatch.sources import scratch
 

@@ -50,3 +50,16 @@ def test_assembly_needs_no_exchange(spark, sf_dir):
 
 def test_edges_are_made_without_a_join(spark, sf_dir):
     assert not re.search("Join|Cartesian", plan_of(graph.pruned_edges(Graph(spark, sf_dir).nodes)))
+
+
+def test_node_vectors_come_from_one_deal(spark, sf_dir):
+    plan = plan_of(graph.node_vectors(Graph(spark, sf_dir).cells, LAYOUT))
+    # the rows of the windows, and one spare row a window
+    assert len(re.findall(r"Exchange hashpartitioning\(window_id", plan)) <= 2 and "Join" not in plan
+
+
+def test_values_meet_their_nodes_without_a_join(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    values = g.rows.filter("w = 3").groupBy("window_id", "channel").agg({"sum": "sum"}).withColumnRenamed("sum(sum)", "value")
+    for made in (graph.neighbour_sum(g.nodes, values), graph.neighbour_norm(g.nodes, values)):
+        assert not re.search("Join|Cartesian", plan_of(made))
