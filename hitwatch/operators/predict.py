@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,18 +47,28 @@ def score_vectors(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndar
 def predict_windows(nodes: DataFrame, edges: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(window_id, channel, pred) where ``fn`` gets a window's node vectors (in rank order) and its edges (2 x n, ranks).
 
-    A window has at most as many rows as there are channels; windows are dealt out by their ids.
+    A window has at most as many nodes as there are channels; windows are dealt out by their ids, and each goes to
+    Python as one row of arrays. Windows without edges get none, edges of windows without nodes are left out.
     """
+    by_node = nodes.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("node_rank", "channel", F.col("x").cast("array<double>").alias("x")))).alias("_n"))
+    by_edge = edges.groupBy("window_id").agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("_e"))
     schema = StructType([nodes.schema["window_id"], nodes.schema["channel"], StructField("pred", ArrayType(DoubleType()))])
 
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("node_rank")
-        if not len(left):
-            return pd.DataFrame({"window_id": [], "channel": [], "pred": []})
-        pred = fn(np.stack(left["x"].to_numpy()), right[["src", "dst"]].to_numpy().T)
-        return pd.DataFrame({"window_id": left["window_id"], "channel": left["channel"], "pred": [np.asarray(p, float).tolist() for p in pred]})
-
-    return nodes.select("window_id", "channel", "node_rank", "x").groupBy("window_id").cogroup(edges.select("window_id", "src", "dst").groupBy("window_id")).applyInPandas(work, schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, lists, links = batch.columns
+            at, own = lists.offsets.to_numpy(), lists.values
+            x = own.field("x")
+            x_at, x_values = x.offsets.to_numpy(), x.values.to_numpy()
+            e_at, src, dst = links.offsets.to_numpy(), links.values.field("src").to_numpy(), links.values.field("dst").to_numpy()
+            for i in range(batch.num_rows):
+                a, b = int(at[i]), int(at[i + 1])
+                there = slice(e_at[i], e_at[i + 1]) if links[i].is_valid else slice(0, 0)
+                pred = np.asarray(fn(x_values[x_at[a] : x_at[b]].reshape(b - a, -1), np.stack([src[there], dst[there]])), float)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * pred.shape[1], pa.int32()), pa.array(pred.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([windows[i].as_py()] * (b - a), windows.type), own.field("channel").slice(a, b - a), flat], names=schema.names)
+
+    return by_node.join(by_edge, "window_id", "left").select("window_id", "_n", "_e").mapInArrow(work, schema)
 
 
 class DenseReLU:
