@@ -27,6 +27,8 @@ from hitwatch.llm import common
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
+#: Feature occurrences that the fit takes up together.
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -76,22 +78,41 @@ def log_ratios(labelled: DataFrame, bits: int = BITS) -> DataFrame:
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float, rounds: int, settled: float = 1e-3) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the L2-regularised log loss of 0/1 features times ``scale``, until the slope is ``settled`` of the first one."""
     sizes = np.array([len(r) for r in rows])
-    at, of = np.concatenate(rows).astype("i8"), np.repeat(np.arange(len(rows)), sizes)
-    n, k = len(rows), len(scale)
+    n, k, ends = len(rows), len(scale), np.cumsum(sizes)
+    at = np.concatenate(rows).astype("i4")
+    # in blocks of rows, so that what is made of the features' values stays small
+    edges = [0, *np.flatnonzero(np.diff(ends // BLOCK) > 0) + 1, n]
+    blocks = [(a, b, int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+    def margins(weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each row's features."""
+        out = np.empty(n)
+        for a, b, first, last in blocks:
+            sums = np.concatenate([[0.0], np.cumsum(weights[at[first:last]])])
+            out[a:b] = sums[ends[a:b] - first] - sums[ends[a:b] - sizes[a:b] - first]
+        return out
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        """Sum of the values of the rows that have each feature."""
+        out = np.zeros(k)
+        for a, b, first, last in blocks:
+            out += np.bincount(at[first:last], weights=np.repeat(values[a:b], sizes[a:b]), minlength=k)
+        return out
+
     coef, bias = np.zeros(k), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     ahead, ahead_bias, momentum = coef.copy(), bias, 1.0
     # a Lipschitz bound by power iteration on the scaled design matrix with its intercept
     probe = np.ones(k + 1)
     for _ in range(12):
-        out = np.bincount(of, weights=(probe[:k] * scale)[at], minlength=n) + probe[k]
-        probe = np.append(np.bincount(at, weights=out[of], minlength=k) * scale, out.sum())
+        out = margins(probe[:k] * scale) + probe[k]
+        probe = np.append(spread(out) * scale, out.sum())
         top = np.linalg.norm(probe)
         probe /= top
     step, steepest = 1 / (0.3 * top / n + penalty), 0.0
     for _ in range(rounds):
-        margin = np.bincount(of, weights=(ahead * scale)[at], minlength=n) + ahead_bias
+        margin = margins(ahead * scale) + ahead_bias
         miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) / n
-        slope = np.bincount(at, weights=miss[of], minlength=k) * scale + penalty * ahead
+        slope = spread(miss) * scale + penalty * ahead
         steepest = max(steepest, float(np.linalg.norm(slope)))
         if np.linalg.norm(slope) <= settled * steepest:
             break
@@ -137,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     sample = labelled.df.mapInArrow(present, "slots binary, label int").collect()  # about max_rows rows of some kilobytes
     labelled.discard()
-    rows = [np.frombuffer(r["slots"], "<i4") for r in sample]
-    weight, bias = fit_logistic(rows, np.array([r["label"] for r in sample], float), scale, penalty, rounds)
+    rows, ys = [np.frombuffer(r["slots"], "<i4") for r in sample], np.array([r["label"] for r in sample], float)
+    del sample
+    weight, bias = fit_logistic(rows, ys, scale, penalty, rounds)
     return Toxicity(slot, weight, bias)
 
 
