@@ -41,7 +41,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 1024, 256, 16_384
 MEMO_BYTES = 48 << 20
-#: Certain borders that a chunk keeps at either end: how far a window can widen.
+#: Certain borders that a window can take in on either side.
 BORDERS = 8
 BLOCK = 1 << 20
 #: Fixed value: how the byte-level pre-tokeniser splits a text.
@@ -86,14 +86,21 @@ def cuts(text: str) -> list[int]:
 
 
 class Chunk:
-    """Ids of a piece of text, and its outermost certain borders at either end as (characters, tokens), at least two of them unless it has fewer."""
+    """Ids of a piece of text, and its outermost certain borders at either end as (characters, tokens): two, and more where a window needs them."""
 
-    __slots__ = ("head", "ids", "tail", "text")
+    __slots__ = ("head", "ids", "kept", "tail", "text")
 
     def __init__(self, text: str, ids: array, sizes: list[int]) -> None:
-        self.text, self.ids, self.head, self.tail = text, ids, [], []
+        self.text, self.ids, self.kept = text, ids, 0
+        self.borders(sizes, 2)
+
+    def borders(self, sizes: list[int], most: int) -> None:
+        """Find up to ``most`` borders at either end."""
+        if most <= self.kept:
+            return
+        text, ids, self.kept, self.head, self.tail = self.text, self.ids, most, [], []
         at = tokens = done = 0
-        while len(self.head) < BORDERS and (at := text.find(" ", at + 1)) > 0:
+        while len(self.head) < most and (at := text.find(" ", at + 1)) > 0:
             if certain(text, at):
                 size = len(text[:at].encode())
                 while done < size:
@@ -101,7 +108,7 @@ class Chunk:
                     tokens += 1
                 self.head.append((at, tokens))
         at, tokens, left = len(text), len(ids), 0
-        while len(self.tail) < BORDERS and (at := text.rfind(" ", 1, at)) > 0:
+        while len(self.tail) < most and (at := text.rfind(" ", 1, at)) > 0:
             if certain(text, at):
                 size = len(text[at:].encode())
                 while left < size:
@@ -188,13 +195,23 @@ class Codec:
             self.held -= 2 * len(old.text) + 4 * len(old.ids) + 600
         return new
 
+    def seam(self, a: Chunk, b: Chunk, i: int) -> array | None:
+        """Ids between border number ``i`` before a join and that after it, if their outer words agree with those of the chunks."""
+        (near_a, far_a), (near_b, far_b) = a.tail[i - 1 : i + 1], b.head[i - 1 : i + 1]
+        ids = array("I", self.ranked.encode_ordinary(a.text[far_a[0] :] + b.text[: far_b[0]]))
+        left, right = a.ids[far_a[1] : near_a[1]], b.ids[near_b[1] : far_b[1]]
+        return ids if len(ids) >= len(left) + len(right) and ids[: len(left)] == left and ids[len(ids) - len(right) :] == right else None
+
     def window(self, a: Chunk, b: Chunk) -> tuple[int, array] | None:
-        """How many borders out on either side, and the ids between those borders, as soon as the window's outer words agree with those of the chunks."""
-        for i in range(1, a.reach(b)):
-            (near_a, far_a), (near_b, far_b) = a.tail[i - 1 : i + 1], b.head[i - 1 : i + 1]
-            ids = array("I", self.ranked.encode_ordinary(a.text[far_a[0] :] + b.text[: far_b[0]]))
-            left, right = a.ids[far_a[1] : near_a[1]], b.ids[near_b[1] : far_b[1]]
-            if len(ids) >= len(left) + len(right) and ids[: len(left)] == left and ids[len(ids) - len(right) :] == right:
+        """How many borders out on either side a window's outer words agree with the chunks, and the ids between those borders."""
+        ids = self.seam(a, b, 1)
+        if ids is not None:
+            return 1, ids
+        for c in (a, b):
+            c.borders(self.sizes, BORDERS)
+        for i in range(2, a.reach(b)):
+            ids = self.seam(a, b, i)
+            if ids is not None:
                 return i, ids
         return None
 
@@ -217,7 +234,7 @@ class Codec:
         text = text or ""
         if not self.by_chunks:
             return array("I", self.library.encode(text, add_special_tokens=False).ids)
-        if not self.odd.search(text):
+        if not UNSETTLED.search(text) and not any(t in text for t in self.specials):
             return self.by_reuse(text)
         out = array("I")
         for piece, is_odd in self.pieces(text):

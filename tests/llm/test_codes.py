@@ -80,6 +80,7 @@ def test_a_window_widens_until_its_outer_words_agree(coder):
     at, ids = coder.window(a, b)
     assert at == 1
     spoiled = bpe.Chunk(left, bpe.array("I", a.ids), coder.sizes)
+    spoiled.borders(coder.sizes, bpe.BORDERS)
     for i in range(spoiled.tail[2][1], spoiled.tail[0][1]):  # the words between the first three borders do not agree
         spoiled.ids[i] ^= 1
     at, ids = coder.window(spoiled, b)
