@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, licenses, media, mixing, simhash, tokenstore, topk, toxicity, warc
+from hitwatch.llm import bpe, common, langid, licenses, media, mixing, periodic, simhash, tokenstore, topk, toxicity, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
@@ -82,7 +82,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk)}
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in documents whose id's crc32 is divisible by 10, the words from a place on repeat with a period; both follow from that crc32."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != "")).alias("w"))
+    sized = words.select("*", F.size("w").cast("long").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    placed = sized.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
+    ready = placed.select("*", period.alias("p"))
+    cut = lambda x, a, n: F.slice(x, a.cast("int"), n.cast("int"))
+    tail = F.flatten(F.array_repeat(cut("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(cut("w", F.lit(1), F.col("a")), cut(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return ready.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, with repeats put in as the contract says."""
+    docs = with_repeats(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", periodic.periodic_runs(F.col("text")).alias("r")).select("doc_id", "r.*").withColumn("b", F.get("runs", F.col("best")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    exponent = F.expr("b.length * 1000 div b.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", exponent.alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"), "n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk, op13_periodic)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {
