@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, licenses, media, mixing, periodic, simhash, tokenstore, topk, toxicity, warc
+from hitwatch.llm import bpe, common, langid, licenses, media, mixing, periodic, simhash, tokenstore, topk, toxicity, variants, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
@@ -82,6 +82,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.read(spark, sf_dir, "embeddings"))
 
 
+def misspelt(docs: DataFrame, least: int = 7) -> DataFrame:
+    """(word): the letter runs of every text in lower case (A to Z), some of which lose a letter, as a crc32 of document and run says; words of at least ``least`` code points."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # a run that is too short stays so
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z\u00C0-\u00FF]{{{least},}}"), F.lit(0))).alias("run"))
+    low = found.select("doc_id", F.translate("run", capitals, capitals.lower()).alias("run"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    hashed = low.select("run", F.crc32(name.cast("binary")).alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return hashed.select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word")).filter(F.char_length("word") >= least)
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents that occur twice at least."""
+    return variants.groups(variants.counted(misspelt(common.read(spark, sf_dir, "documents"))))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in documents whose id's crc32 is divisible by 10, the words from a place on repeat with a period; both follow from that crc32."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -106,12 +124,13 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", exponent.alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk, op13_periodic)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk, op12_variants, op13_periodic)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {
     "op2_mix": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op12_variants": variants.ORACLE_SQL,
     "op10_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
