@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.llm import bpe, common, langid, licenses, media, mixing, periodic, simhash, tokenstore, topk, toxicity, variants, warc
+from hitwatch.llm import bpe, common, langid, licenses, media, mixing, periodic, quality, simhash, tokenstore, topk, toxicity, variants, warc
 
 #: Documents with a toxicity score of at least this are called toxic.
 TOXIC_FROM = 0.3
+#: Documents with a quality score of at least this are called good.
+GOOD_FROM = 0.3
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.read(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of rows with crc32(doc_id) mod 5 = 0 are never used."""
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(common.crc_fold("doc_id", 5) != 0))
+    held = F.coalesce(common.crc_fold("doc_id", 5) == 0, F.lit(False))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.scorer(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
 def misspelt(docs: DataFrame, least: int = 7) -> DataFrame:
     """(word): the letter runs of every text in lower case (A to Z), some of which lose a letter, as a crc32 of document and run says; words of at least ``least`` code points."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -124,7 +135,7 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", exponent.alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk, op12_variants, op13_periodic)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_mix, op3_toxicity, op4_bpe, op5_simhash, op6_media, op7_tokenstore, op8_warc, op9_langid, op10_topk, op11_quality, op12_variants, op13_periodic)}
 
 #: DuckDB twins, for what SQL can express.
 ORACLE: dict[str, str] = {

@@ -24,5 +24,5 @@ def test_query_matches_sql(name, spark, tmp_path):
 
 def test_registry():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(ORACLE) <= set(names)
