@@ -73,14 +73,19 @@ def node_cells(assembled: DataFrame, layout: Layout, n_windows: int, features: S
     return kept.select("window_id", "channel", "node_rank", (F.col("node_rank") / F.greatest(F.col("_m") - 1, F.lit(1))).alias("rank_index"), "cells")
 
 
-def node_slots(cells: DataFrame, layout: Layout, n_features: int = len(DEFAULT_FEATURES), target: bool = False) -> DataFrame:
-    """(window_id, channel, slot, value) of ``node_cells``, non-zero values only: slot 0 is the rank index, then frames, bins, features; or the target's."""
+def node_entries(layout: Layout, n_features: int = len(DEFAULT_FEATURES), target: bool = False) -> Column:
+    """Array of (slot, value) of a row of ``node_cells``, non-zero values only: slot 0 is the rank index, then frames, bins, features; or the target's."""
     of = (lambda c: c["w"] == layout.history) if target else (lambda c: c["w"] < layout.history)
     base = (lambda c: c["bin"] * n_features) if target else (lambda c: 1 + (c["w"] * layout.bins + c["bin"]) * n_features)
     each = F.flatten(F.transform(F.filter("cells", of), lambda c: F.transform(c["values"], lambda v, i: F.struct((base(c) + i).cast("long").alias("slot"), v.alias("value")))))
     own = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("rank_index").cast("double").alias("value")))
     kept = F.filter(each, lambda s: s["value"] != 0)
-    return cells.select("window_id", "channel", F.inline(kept if target else F.concat(own, kept)))
+    return kept if target else F.concat(own, kept)
+
+
+def node_slots(cells: DataFrame, layout: Layout, n_features: int = len(DEFAULT_FEATURES), target: bool = False) -> DataFrame:
+    """(window_id, channel, slot, value) of ``node_cells``: their entries, a row each."""
+    return cells.select("window_id", "channel", F.inline(node_entries(layout, n_features, target)))
 
 
 def node_vectors(cells: DataFrame, layout: Layout, n_features: int = len(DEFAULT_FEATURES)) -> DataFrame:

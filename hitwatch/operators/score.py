@@ -44,28 +44,6 @@ def forecast_node_scores(assembled: DataFrame, layout: Layout, n_windows: int, f
     return ranked.filter("_real = 1 OR (_m = 0 AND _r = 1)").select("window_id", "channel", (F.col("_sq") / (layout.bins * len(features))).alias("mse"))
 
 
-def neighbour_forecast(assembled: DataFrame, nodes: DataFrame, layout: Layout, features: Sequence[str] = DEFAULT_FEATURES, radius: int = 4) -> DataFrame:
-    """(window_id, channel, mse) when a node is forecast as the mean of its active neighbours' last frame."""
-    key = ["window_id", "channel"]
-    edges = graph.pruned_edges(nodes, radius).select("window_id", "src_channel", F.col("dst_channel").alias("channel"))
-    degree = edges.groupBy(*key).agg(F.count("*").alias("_d"))
-    last = assembled.filter(F.col("w") == layout.history - 1).withColumnRenamed("channel", "src_channel")
-    told = edges.join(last, ["window_id", "src_channel"]).groupBy(*key, "bin").agg(*[F.sum(f).alias(f) for f in features]).join(degree, key)
-    told = told.select(*key, "bin", *[(F.col(f) / F.col("_d")).alias(f) for f in features])
-    real = assembled.filter(F.col("w") == layout.history).join(nodes.select(*key), key).select(*key, "bin", *[(-F.col(f)).alias(f) for f in features])
-    cells = told.unionByName(real).groupBy(*key, "bin").agg(*[F.sum(f).alias(f) for f in features])
-    square = F.lit(0.0)
-    for f in features:
-        square = square + F.col(f) * F.col(f)
-    summed = cells.groupBy(*key).agg(F.sum(square).alias("_sq"))
-    return nodes.select(*key).join(summed, key, "left").select(*key, (F.coalesce("_sq", F.lit(0.0)) / (layout.bins * len(features))).alias("mse"))
-
-
-def vector_scores(nodes: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(window_id, channel, mse) of predictions ``pred`` against the nodes' targets ``y``."""
-    return nodes.select("window_id", "channel", "y").join(predicted, ["window_id", "channel"]).select("window_id", "channel", mse(F.col("pred"), F.col("y")).alias("mse"))
-
-
 def window_scores(node_scores: DataFrame) -> DataFrame:
     """(window_id, score_mean, score_max, n_nodes)."""
     return node_scores.groupBy("window_id").agg(F.avg("mse").alias("score_mean"), F.max("mse").alias("score_max"), F.count("*").alias("n_nodes"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitwatch.functions import vectors as vec
-from hitwatch.operators import ablation, geometry, graph, hits, index, metrics, predict, score, splits, windows
+from hitwatch.operators import ablation, geometry, graph, hits, index, metrics, predict, score, splits, window_pass, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
 from hitwatch.plans import source_queries  # noqa: F401  registers its queries
@@ -178,11 +178,23 @@ def collate_nodes(spark, sf_dir):
     return rounded(graph.collate_nodes(g.rows, g.channels, max_nodes=30), "channel_index", digits=9)
 
 
-@query(f"""WITH {_GRAPH}, x AS (SELECT window_id, channel, unnest([{", ".join(f"{{'slot': 1 + (w * 4 + bin) * 5 + {i}, 'value': {f}::DOUBLE}}" for i, f in enumerate(windows.DEFAULT_FEATURES))}], recursive := true) FROM asm JOIN nodes USING (window_id, channel) WHERE w < 4)
-SELECT window_id, channel, slot::BIGINT AS slot, round(value, 6) AS value FROM x WHERE value <> 0 UNION ALL SELECT window_id, channel, 0, round(node_rank / greatest(m - 1, 1), 6) FROM nodes""")
+def _millionths(value: Column) -> Column:
+    """Values as whole millionths; exact halves, which engines may round either way, go up."""
+    return F.floor(value * 1e6 + 0.50001)
+
+
+_SLOTS = ", ".join(f"{{'slot': 1 + (w * {LAYOUT.bins} + bin) * {len(windows.DEFAULT_FEATURES)} + {i}, 'value': {f}::DOUBLE}}" for i, f in enumerate(windows.DEFAULT_FEATURES))
+
+
+@query(f"""WITH {_GRAPH}, x AS (SELECT window_id, channel, unnest([{_SLOTS}], recursive := true) FROM asm JOIN nodes USING (window_id, channel) WHERE w < {LAYOUT.history}),
+s AS (SELECT window_id, channel, slot::BIGINT AS slot, value FROM x WHERE value <> 0 UNION ALL SELECT window_id, channel, 0, (node_rank / greatest(m - 1, 1))::DOUBLE FROM nodes)
+SELECT window_id, channel, count(*) AS n_slots, string_agg(slot || ':' || floor(value * 1e6 + 0.50001)::BIGINT, ' ' ORDER BY slot) AS vector FROM s GROUP BY ALL""")
 def node_vectors(spark, sf_dir):
+    """A row a node: the slots of its vector that are not zero, in millionths."""
     g = Graph(spark, sf_dir)
-    return rounded(graph.node_slots(g.cells, LAYOUT), "value")
+    entries = F.array_sort(graph.node_entries(LAYOUT))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["slot"], _millionths(e["value"]))), " ")
+    return g.cells.select("window_id", "channel", F.size(entries).cast("long").alias("n_slots"), text.alias("vector"))
 
 
 @query(f"""WITH {_GRAPH}, t AS (SELECT window_id, channel, sum(sum) AS s, sum(cnt) AS c FROM asm WHERE w = 4 GROUP BY ALL), h AS (SELECT window_id, channel, sum(sum) AS s FROM asm WHERE w < 4 GROUP BY ALL)
@@ -202,9 +214,13 @@ def band_edges(spark, sf_dir):
 _EDGES = f"{_GRAPH}, edges AS (SELECT a.window_id, a.node_rank AS src, b.node_rank AS dst, a.channel AS src_channel, b.channel AS dst_channel FROM (SELECT *, channel + unnest(range(-{RADIUS}, {RADIUS} + 1)) AS other FROM nodes) a JOIN nodes b ON a.window_id = b.window_id AND a.other = b.channel)"
 
 
-@query(f"WITH {_EDGES} SELECT window_id, src, dst, src_channel, dst_channel FROM edges")
+@query(f"""WITH {_EDGES} SELECT window_id, src, src_channel, count(*) AS degree, string_agg(dst || ':' || dst_channel, ' ' ORDER BY dst) AS neighbours FROM edges GROUP BY ALL""")
 def pruned_edges(spark, sf_dir):
-    return graph.pruned_edges(Graph(spark, sf_dir).nodes, RADIUS)
+    """A row a node: all edges from it."""
+    edges = graph.pruned_edges(Graph(spark, sf_dir).nodes, RADIUS)
+    ends = F.sort_array(F.collect_list(F.struct("dst", "dst_channel")))  # as many as the radius allows
+    text = F.array_join(F.transform(ends, lambda e: F.concat_ws(":", e["dst"], e["dst_channel"])), " ")
+    return edges.groupBy("window_id", "src", "src_channel").agg(F.count("*").alias("degree"), text.alias("neighbours"))
 
 
 _VALUES = "vals AS (SELECT window_id, channel, sum(sum) AS value FROM asm WHERE w = 3 GROUP BY ALL)"
@@ -228,6 +244,30 @@ def neighbour_norm(spark, sf_dir):
     return rounded(graph.neighbour_norm(g.nodes, _last_sums(g), RADIUS), "value")
 
 
+_LAYER = """SELECT e.window_id, e.dst_channel AS channel, v.w, {sums} FROM edges e JOIN {values} v ON v.window_id = e.window_id AND v.channel = e.src_channel
+JOIN deg a ON a.window_id = e.window_id AND a.channel = e.src_channel JOIN deg b ON b.window_id = e.window_id AND b.channel = e.dst_channel GROUP BY ALL"""
+
+
+def _layer(values: str) -> str:
+    """SQL of one step of degree-normalised propagation."""
+    return _LAYER.format(values=values, sums=", ".join(f"sum(v.{f} / sqrt(a.d)) / sqrt(any_value(b.d)) AS {f}" for f in windows.DEFAULT_FEATURES))
+
+
+@query(f"""WITH {_EDGES}, deg AS MATERIALIZED (SELECT window_id, src_channel AS channel, count(*) AS d FROM edges GROUP BY ALL),
+zero AS (SELECT window_id, channel, unnest(range(0, {LAYOUT.history})) AS w FROM nodes),
+v0 AS MATERIALIZED (SELECT z.window_id, z.channel, z.w, {", ".join(f"coalesce(sum(a.{f}), 0)::DOUBLE AS {f}" for f in windows.DEFAULT_FEATURES)} FROM zero z LEFT JOIN asm a ON a.window_id = z.window_id AND a.channel = z.channel AND a.w = z.w GROUP BY ALL),
+v1 AS MATERIALIZED ({_layer("v0")}), v2 AS ({_layer("v1")})
+SELECT window_id, channel, w::BIGINT AS w, {", ".join(f"round({f} + {NUDGE}, 6) AS {f}" for f in windows.DEFAULT_FEATURES)} FROM v2""")
+def stacked_propagation(spark, sf_dir):
+    """Two layers of propagation over all features of every past frame; bins are added up, as the steps are linear."""
+    g = Graph(spark, sf_dir)
+    made = window_pass.propagated_frames(g.rows, LAYOUT, g.n, layers=2, radius=RADIUS)
+    summed = made.groupBy("window_id", "channel", "w").agg(*[F.sum(f).alias(f) for f in windows.DEFAULT_FEATURES])
+    for f in windows.DEFAULT_FEATURES:
+        summed = nudged(summed, f)
+    return summed
+
+
 @query(f"WITH {_SCORES} SELECT window_id, channel, round(mse, 9) AS mse FROM mses")
 def forecast_node_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
@@ -251,7 +291,7 @@ c AS (SELECT window_id, channel, bin, {", ".join(f"sum({f}) AS d_{f}" for f in _
 SELECT n.window_id, n.channel, round(coalesce(sum({" + ".join(f"d_{f} * d_{f}" for f in _FEATS)}), 0) / {CELLS} + {NUDGE}, 6) AS mse FROM nodes n LEFT JOIN c USING (window_id, channel) GROUP BY ALL""")
 def neighbour_forecast_scores(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return nudged(score.neighbour_forecast(g.rows, g.nodes, LAYOUT), "mse")
+    return nudged(window_pass.neighbour_forecast(g.rows, LAYOUT, g.n), "mse")
 
 
 _WINDOWS = f"{_SCORES}, ws AS (SELECT window_id, avg(mse) AS score_mean, max(mse) AS score_max, count(*) AS n_nodes FROM mses GROUP BY window_id)"
@@ -296,7 +336,7 @@ def node_score_grid(spark, sf_dir):
     return rounded(grid, "mse", digits=9)
 
 
-def _half_and_quarter(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _half_and_quarter(x: np.ndarray, edges: np.ndarray, graph: np.ndarray) -> np.ndarray:
     """A linear model for the predictor plug-in: half the last frame, a quarter of the one before, an eighth of the number of neighbours."""
     return 0.5 * x[:, -CELLS:] + 0.25 * x[:, -2 * CELLS : -CELLS] + 0.125 * np.bincount(edges[1], minlength=len(x))[:, None]
 
@@ -313,11 +353,9 @@ FROM mses m JOIN ws USING (window_id) JOIN idx a ON a.event_idx = m.window_id *
 def model_scores(spark, sf_dir):
     """Inference from end to end: window graphs, a model's forecasts, node and window scores, flags and provenance, saved and read back."""
     g, path = Graph(spark, sf_dir), scratch(spark, "scores")
-    cells = Stored(g.cells, "cells").df
-    nodes = graph.node_vectors(cells, LAYOUT)
-    told = predict.predict_windows(nodes, graph.pruned_edges(cells.select("window_id", "channel", "node_rank"), RADIUS), _half_and_quarter)
-    node_scores = Stored(score.vector_scores(nodes, told), "node_scores").df
-    flagged = score.window_scores(node_scores).withColumn("is_anomaly", score.flag(score.score_column("max"), 2000.25))
+    model = predict.Model("gnn", _half_and_quarter, threshold=2000.25)
+    node_scores = Stored(model.node_scores(g.rows, LAYOUT, g.n, radius=RADIUS).select("window_id", "channel", "mse"), "node_scores").df
+    flagged = score.window_scores(node_scores).withColumn("is_anomaly", model.flag(score.score_column("max")))
     files.save_scores(flagged.join(windows.provenance(spark, g.prepared.events, LAYOUT, g.prepared.n), "window_id"), node_scores, path)
     by_window, by_node = files.load_scores(spark, path)
     kept = by_node.join(by_window.select("window_id", "score_mean", "score_max", "is_anomaly", "first_run", "first_evt", "last_evt"), "window_id")
@@ -470,6 +508,41 @@ def network_scores(spark, sf_dir):
     return rounded(predict.score_vectors(fx.vectors(spark, sf_dir), "x", _NETWORK).select("vec_id", "label", "score"), "score")
 
 
+def _fused(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A joint model of two vectors: half of each value, and a quarter of the other detector's first one."""
+    return np.concatenate([0.5 * a + 0.25 * b[:, :1], 0.5 * b + 0.25 * a[:, :1]], axis=1)
+
+
+@query(f"""WITH {fx.SQL_LINES}, k AS (SELECT o_orderkey::BIGINT AS evt FROM orders), s AS (SELECT evt, unnest(range(0, 6)) AS slot FROM k),
+a AS (SELECT s.evt, s.slot, coalesce(l_quantity, 0)::DOUBLE AS v FROM s LEFT JOIN lines l ON l.evt = s.evt AND l.i = s.slot), b AS (SELECT s.evt, s.slot, coalesce(10 * l_tax, 0)::DOUBLE AS v FROM s LEFT JOIN lines l ON l.evt = s.evt AND l.i = s.slot WHERE s.slot < 4),
+c AS (SELECT x.evt, x.v - (0.5 * x.v + 0.25 * y.v) AS d FROM a x JOIN b y ON x.evt = y.evt AND y.slot = 0 UNION ALL SELECT x.evt, x.v - (0.5 * x.v + 0.25 * y.v) FROM b x JOIN a y ON x.evt = y.evt AND y.slot = 0)
+SELECT evt, round(sum(d * d) / 10 + {NUDGE}, 6) AS score, sum(d * d) / 10 + {NUDGE} > 90.000005 AS is_anomaly FROM c WHERE evt IN (SELECT evt FROM lines) GROUP BY evt""")
+def fusion_scores(spark, sf_dir):
+    """Vectors of two sub-detectors, joined by event, under a joint model."""
+    rows = fx.ragged(spark, sf_dir)
+    tpc, pmt = rows.select("evt", vec.pad(F.col("quantity"), 6).alias("tpc")), rows.select("evt", vec.pad(F.transform("tax", lambda t: t * 10), 4).alias("pmt"))
+    model = predict.Model("fusion", _fused, threshold=90.000005)
+    scored = nudged(model.scores(score.join_events(tpc, pmt, ["evt"]), "tpc", "pmt").withColumn("is_anomaly", model.flag(F.col("score") + NUDGE)), "score")
+    return scored.select("evt", "score", "is_anomaly")
+
+
+def _one_before(x: np.ndarray) -> np.ndarray:
+    """A model of windows (rows x channels x time): each value is told to be the one before it."""
+    return np.concatenate([np.zeros_like(x[..., :1]), x[..., :-1]], axis=-1)
+
+
+@query(f"""WITH s AS (SELECT event_id::BIGINT AS t, value::DOUBLE AS v, (event_type = 'error')::INT::DOUBLE AS e FROM events), n AS (SELECT count(*) AS n FROM s),
+w AS (SELECT window_id, t, c, CASE c WHEN 0 THEN v ELSE e END AS x FROM (SELECT unnest(range(0, (n - 64) // 32 + 1)) AS window_id FROM n) JOIN s ON t >= window_id * 32 AND t < window_id * 32 + 64, (VALUES (0), (1)) k(c)),
+m AS (SELECT window_id, c, avg(x) AS m, stddev_pop(x) AS s FROM w GROUP BY ALL), z AS (SELECT w.window_id, w.c, t, (x - m) / CASE WHEN s > 1e-12 THEN s ELSE 1 END AS z FROM w JOIN m ON m.window_id = w.window_id AND m.c = w.c)
+SELECT window_id, round(avg(d * d) + {NUDGE}, 6) AS score FROM (SELECT window_id, z - coalesce(lag(z) OVER (PARTITION BY window_id, c ORDER BY t), 0) AS d FROM z) GROUP BY window_id""")
+def window_model_scores(spark, sf_dir):
+    """Windows of two channels over time under a model of windows, each channel z-scored."""
+    rows = fx.signal(spark, sf_dir)
+    made = windows.signal_windows(rows, 64, 32, rows.count())
+    grids = made.select("window_id", F.array("values", F.transform("labels", lambda e: e.cast("double"))).alias("x"))
+    return nudged(predict.Model("window", _one_before, normalise=True).scores(grids, "x").select("window_id", "score"), "score")
+
+
 @query("""WITH p AS (SELECT l_orderkey, count(*) / 7.0 AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), w AS (SELECT l_orderkey, max(l_discount) AS c FROM lineitem WHERE l_tax > 0.05 GROUP BY l_orderkey),
 t AS (SELECT year(o_orderdate)::BIGINT AS run, month(o_orderdate)::BIGINT AS subrun, o_orderkey::BIGINT AS evt, round(o_totalprice / 1e6, 6) AS a, round(coalesce(b, 0), 6)::DOUBLE AS b, round(coalesce(c, 0), 6)::DOUBLE AS c
   FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN w ON w.l_orderkey = o_orderkey)

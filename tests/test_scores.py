@@ -182,13 +182,6 @@ def test_ragged_rows_are_scored_by_row(spark):
     assert [r["score"] for r in mean] == [1.5, 2.25]
 
 
-def test_window_predictor_plugin(spark):
-    nodes = spark.createDataFrame([(0, 5, 0, [1.0, 2.0]), (0, 7, 1, [3.0, 4.0]), (1, 2, 0, [5.0, 6.0])], "window_id long, channel long, node_rank long, x array<double>")
-    edges = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "window_id long, src long, dst long")
-    got = predict.predict_windows(nodes, edges, lambda x, e: x * 2 + e.shape[1]).orderBy("window_id", "channel").collect()
-    assert [(r["channel"], r["pred"]) for r in got] == [(5, [4.0, 6.0]), (7, [8.0, 10.0]), (2, [10.0, 12.0])]
-
-
 def test_first_rows_and_urls(spark):
     df = spark.createDataFrame([(2, 1), (1, 9), (1, 2)], "file_idx int, entry int")
     assert [tuple(r) for r in splits.first_rows(df, 2, "file_idx", "entry").collect()] == [(1, 2), (1, 9)]
