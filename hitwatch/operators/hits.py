@@ -44,6 +44,13 @@ def channel_partials(hits: DataFrame, n_channels: int | None = None) -> DataFram
     return sound.groupBy("event_idx", "channel").agg(F.sum(x).alias("sum"), F.count(x).alias("cnt"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x * x).alias("sum_sq"))
 
 
+def hit_partials(hits: DataFrame, n_channels: int | None = None) -> DataFrame:
+    """The partials of ``channel_partials`` with a row for each hit, so without an exchange; they merge to the same features."""
+    sound = hits.filter("channel >= 0" if n_channels is None else F.col("channel").between(0, n_channels - 1)).filter("integral IS NOT NULL")
+    x = F.col("integral").cast("double")
+    return sound.select("event_idx", "channel", x.alias("sum"), F.lit(1).cast("long").alias("cnt"), x.alias("min"), x.alias("max"), (x * x).alias("sum_sq"))
+
+
 def concat_metadata(events: DataFrame, columns: list[str], out: str = "meta_values") -> DataFrame:
     """All values of the metadata columns of an event in one array, in order; missing columns and nulls skipped."""
     arrays = []

@@ -34,6 +34,11 @@ class Layout:
     def span(self) -> int:
         return (self.history + 1) * self.size
 
+    @property
+    def overlap(self) -> int:
+        """How many different frames an event is in at most."""
+        return min(self.size // gcd(self.size, self.stride), (self.history + 1) * -(-self.size // self.stride))
+
     def count(self, n_events: int) -> int:
         """Number of windows that fit in ``n_events`` events."""
         return max(0, (n_events - self.span) // self.stride + 1) if n_events >= self.span else 0
@@ -110,6 +115,17 @@ def frame_features(partials: DataFrame, layout: Layout, n_events: int) -> DataFr
     return merge_features(framed.withColumn("bin", bin_of(F.col("event_idx") - F.col("frame_start"), layout.size, layout.bins)).groupBy("frame_start", "channel", "bin"))
 
 
+def frames_of_hits(hits: DataFrame, layout: Layout, n_events: int) -> DataFrame:
+    """``frame_features`` of indexed hits, with one exchange where the layout allows it.
+
+    Partials by event and channel come first, by an exchange of their own, only if each would be copied to more than two frames: with little overlap
+    hits go to their frames as they are and are combined there before they are exchanged, by (frame, channel, bin). The rule follows from the layout alone.
+    """
+    from hitwatch.operators.hits import channel_partials, hit_partials
+
+    return frame_features(hit_partials(hits) if layout.overlap <= 2 else channel_partials(hits), layout, n_events)
+
+
 def dense_window_features(hits: DataFrame, layout: Layout, n_events: int) -> DataFrame:
     """(window_id, channel, bin, features) of single-frame windows, straight from indexed hits, by two-pass deviations."""
     ids = window_ids(F.col("event_idx"), layout.size, layout.stride, Layout(layout.size, layout.stride).count(n_events))

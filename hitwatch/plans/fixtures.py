@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitwatch.operators.hits import channel_partials, index_hits
+from hitwatch.operators.hits import index_hits
 from hitwatch.operators.index import event_order, indexed
-from hitwatch.operators.windows import Layout, frame_features
+from hitwatch.operators.windows import Layout, frames_of_hits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ class Prepared:
         self.hits = index_hits(hits(spark, sf_dir), self.events, n_events=self.n)
 
     def frames(self, layout: Layout) -> DataFrame:
-        return frame_features(channel_partials(self.hits), layout, self.n)
+        return frames_of_hits(self.hits, layout, self.n)
 
 
 #: SQL of the indexed events (idx) and hits (ih).

@@ -16,7 +16,7 @@ from hitwatch.plans import source_queries  # noqa: F401  registers its queries
 from hitwatch.plans.registry import ORACLE, QUERIES, query, rounded, slots
 from hitwatch.sources import files
 from hitwatch.sources.scratch import Stored, is_folder, scratch
-from hitwatch.streaming import jobs
+from hitwatch.streaming import frames, jobs
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -735,12 +735,15 @@ _STREAM_LAYOUT = Layout(20, 10, 2, 4)
 starts AS (SELECT DISTINCT k * 10 + w * 20 AS frame_start FROM (SELECT unnest(range(0, nw)) AS k FROM nw), (SELECT unnest(range(0, 3)) AS w))
 SELECT frame_start, channel, {fx.sql_bin("event_idx - frame_start", _STREAM_LAYOUT)} AS bin, round(sum(integral), 6) AS sum, count(*) AS cnt, min(integral) AS min, max(integral) AS max FROM starts JOIN ih ON event_idx >= frame_start AND event_idx < frame_start + 20 GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    folder = scratch(spark, "windows")
-    rows = fx.table(spark, sf_dir, "events").select((F.col("event_id") / 10).cast("long").alias("event_idx"), F.col("user_id").cast("long").alias("channel"), F.col("value").cast("double").alias("integral"))
-    last = rows.agg(F.max("event_idx")).first()[0] + 1
-    parts = max(4, -(-last // 1_000_000))
-    sink = jobs.WindowSink(folder, _STREAM_LAYOUT)
-    for i in range(parts):  # arrivals, in order: a batch takes all files of one
-        rows.filter(F.col("event_idx").between(last * i // parts, last * (i + 1) // parts - 1)).write.mode("append").parquet(f"{folder}/in")
-        jobs.run_batches(jobs.read_stream(spark, f"{folder}/in", rows.schema, files_per_batch=None), sink, f"{folder}/checkpoint")
-    return rounded(sink.frames(spark).select("frame_start", "channel", "bin", "sum", "cnt", "min", "max"), "sum")
+    """Frames of events that arrive in parts, each part in a run of its own that goes on from the state the last one left."""
+    folder, table = scratch(spark, "windows"), fx.table(spark, sf_dir, "events")
+    newest = table.agg(F.max("event_id")).first()[0]
+    n = 0 if newest is None else newest // 10 + 1
+    schema = "event_idx long, channel long, integral double"
+    parts = max(2, -(-n // 1_000_000))
+    for i in range(parts):
+        # by ranges of the table's own column, which the files' statistics know: no arrival reads the others' row groups
+        arrived = table.filter(F.col("event_id").between(n * i // parts * 10, n * (i + 1) // parts * 10 - 1))
+        arrived.select((F.col("event_id") / 10).cast("long").alias("event_idx"), F.col("user_id").cast("long").alias("channel"), F.col("value").cast("double").alias("integral")).write.mode("append").parquet(f"{folder}/in")
+        frames.run_frames(jobs.read_stream(spark, f"{folder}/in", schema, files_per_batch=None), _STREAM_LAYOUT, f"{folder}/out", f"{folder}/checkpoint")
+    return rounded(frames.whole_frames(spark, f"{folder}/out", _STREAM_LAYOUT, n).select("frame_start", "channel", "bin", "sum", "cnt", "min", "max"), "sum")

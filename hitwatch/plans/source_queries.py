@@ -11,7 +11,8 @@ from hitwatch.operators import geometry, hits, index, metrics, score, splits, wi
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
 from hitwatch.plans.registry import query, rounded, slots
-from hitwatch.sources import files
+from hitwatch.sources import event_batches, files
+from hitwatch.sources import event_store as store
 from hitwatch.sources.scratch import scratch
 
 # --- files ------------------------------------------------------------------------------------------------------
@@ -78,6 +79,48 @@ def event_store(spark, sf_dir):
     return events.join(counts, "event_idx", "left").select("event_idx", "run", "subrun", "evt", filled("n", 0).cast("long").alias("n_hits"), filled("t", 0.0).alias("total"), filled("times", 0).cast("long").alias("n_times"))
 
 
+def _sorted_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Folders of four sources of different sizes, each one Parquet file of events sorted by their number."""
+    path = scratch(spark, "sources")
+    rows = fx.events(spark, sf_dir).select("run", "evt", F.least(F.col("evt") % 7, F.lit(3)).alias("file"))
+    rows.repartition("file").sortWithinPartitions("file", "evt").write.partitionBy("file").parquet(path)
+    return [f"{path}/file={i}" for i in range(4)]
+
+
+_NUMBERED = "WITH e AS (SELECT year(o_orderdate)::BIGINT AS run, o_orderkey::BIGINT AS evt, row_number() OVER (ORDER BY least(o_orderkey % 7, 3), o_orderkey) - 1 AS i FROM orders)"
+
+
+@query(f"{_NUMBERED} SELECT run, evt, i // 512 AS batch, i % 512 AS place FROM e")
+def event_batches_over_files(spark, sf_dir):
+    """Events of several files in batches of 512 that go over file borders."""
+    return event_batches.with_batches(spark, _sorted_files(spark, sf_dir), 512)
+
+
+@query(f"{_NUMBERED} SELECT run, evt, i // 4096 AS batch, i % 4096 AS place, i // 4096 AS arrival FROM e")
+def event_batch_stream(spark, sf_dir):
+    """The same events as a stream that admits 4,096 a micro-batch."""
+    paths, folder = _sorted_files(spark, sf_dir), scratch(spark, "arrivals")
+    schema = spark.read.parquet(paths[0]).schema
+    return event_batches.to_table(event_batches.read_batches(spark, paths, schema, 4096), f"{folder}/rows", f"{folder}/checkpoint")
+
+
+_STORE_LAYOUT = Layout(20, 20, 4, 4)
+
+
+@query(f"WITH {fx.sql_frames(_STORE_LAYOUT)} SELECT frame_start, channel, bin, sum, cnt, round(mean, 6) AS mean, min, max, round(stdev, 6) AS stdev FROM frames")
+def event_store_frames(spark, sf_dir):
+    """Frames from the bucketed event store, which needs no index and no join: the first half of its windows and the rest, read apart."""
+    p, path = fx.Prepared(spark, sf_dir), scratch(spark, "buckets")
+    store.save(p.events, p.hits.select("event_idx", "channel", "integral", "plane"), path, per_bucket=1000)
+    n, step = _STORE_LAYOUT.count(p.n), _STORE_LAYOUT.stride
+    half, last_frame = n // 2, _STORE_LAYOUT.span - _STORE_LAYOUT.size
+    frames = windows.frames_of_hits(store.hits_of(store.load_windows(spark, path, _STORE_LAYOUT, 0, half - 1)), _STORE_LAYOUT, p.n).filter(F.col("frame_start") <= (half - 1) * step + last_frame)
+    rest = windows.frames_of_hits(store.hits_of(store.load_windows(spark, path, _STORE_LAYOUT, half, n - 1)), _STORE_LAYOUT, p.n)
+    # a frame of both halves comes from the first, and one whose events are not all there from neither
+    frames = frames.union(rest.filter(F.col("frame_start") > (half - 1) * step + last_frame))
+    return rounded(frames, "mean", "stdev")
+
+
 @query("SELECT year(o_orderdate)::BIGINT AS run, count(*) AS n_events, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY run")
 def csv_summary(spark, sf_dir):
     """A summary by run, written as CSV and read back."""

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: incremental ingest, stateless vectors and scores, windows over events that arrive in order."""
+"""Structured Streaming jobs: incremental ingest, stateless vectors and scores. Frames over arriving events are in ``frames``."""
 
 from __future__ import annotations
 
@@ -10,11 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hitwatch.functions.vectors import has_non_finite, pad, repair, zscore_keep
-from hitwatch.operators.hits import channel_partials
-from hitwatch.operators.windows import Layout, frame_features, is_used
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 16, pattern: str | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = 16, pattern: str | None = None) -> DataFrame:
     """New Parquet files of a folder, so many a micro-batch, or (None) all that are there."""
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -39,48 +37,3 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
-
-
-class WindowSink:
-    """foreachBatch sink that emits the frames that became complete with the hits of arriving, dense event indexes.
-
-    Events must arrive in index order, each in one batch; a batch may hold any number of them, and one that goes back
-    raises ValueError, as its windows are out already. Each batch leaves a subfolder with
-    the hits that later windows still need and one with the last index, so state does not grow with the stream,
-    and a repeated batch overwrites its own.
-    """
-
-    def __init__(self, folder: str, layout: Layout) -> None:
-        self.folder, self.layout = folder, layout
-
-    def _before(self, batch: DataFrame, batch_id: int) -> tuple[int | None, DataFrame | None]:
-        """Last index before a batch, and the hits that were kept for it."""
-        spark = batch.sparkSession
-        marks = spark.read.schema("last long, batch long").parquet(f"{self.folder}/progress").filter(F.col("batch") < batch_id)
-        found = marks.orderBy(F.desc("batch")).first()
-        if found is None:
-            return None, None
-        return found["last"], spark.read.schema(batch.schema).parquet(f"{self.folder}/open/batch={found['batch']}")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], "last long, batch long").write.mode("append").partitionBy("batch").parquet(f"{self.folder}/progress")  # makes the folder
-        before, kept = self._before(batch, batch_id)
-        hits = batch if kept is None else kept.unionByName(batch)
-        oldest, newest = batch.agg(F.min("event_idx"), F.max("event_idx")).first()
-        if before is not None and oldest is not None and oldest <= before:
-            raise ValueError(f"event {oldest} arrived after event {before}: run the batch job instead")
-        now = max((x for x in (before, newest) if x is not None), default=None)
-        if now is None:
-            return
-        done = self.layout.count(before + 1) if before is not None else 0
-        ready = self.layout.count(now + 1)
-        if ready > done:
-            known = frame_features(channel_partials(hits.filter("channel IS NOT NULL")), self.layout, now + 1)
-            new = known.filter(~is_used(F.col("frame_start"), self.layout, done)) if done else known
-            new.write.mode("overwrite").parquet(f"{self.folder}/frames/batch={batch_id}")
-        hits.filter(F.col("event_idx") >= ready * self.layout.stride).write.mode("overwrite").parquet(f"{self.folder}/open/batch={batch_id}")
-        spark.range(1).select(F.lit(now).cast("long").alias("last")).write.mode("overwrite").parquet(f"{self.folder}/progress/batch={batch_id}")
-
-    def frames(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/frames").drop("batch")

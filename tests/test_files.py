@@ -76,28 +76,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).orderBy("evt").collect() == batch.orderBy("evt").collect()
 
 
-@pytest.mark.parametrize("layout", [Layout(3, 2, 1, 2), Layout(2, 5, 1, 1), Layout(4, 4, 0, 3)])
-def test_streamed_windows_equal_batch(spark, tmp_path, layout):
-    from hitwatch.operators.hits import channel_partials
-    from hitwatch.operators.windows import frame_features
-
-    rows = spark.range(90).select(F.floor(F.col("id") / 3).cast("long").alias("event_idx"), (F.col("id") % 4).alias("channel"), F.col("id").cast("double").alias("integral"))
-    sink = jobs.WindowSink(str(tmp_path / "sink"), layout)
-    for i, (a, b) in enumerate([(0, 3), (4, 4), (5, 20), (21, 29)]):
-        sink(rows.filter(F.col("event_idx").between(a, b)), i)
-    sink(rows.filter(F.col("event_idx").between(21, 29)), 3)  # a repeated batch changes nothing
-    want = frame_features(channel_partials(rows), layout, 30)
-    assert sorted(map(tuple, sink.frames(spark).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_events_that_arrive_late_are_refused(spark, tmp_path):
-    rows = spark.range(12).select(F.col("id").alias("event_idx"), F.lit(1).cast("long").alias("channel"), F.lit(1.0).alias("integral"))
-    sink = jobs.WindowSink(str(tmp_path / "sink"), Layout(2, 2, 1, 1))
-    sink(rows.filter("event_idx < 6"), 0)
-    with pytest.raises(ValueError, match="arrived after"):
-        sink(rows.filter("event_idx BETWEEN 5 AND 8"), 1)
-
-
 def test_temporary_tables_go_with_their_block(spark):
     from hitwatch.sources import scratch
 

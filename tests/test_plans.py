@@ -5,6 +5,7 @@ import re
 import pytest
 
 from hitwatch.operators import graph, hits, score
+from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
 from hitwatch.plans.queries import LAYOUT, Graph
 
@@ -28,11 +29,12 @@ def test_key_filters_reach_the_scan(spark, sf_dir):
     assert "LessThan(o_orderkey,10)" in plan
 
 
-def test_frames_exchange_twice_and_combine_before(prepared):
-    plan = plan_of(prepared.frames(LAYOUT))
-    # by (event, channel), then by (frame, channel, bin); the one by part has a row a partition of the index
-    assert len(re.findall(r"Exchange hashpartitioning\((?!_part)", plan)) == 2
-    assert "partial_sum" in plan and not re.search("Cartesian|NestedLoop", plan)
+def test_frames_exchange_once_and_combine_before(prepared):
+    """By (frame, channel, bin); the exchange by part has a row a partition of the index. Where frames overlap more, partials by event and channel come first."""
+    for layout, exchanges in ((LAYOUT, 1), (Layout(20, 10, 2, 4), 1), (Layout(20, 7, 4, 3), 2)):
+        plan = plan_of(prepared.frames(layout))
+        assert len(re.findall(r"Exchange hashpartitioning\((?!_part)", plan)) == exchanges
+        assert "partial_sum" in plan and not re.search("Cartesian|NestedLoop", plan)
 
 
 def test_windows_are_dealt_once(spark, sf_dir):
