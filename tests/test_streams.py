@@ -20,7 +20,7 @@ def hit_rows(spark, n=30):
 
 
 def same(got, want):
-    return sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    return sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 class Arrivals:
