@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hitwatch.functions.names import fresh
 from hitwatch.functions.vectors import mse
 from hitwatch.operators import graph
 from hitwatch.operators.windows import DEFAULT_FEATURES, Layout, check_features
@@ -98,8 +99,9 @@ def pair_by_position(left: DataFrame, right: DataFrame, order: str) -> DataFrame
 
     if left.count() != right.count():
         raise ValueError("both sides must have as many rows")
-    a, b = (with_global_index(d, [F.col(order)], "_place") for d in (left, right))
-    return a.join(b.select("_place", *[F.col(c).alias(f"right_{c}") for c in right.columns]), "_place").drop("_place")
+    (place,) = fresh([*left.columns, *right.columns, *[f"right_{c}" for c in right.columns]], "_place")
+    a, b = (with_global_index(d, [F.col(order)], place) for d in (left, right))
+    return a.join(b.select(place, *[F.col(c).alias(f"right_{c}") for c in right.columns]), place).drop(place)
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:

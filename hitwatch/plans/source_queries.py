@@ -202,6 +202,13 @@ def event_index_without_zeros(spark, sf_dir):
     return ordered.select(*[keys.provenance_key(F.col(c), zero_is_missing=True).alias(c) for c in ("run", "subrun", "evt")], "event_idx")
 
 
+@query("SELECT o_orderkey::BIGINT AS evt, row_number() OVER (ORDER BY o_custkey % 4, o_orderkey) - 1 AS event_idx FROM orders")
+def event_index_without_keys(spark, sf_dir):
+    """Events whose key columns are absent stay in the order of files and entries."""
+    e = fx.events(spark, sf_dir).select("file_idx", "entry")
+    return index.order_events(e).select(F.col("entry").alias("evt"), "event_idx")
+
+
 # --- pairs, labels, caps, losses --------------------------------------------------------------------------------
 
 

@@ -193,3 +193,20 @@ def test_labels_and_pairs(spark):
     v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "i int, x array<double>")
     y = spark.createDataFrame([(2, 1)], "i int, label int")
     assert [tuple(r) for r in score.with_labels(v, y, "i").orderBy("i").collect()] == [(1, [1.0], None), (2, [2.0], 1)]
+
+
+def test_helper_columns_never_meet_a_callers(spark):
+    from hitwatch.functions.names import fresh
+    from hitwatch.operators import index
+
+    helpers = ["_at", "_part", "_pos", "_before", "_before_v", "_local_v", "_place", "_PART"]
+    assert fresh(helpers, "_at", "_part", "new") == ["_at_", "_part_", "new"]
+    names = [h for h in helpers if h != "_PART"]
+    df = spark.createDataFrame([(i, *[i * 10 + j for j in range(len(names))], 1) for i in range(6)], ", ".join([*[f"{c} long" for c in ["i", *names]], "v long"])).repartition(3)
+    kept = [f"{c}" for c in df.columns]
+    got = index.prefix_sum(df, [F.col("i").desc()], {"v": "total"})
+    assert got.columns == [*kept, "total"] and sorted((r["i"], r["total"], r["_part"], r["_local_v"]) for r in got.collect()) == [(i, 6 - i, i * 10 + 1, i * 10 + 5) for i in range(6)]
+    placed = index.with_global_index(df, [F.col("i")], "at")
+    assert placed.columns == [*kept, "at"] and all(r["at"] == r["i"] and r["_pos"] == r["i"] * 10 + 2 for r in placed.collect())
+    pairs = score.pair_by_position(df, df.select("i", "_place"), "i").collect()
+    assert len(pairs) == 6 and all(r["_place"] == r["right__place"] == r["i"] * 10 + 6 for r in pairs)
