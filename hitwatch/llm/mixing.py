@@ -9,7 +9,7 @@ Built-in functions only. Rates above ``PART`` are sums of several independent dr
 
 Defined cases: a null source is a source of its own; a source without a target has weight 0 and is left
 out, as is one with weight 0; a null id hashes like an empty one; rows with equal ids are drawn alike; with
-an empty table or no positive weight the result is empty. The added columns must not be in ``docs``.
+an empty table or no positive weight the result is empty. The added columns must not be in ``docs``; columns of any other name may.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitwatch.functions.names import fresh
 from hitwatch.llm import common
 
 #: Mean of one draw at most: its probabilities stay clear of underflow.
@@ -63,21 +64,22 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, *, id_c
     if clash := {copy_col, count_col, key_col} & set(docs.columns):
         raise ValueError(f"columns are there already: {sorted(clash)}")
     rate = rates(docs, targets, source_col=source_col, temperature=temperature, total=total)
-    parts = F.ceil(F.col("_hw_rate") / PART).cast("int")
-    table = rate.withColumn("_hw_parts", parts).select("_hw_source", "_hw_parts", poisson_cdf(F.col("_hw_rate") / F.col("_hw_parts")).alias("_hw_cdf"))
-    size = table.agg(F.sum(F.size("_hw_cdf") * 8 + F.coalesce(F.octet_length(F.col("_hw_source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
-    same = F.col(source_col).eqNullSafe(F.col("_hw_source"))
+    source, parts, cdf, salt, own = fresh([*docs.columns, copy_col, count_col, key_col], "_hw_source", "_hw_parts", "_hw_cdf", "_hw_salt", "_hw_own")
+    n_parts = F.ceil(F.col("_hw_rate") / PART).cast("int")
+    table = rate.select(F.col("_hw_source").alias(source), n_parts.alias(parts), "_hw_rate").select(source, parts, poisson_cdf(F.col("_hw_rate") / F.col(parts)).alias(cdf))
+    size = table.agg(F.sum(F.size(cdf) * 8 + F.coalesce(F.octet_length(F.col(source).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    same = F.col(source_col).eqNullSafe(F.col(source))
     if size <= BROADCAST_BYTES:
         joined = docs.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("_hw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_hw_own", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_hw_own") == F.col("_hw_salt"))).drop("_hw_own", "_hw_salt")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(own, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(own) == F.col(salt))).drop(own, salt)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = lambda part: uniform(F.concat_ws("|", F.lit(str(seed)), part.cast("string"), name))
     # the array of one element holds each number, so that it is hashed once and not for each step of the function
-    inverse = lambda u: F.size(F.filter("_hw_cdf", lambda c: c <= u))
-    number = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_hw_parts")), draw), F.lit(0), lambda n, u: n + inverse(u))
-    counted = joined.withColumn(count_col, number).drop("_hw_source", "_hw_parts", "_hw_cdf").filter(F.col(count_col) > 0)
+    inverse = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    number = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(parts)), draw), F.lit(0), lambda n, u: n + inverse(u))
+    counted = joined.withColumn(count_col, number).drop(source, parts, cdf).filter(F.col(count_col) > 0)
     copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(count_col) - 1)))
     keyed = copies.withColumn(key_col, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("shuffle"), name, F.col(copy_col).cast("string")).cast("binary")))
     return keyed.repartition(key_col).sortWithinPartitions(key_col)

@@ -11,12 +11,12 @@ A key of n fingerprints costs n * n / 2 comparisons of pivot rows in about (n /
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; texts with fewer words than
 a shingle hash their whole word sequence; repeated rows keep one row each; rows with a null id take part,
-and a component's id is the smallest non-null one. An empty table gives an empty result.
+and a component's id is the smallest non-null one. An empty table gives an empty result. Columns of any name may stand beside id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from hitwatch.functions.names import fresh
 from hitwatch.llm import common
 from hitwatch.llm.components import components
 
@@ -202,13 +203,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(member, "fp").select(F.col("_id").alias(id_col), hex16("fp").alias("fingerprint"), "component_id")
 
 
-def _row_keys(docs: DataFrame) -> list[Column]:
+def _row_keys(docs: DataFrame, names: Sequence[str]) -> list[Column]:
     """Two 64-bit hashes of a whole row, null flags included; rows that agree in both count as the same row."""
     cells = []
     for f in docs.schema.fields:
         c = F.col(f"`{f.name}`")
         cells += [c.isNull(), F.to_json(F.struct(c)) if isinstance(f.dataType, ArrayType | MapType | StructType) else c]
-    return [F.xxhash64(F.lit(i), *cells).alias(f"_hw_{i}") for i in range(2)]
+    return [F.xxhash64(F.lit(i), *cells).alias(name) for i, name in enumerate(names)]
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 3, repeats: bool = True) -> DataFrame:
@@ -218,17 +219,17 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     non-null id. Without, exactly one row of each component stays: the one with the smallest id, nulls last, and
     of those the one with the least hashes of the whole row.
     """
-    keys = ["_hw_0", "_hw_1"]
-    prints = common.Stored(docs.select(F.col(id_col).alias("_id"), fingerprints(text_col, words).alias("fp"), *_row_keys(docs)), "fingerprints").df
+    keys = fresh([*docs.columns, "_id", "fp", "first", "stays", "n", "root", "owner"], "_hw_0", "_hw_1")
+    prints = common.Stored(docs.select(F.col(id_col).alias("_id"), fingerprints(text_col, words).alias("fp"), *_row_keys(docs, keys)), "fingerprints").df
     rooted = _rooted(prints, F.struct(F.col("_id").isNull().alias("none"), "_id", *keys), near)
     owners = rooted.groupBy("root").agg(F.min("owner").alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
     member = rooted.join(owners, "root").select("fp", "first")
-    stays = F.col("_id").eqNullSafe(F.col("first._id")) if repeats else (F.col("_hw_0") == F.col("first._hw_0")) & (F.col("_hw_1") == F.col("first._hw_1"))
+    stays = F.col("_id").eqNullSafe(F.col("first._id")) if repeats else (F.col(keys[0]) == F.col("first")[keys[0]]) & (F.col(keys[1]) == F.col("first")[keys[1]])
     counted = prints.join(member, "fp").groupBy(*keys, stays.alias("stays")).agg(F.count("*").alias("n"))
     marked = common.Stored(counted.filter("NOT stays" if repeats else "NOT stays OR n > 1"), "duplicates").df
     small = marked.count() <= common.BROADCAST_ROWS
     side = lambda rows: F.broadcast(rows.select(*keys)) if small else rows.select(*keys)
-    keyed = docs.select("*", *_row_keys(docs))
+    keyed = docs.select("*", *_row_keys(docs, keys))
     copied = marked.filter("stays")
     if repeats or not copied.limit(1).count():
         return keyed.join(side(marked), keys, "left_anti").drop(*keys)

@@ -5,7 +5,8 @@ log-count ratios. Every n-gram bucket of at least ``least_texts`` texts whose ra
 errors is a feature, however many there are (2^20 buckets at most), scaled by its ratio, and an
 L2-regularised logistic regression is fitted on them. Without that test (all buckets) the fit learns the common words of its few toxic
 texts: 60 instead of 108 of 120 held-out toxic documents of the 10,000-document tables. Labels come from a bounded sample of labelled rows
-(``max_rows``, documented parameter); every text is scored whole.
+(``max_rows``, documented parameter), whose features number ``max_values`` at most (4 bytes each; the fit runs in one task over them, the driver gets the
+weights alone); every text is scored whole.
 
 Defined cases: a null text counts as empty and gets the model's score for a text without features; null
 labels are ignored, a label counts once for an id and its smallest text; with no labelled rows, or a single class, every score is the smoothed share of label 1.
@@ -124,15 +125,15 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     return coef * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, significance: float = 3.0, least_texts: int = 2, alpha: float = 1.0, penalty: float = 1e-3, rounds: int = 150, seed: int = 7) -> Toxicity:
-    """Fit on at most about ``max_rows`` of the rows of ``labels``; its ids select the texts, so only those are moved."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_values: int = 24_000_000, significance: float = 3.0, least_texts: int = 2, alpha: float = 1.0, penalty: float = 1e-3, rounds: int = 150, seed: int = 7) -> Toxicity:
+    """Fit on at most about ``max_rows`` of the rows of ``labels``; its ids select the texts, so only those are exchanged."""
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)").distinct()
     chosen = common.bounded(ids, "_id", max_rows, seed)
     # about max_rows rows of 12 bytes: the bound makes the broadcast safe at any size of the corpus
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     # an id that many rows share counts once, with its smallest text
-    labelled = common.Stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label"), "toxicity")
+    labelled = common.Stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label", F.xxhash64("_id", "_label").alias("_at")), "toxicity")
     sizes = {r["_label"]: r["n"] for r in labelled.df.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     none = Toxicity(np.zeros(1 << BITS, "i4"), np.zeros(1), float(np.log((pos + 1) / (neg + 1))))
@@ -154,14 +155,27 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = [np.unique(s[s > 0]).astype("<i4").tobytes() for s in (shared.value[buckets(t)] for t in batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), batch.column(1)], names=["slots", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), batch.column(1), batch.column(2)], names=["slots", "label", "at"])
 
-    sample = labelled.df.mapInArrow(present, "slots binary, label int").collect()  # about max_rows rows of some kilobytes
+    kept = common.Stored(labelled.df.mapInArrow(present, "slots binary, label int, at long"), "slots")
     labelled.discard()
-    rows, ys = [np.frombuffer(r["slots"], "<i4") for r in sample], np.array([r["label"] for r in sample], float)
-    del sample
-    weight, bias = fit_logistic(rows, ys, scale, penalty, rounds)
-    return Toxicity(slot, weight, bias)
+    # two numbers of about max_rows rows: where they hold more values than fit, the rows with the least hashes of their ids stay
+    held = sorted((r["at"], r["n"]) for r in kept.df.select("at", (F.octet_length("slots") / 4).cast("long").alias("n")).collect())
+    fits = int((np.cumsum([n for _, n in held]) <= max_values).sum())
+    last = held[max(fits, 1) - 1][0]
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ys = [], []
+        for batch in batches:
+            rows += [np.frombuffer(x, "<i4") for x in batch.column(0).to_pylist()]
+            ys += batch.column(1).to_pylist()
+        weight, bias = fit_logistic(rows, np.array(ys, float), scale, penalty, rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([weight.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["weight", "bias"])
+
+    # the sample is bounded in rows and values, so one task holds it; the driver gets a weight a feature
+    one = kept.df.filter(F.col("at") <= last).repartition(1).sortWithinPartitions("at").select("slots", "label").mapInArrow(fitted, "weight binary, bias double").first()
+    kept.discard()
+    return Toxicity(slot, np.frombuffer(one["weight"], "<f8"), one["bias"])
 
 
 def score_texts(texts: list[str | None], model: Toxicity) -> np.ndarray:

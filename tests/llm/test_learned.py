@@ -175,3 +175,15 @@ def test_bounded_sample_is_stable(spark):
     df = spark.range(10_000)
     a, b = (sorted(r["id"] for r in common.bounded(d, "id", 500, 1).collect()) for d in (df, df.repartition(9)))
     assert a == b and 350 < len(a) < 650 and common.bounded(df, "id", 10_000, 1) is df
+
+
+def test_the_sample_is_bounded_in_values_too(spark):
+    """With room for few values, the rows with the least hashes are fitted alone; the result doesn't depend on partitions."""
+    rows = [(i, "plain words of a stone mill " + ("zounder grumpf" if i % 3 == 0 else "quiet river"), int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, part, again = (toxicity.train(d, d, max_values=n) for d, n in ((df, 24_000_000), (df, 900), (df.repartition(7), 900)))
+    assert (whole.slot == part.slot).all() and not np.allclose(whole.weight, part.weight)
+    assert np.array_equal(part.weight, again.weight) and part.bias == again.bias
+    bad, good = toxicity.score_texts([rows[0][1], rows[1][1]], part)
+    assert bad > 0.5 > good
+    assert len(toxicity.train(df, df, max_values=1).weight) == len(whole.weight)

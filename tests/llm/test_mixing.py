@@ -73,3 +73,13 @@ def test_edges(odd_docs, no_docs):
 
 def test_native(odd_docs):
     assert "Python" not in mixing.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_named_as_helpers_are(spark, monkeypatch):
+    names = ["_hw_source", "_hw_parts", "_hw_cdf", "_hw_salt", "_hw_own", "_hw_n", "_hw_w", "_hw_rate", "_hw_target"]
+    df = spark.createDataFrame([(i, f"s{i % 3}", *range(9)) for i in range(60)], ", ".join(["doc_id long", "source string", *[f"{c} int" for c in names]]))
+    plain = sorted((r["doc_id"], r["copy_no"]) for r in mixing.mix(df.select("doc_id", "source")).collect())
+    for limit in (mixing.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+        got = mixing.mix(df).collect()
+        assert sorted((r["doc_id"], r["copy_no"]) for r in got) == plain and all(tuple(r)[2:11] == tuple(range(9)) for r in got)

@@ -162,3 +162,15 @@ def test_pipeline_stage_keeps_one_row_of_each_group(spark):
     rows = [(1, "some words that come again and again", "en", "s", 36)] * 3 + [(None, "another text of seven words or so", "en", "s", 33)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["text"] for r in cp.one_of_each(spark, docs, "").collect()) == sorted({r[1] for r in rows})
+
+
+def test_columns_named_as_helpers_are(spark):
+    """A caller's columns with names of helpers, in any case, neither change the choice nor are they lost."""
+    names = ["_hw_0", "_HW_1", "_id", "fp", "first", "stays", "n", "root", "owner", "run", "side"]
+    text = "one two three four five six seven"
+    rows = [(1, text, *range(11)), (2, text, *range(11)), (3, "other words that stand quite alone here", *range(11)), (1, text, *range(11))]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} int" for c in names]]))
+    for repeats, want in ((False, [1, 3]), (True, [1, 1, 3])):
+        got = simhash.keep_first(df, repeats=repeats)
+        assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+        assert all(tuple(r)[2:] == tuple(range(11)) for r in got.collect())
