@@ -5,7 +5,8 @@ with their positions. Each text's occurrences of such words are looked up; a pos
 notice puts the notice at one start in the text, so occurrences that belong together meet at the same
 relative position. There the share of the notice's indexed weight that stands in place is summed and all its
 mandatory key phrases are verified word by word. Each key phrase's own rarest word is always indexed, so no
-place of a key phrase is missed. Notices are the customary passages of each licence and SPDX lines.
+place of a key phrase is missed. Notices are the customary passages of each licence; the words of an SPDX line are an anchor in the same
+index, and the expression after it (identifiers joined by and, or, with) gives a label for each identifier it names.
 
 Built-in functions only; each text is handled in its own row, nothing is exploded or shuffled but the
 document frequencies of the notices' words (a fixed, small vocabulary).
@@ -54,11 +55,23 @@ NOTICES = (
     ("cc0", "creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",), False),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",), False),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",), False),
-    *((label, f"spdx license identifier {words}", (f"spdx license identifier {words}",), False) for label, words in (
-        ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("bsd", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"),
-        ("isc", "isc"), ("zlib", "zlib"), ("boost", "bsl 1 0"), ("epl-2", "epl 2 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("cc-by-nd", "cc by nd 4 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"),
-    )),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",), False),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0 international",), False),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ("creative commons attribution noncommercial noderivatives 4 0 international",), False),
+    ("spdx", "spdx license identifier", ("spdx license identifier",), False),
 )
+#: Words of SPDX identifiers and exceptions (without a label) that an expression may name.
+SPDX = (
+    ("mit", "mit"), ("mit 0", "mit-0"), ("apache 1 1", "apache-1"), ("apache 2 0", "apache-2"), ("gpl 2 0", "gpl-2"), ("gpl 3 0", "gpl-3"), ("lgpl 2 0", "lgpl"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl-3"),
+    ("mpl 1 1", "mpl-1"), ("mpl 2 0", "mpl-2"), ("bsd 2 clause", "bsd"), ("bsd 2 clause patent", "bsd-patent"), ("bsd 3 clause", "bsd-3"), ("bsd 3 clause clear", "bsd-3-clear"), ("0bsd", "0bsd"), ("isc", "isc"), ("zlib", "zlib"), ("bsl 1 0", "boost"),
+    ("epl 1 0", "epl-1"), ("epl 2 0", "epl-2"), ("cc by 3 0", "cc-by"), ("cc by 4 0", "cc-by"), ("cc by sa 3 0", "cc-by-sa"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"),
+    ("cc by nc sa 4 0", "cc-by-nc-sa"), ("cc by nc nd 4 0", "cc-by-nc-nd"), ("cc0 1 0", "cc0"), ("unlicense", "unlicense"),
+    ("classpath exception 2 0", ""), ("gcc exception 3 1", ""), ("llvm exception", ""), ("linux syscall note", ""), ("autoconf exception 3 0", ""),
+)
+#: Words that go on with an identifier, so that what stands before them is another one than it seems.
+CONTINUES = (*"0123456789", "clause", "clear", "patent", "attribution", "lbnl", "modification", "open", "views", "nc", "nd", "sa", "igo", "cmu", "feh", "festival", "enna", "wu", "advertising", "variant", "exception")
+#: Words of an SPDX expression that are looked at.
+EXPRESSION = 64
 #: Words are runs of a-z, 0-9 and anything beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Added to a start, which is negative where a text lacks a notice's beginning.
@@ -93,7 +106,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", notices=NOTICE
     return {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def build_index(frequencies: dict[str, int], notices=NOTICES, most: int = 6) -> list[Notice]:
+def build_index(frequencies: dict[str, int], notices=NOTICES, most: int = 12) -> list[Notice]:
     """Index of the notices: the rarest words of each, the rarest of each of its key phrases among them."""
     n = frequencies.get("", 0)
     idf = lambda w: math.log((n + 1) / (frequencies.get(w, 0) + 0.5)) + 1e-6
@@ -109,6 +122,26 @@ def build_index(frequencies: dict[str, int], notices=NOTICES, most: int = 6) ->
     return index
 
 
+def _expression(tail: Column) -> Column:
+    """Labels of the SPDX expression that an array of words starts with: identifiers joined by and, or and with, up to the first word that is none.
+
+    Of identifiers that start alike the longest counts; one that a word of ``CONTINUES`` follows is not in the table, and ends the expression without a label.
+    """
+    names = sorted((name for name, _ in SPDX), key=lambda n: (-len(n), n))
+    labels = F.create_map(*[F.lit(x) for pair in SPDX for x in pair])
+    text = F.regexp_replace(F.array_join(tail, " "), " (?:or later|only)(?= |$)", "")
+
+    def step(state: Column, operand: Column) -> Column:
+        name = F.regexp_extract(operand, f"^({'|'.join(names)})(?= |$)", 1)
+        rest = F.substring(operand, F.char_length(name) + 1, F.char_length(operand))
+        known = state["open"] & (name != "") & ~F.regexp_extract(rest, "^ ([^ ]+)", 1).isin(*CONTINUES)
+        label = F.coalesce(F.try_element_at(labels, name), F.lit(""))
+        return F.struct((known & (rest == "")).alias("open"), F.when(known & (label != ""), F.array_append(state["labels"], label)).otherwise(state["labels"]).alias("labels"))
+
+    start = F.struct(F.lit(True).alias("open"), F.array().cast("array<string>").alias("labels"))
+    return F.array_distinct(F.aggregate(F.split(text, " (?:and|or|with) "), start, step, lambda s: s["labels"]))
+
+
 def _scan(text_words: Column, index: list[Notice], least: float) -> Column:
     """Struct of a text's findings, from its array of words."""
     rare = sorted({w for n in index for w, *_ in n.words})
@@ -127,7 +160,16 @@ def _scan(text_words: Column, index: list[Notice], least: float) -> Column:
             share = F.aggregate(notice["words"], F.lit(0.0), lambda s, x: s + F.when((start + x["p"] >= 0) & (F.get(w, start + x["p"]) == x["w"]), x["x"]).otherwise(0.0)) / notice["all"]
             return F.struct(notice["label"].alias("label"), notice["base"].alias("base"), start.alias("start"), whole.alias("whole"), share.alias("share"))
 
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.filter(F.transform(codes, judge), lambda f: f["whole"] & (f["base"] | (f["share"] >= least))).alias("found"))
+        def named(f: Column) -> Column:
+            """A finding for each label of the expression that an SPDX anchor introduces."""
+            return F.transform(_expression(F.slice(w, f["start"] + 4, EXPRESSION)), lambda label: F.struct(label.alias("label"), f["base"].alias("base"), f["start"].alias("start"), f["whole"].alias("whole"), f["share"].alias("share")))
+
+        def told(found: Column) -> Column:
+            anchors, others = (F.filter(found, lambda f: (f["label"] == "spdx") == spdx) for spdx in (F.lit(True), F.lit(False)))
+            return F.concat(others, F.flatten(F.transform(anchors, named)))
+
+        kept = F.filter(F.transform(codes, judge), lambda f: f["whole"] & (f["base"] | (f["share"] >= least)))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.get(F.transform(F.array(kept), told), F.lit(0)).alias("found"))
 
     # as the item of a one-element array the words are split once, whatever refers to them
     return F.get(F.transform(F.array(text_words), of), F.lit(0))
