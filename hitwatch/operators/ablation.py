@@ -31,7 +31,14 @@ def variant_scores(events: DataFrame, branches: Sequence[str], score: Callable[[
     return events.select(*keep, F.inline(F.array(*each)))
 
 
-def summary(scores: DataFrame, threshold: float) -> DataFrame:
-    """A row a variant: mean, deviation, percentiles and share of scores at or over the threshold."""
-    grouped = scores.groupBy("variant").agg(*stats_columns("score"), F.avg((F.col("score") >= threshold).cast("double")).alias("fraction"), F.count("*").alias("n"))
-    return with_percentiles(grouped, scores, "score", ["variant"])
+def summary(scores: DataFrame, threshold: float, branches: Sequence[str] | None = None, loss: str = "score") -> DataFrame:
+    """A row a variant: mean, deviation, percentiles and share of scores at or over the threshold, and the mean loss of its events.
+
+    With ``branches``, all of the ablation's, also what was removed, what was kept (joined by ;) and how many branches that is.
+    """
+    grouped = scores.groupBy("variant").agg(*stats_columns("score"), F.avg((F.col("score") >= threshold).cast("double")).alias("fraction"), F.avg(loss).alias("eval_loss"), F.count("*").alias("n"))
+    told = with_percentiles(grouped, scores, "score", ["variant"])
+    if branches is None:
+        return told
+    kept = variants_table(scores.sparkSession, branches).select("variant", F.coalesce("removed", F.lit("")).alias("removed"), F.array_join("branches", ";").alias("branches"), F.size("branches").alias("n_branches"))
+    return told.join(F.broadcast(kept), "variant")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hitwatch.operators.index import prefix_sum
 from hitwatch.sources.scratch import Stored
 
-#: Group tables up to this many rows are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Tables of groups whose keys take up to so many bytes are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
@@ -32,7 +32,8 @@ def percentiles(scores: DataFrame, column: str = "score", by: Sequence[str] = ()
     running = prefix_sum(counts, [*map(F.col, names), F.col("_v")], {"_c": "_upto"})
     groups = Stored(running.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_start")), "groups").df
     if names:
-        small = groups.count() <= BROADCAST_ROWS
+        wide = [F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in names]
+        small = groups.agg(F.coalesce(F.sum(sum(wide, F.lit(32))), F.lit(0))).first()[0] <= BROADCAST_BYTES
         sides = groups.select(*[F.col(n).alias(f"_g{n}") for n in names], "_n", "_start")
         same = [F.col(n).eqNullSafe(F.col(f"_g{n}")) for n in names]
         placed = running.join(F.broadcast(sides) if small else sides, same)
@@ -69,6 +70,36 @@ def score_stats(scores: DataFrame, column: str = "score", by: Sequence[str] = ()
     return with_percentiles(scores.groupBy(*by).agg(*stats_columns(column)), scores, column, by)
 
 
+def rank_error(k: int) -> float:
+    """How far from the wanted rank a quantile of a KLL sketch of size ``k`` is at most, as a share of all values, with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
+def sketch_stats(scores: DataFrame, column: str = "score", by: Sequence[str] = (), k: int = 1024) -> DataFrame:
+    """(by..., n, mean, m2, min, max, sketch): statistics of non-null scores that merge over batches, in a row of some ``8 k`` bytes at most.
+
+    For running statistics of streams; where all scores are at hand ``score_stats`` is exact.
+    """
+    x = F.col(column).cast("double")
+    rows = scores.select(*by, x.alias("_x")).filter("_x IS NOT NULL")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), (F.var_pop("_x") * F.count("*")).alias("m2"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.kll_sketch_agg_double("_x", k).alias("sketch")).filter("n > 0")
+
+
+def merge_stats(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The statistics of all parts of each group together, in the same columns."""
+    whole = parts.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    met = parts.join(F.broadcast(whole), [parts[c].eqNullSafe(whole[c]) for c in by]).drop(*[whole[c] for c in by]) if by else parts.crossJoin(F.broadcast(whole))
+    apart = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))
+    return met.groupBy(*by).agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(apart).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch")).filter("n > 0")
+
+
+def read_stats(stats: DataFrame) -> DataFrame:
+    """Mean, population deviation, extremes and percentiles of merged statistics; percentiles are values that occur, off by ``rank_error`` in rank at most."""
+    others = [c for c in stats.columns if c not in ("m2", "sketch", "mean", "min", "max")]
+    cuts = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(100 * p)}") for p in PERCENTILES]
+    return stats.select(*others, "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "min", "max", *cuts)
+
+
 def _cumulative(scores: DataFrame, score: str, label: str) -> DataFrame:
     """(score, pos, neg, tp, fp, idx): counts of each distinct score and running ones from the largest score down."""
     y = F.col(label).cast("long")
@@ -125,13 +156,17 @@ def _bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
     return F.least(F.floor((x - lo) / (hi - lo) * b), b - 1).cast("long")
 
 
-def score_histogram(scores: DataFrame, column: str = "score", bins: int = 100) -> DataFrame:
-    """(bin, n, lo, hi) of finite scores over [min, max]; equal extremes are widened by a half. Empty bins have no row."""
+def score_histogram(scores: DataFrame, column: str = "score", bins: int = 100, threshold: float | None = None) -> DataFrame:
+    """(bin, n, lo, hi, p95, p99, threshold) of finite scores over [min, max]; equal extremes are widened by a half. Empty bins have no row.
+
+    The percentiles and the threshold (null if there is none) are the places of a plot's markers, the same in every row.
+    """
     x = F.col(column).cast("double")
     sound = scores.filter(_finite(x)).select(x.alias("_x"))
     ends = sound.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     wide = ends.select(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"), F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
-    return sound.crossJoin(F.broadcast(wide)).groupBy(_bin(F.col("_x"), F.col("lo"), F.col("hi"), bins).alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
+    counts = sound.crossJoin(F.broadcast(wide)).groupBy(_bin(F.col("_x"), F.col("lo"), F.col("hi"), bins).alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(percentiles(sound, "_x").select("p95", "p99"))).withColumn("threshold", F.lit(threshold).cast("double"))
 
 
 def feature_histograms(df: DataFrame, column: str, low: float, high: float, bins: int = 100) -> DataFrame:

@@ -348,7 +348,7 @@ mses AS (SELECT window_id, channel, sum({" + ".join(f"d_{f} * d_{f}" for f in _F
 ws AS (SELECT window_id, avg(mse) AS score_mean, max(mse) AS score_max FROM mses GROUP BY window_id)"""
 
 
-@query(f"""WITH {_MODEL} SELECT m.window_id, m.channel, round(mse + {NUDGE}, 6) AS mse, round(score_mean + {NUDGE}, 6) AS score_mean, round(score_max + {NUDGE}, 6) AS score_max, score_max > 2000.25 AS is_anomaly, a.run AS first_run, a.evt AS first_evt, b.evt AS last_evt
+@query(f"""WITH {_MODEL} SELECT m.window_id, m.channel, round(mse + {NUDGE}, 6) AS mse, round(score_mean + {NUDGE}, 6) AS score_mean, round(score_max + {NUDGE}, 6) AS score_max, score_max > 2000.25 AS is_anomaly, a.run AS first_run, a.evt AS first_evt, b.evt AS last_evt, 'source-' || a.file_idx || '.root' AS first_file, 2000.25::DOUBLE AS threshold
 FROM mses m JOIN ws USING (window_id) JOIN idx a ON a.event_idx = m.window_id * 20 JOIN idx b ON b.event_idx = m.window_id * 20 + 99""")
 def model_scores(spark, sf_dir):
     """Inference from end to end: window graphs, a model's forecasts, node and window scores, flags and provenance, saved and read back."""
@@ -356,9 +356,12 @@ def model_scores(spark, sf_dir):
     model = predict.Model("gnn", _half_and_quarter, threshold=2000.25)
     node_scores = Stored(model.node_scores(g.rows, LAYOUT, g.n, radius=RADIUS).select("window_id", "channel", "mse"), "node_scores").df
     flagged = score.window_scores(node_scores).withColumn("is_anomaly", model.flag(score.score_column("max")))
-    files.save_scores(flagged.join(windows.provenance(spark, g.prepared.events, LAYOUT, g.prepared.n), "window_id"), node_scores, path)
-    by_window, by_node = files.load_scores(spark, path)
-    kept = by_node.join(by_window.select("window_id", "score_mean", "score_max", "is_anomaly", "first_run", "first_evt", "last_evt"), "window_id")
+    names = windows.files_first_seen(g.prepared.events).select("file_idx", F.format_string("source-%d.root", "file_idx").alias("path"))
+    settings = {"threshold": model.threshold, "n_channels": g.channels, "features": ",".join(windows.DEFAULT_FEATURES)}
+    files.save_scores(flagged.join(windows.provenance(spark, g.prepared.events, LAYOUT, g.prepared.n), "window_id"), node_scores, path, settings, names)
+    (by_window, by_node), (made_with, sources) = files.load_scores(spark, path), files.load_score_record(spark, path)
+    first = by_window.join(sources.select(F.col("file_idx").alias("first_file"), "path"), "first_file", "left").drop("first_file").withColumnRenamed("path", "first_file")
+    kept = by_node.join(first.select("window_id", "score_mean", "score_max", "is_anomaly", "first_run", "first_evt", "last_evt", "first_file"), "window_id").withColumn("threshold", F.lit(float(made_with["threshold"])))
     for name in ("mse", "score_mean", "score_max"):
         kept = nudged(kept, name)
     return kept
@@ -543,19 +546,18 @@ def window_model_scores(spark, sf_dir):
     return nudged(predict.Model("window", _one_before, normalise=True).scores(grids, "x").select("window_id", "score"), "score")
 
 
-@query("""WITH p AS (SELECT l_orderkey, count(*) / 7.0 AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), w AS (SELECT l_orderkey, max(l_discount) AS c FROM lineitem WHERE l_tax > 0.05 GROUP BY l_orderkey),
-t AS (SELECT year(o_orderdate)::BIGINT AS run, month(o_orderdate)::BIGINT AS subrun, o_orderkey::BIGINT AS evt, round(o_totalprice / 1e6, 6) AS a, round(coalesce(b, 0), 6)::DOUBLE AS b, round(coalesce(c, 0), 6)::DOUBLE AS c
-  FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN w ON w.l_orderkey = o_orderkey)
+@query("""WITH p AS (SELECT l_orderkey, count(*) / 7.0 AS b, max(l_discount) AS c FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT year(o_orderdate)::BIGINT AS run, month(o_orderdate)::BIGINT AS subrun, o_orderkey::BIGINT AS evt, round(o_totalprice / 1e6, 6) AS a, round(coalesce(b, 0), 6)::DOUBLE AS b, round(coalesce(c, 0), 6)::DOUBLE AS c FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey)
 SELECT run, subrun, evt, a AS tpc_score, b AS pmt_score, c AS window_score, greatest(a, b, c) AS max_score, a > 0.45 OR b > 0.5 AS alert FROM t""")
 def multi_branch_alerts(spark, sf_dir):
-    """Three branches of scores; not every event has one in each."""
+    """Three branches of scores; events without lines have one in the first alone."""
     o, lines = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "lineitem")
     key = [F.year("o_orderdate").cast("long").alias("run"), F.month("o_orderdate").cast("long").alias("subrun"), F.col("o_orderkey").cast("long").alias("evt")]
-    scored = lambda keep, value: o.join(lines.filter(keep).groupBy("l_orderkey").agg(F.round(value, 6).alias("score")), F.col("o_orderkey") == F.col("l_orderkey")).select(*key, "score")
+    scored = lambda value: o.join(lines.groupBy("l_orderkey").agg(F.round(value, 6).alias("score")), F.col("o_orderkey") == F.col("l_orderkey")).select(*key, "score")
     branches = {
         "tpc": o.select(*key, F.round(F.col("o_totalprice") / 1e6, 6).alias("score")),
-        "pmt": scored(F.col("l_returnflag") == "R", F.count("*") / 7.0),
-        "window": scored(F.col("l_tax") > 0.05, F.max("l_discount").cast("double")),
+        "pmt": scored(F.count("*") / 7.0),
+        "window": scored(F.max("l_discount").cast("double")),
     }
     return score.multi_branch(branches, {"tpc": 0.45, "pmt": 0.5, "window": None})
 
@@ -573,9 +575,30 @@ def anomaly_fraction(spark, sf_dir):
     return rounded(score.anomaly_fraction(fx.labelled_scores(spark, sf_dir), 1000), "fraction", digits=9)
 
 
-@query(f"WITH {_LABELLED}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT least(floor((score - lo) / (hi - lo) * 100), 99)::BIGINT AS bin, lo, hi, count(*) AS n FROM s, e GROUP BY ALL")
+@query(f"WITH {_LABELLED}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT least(floor((score - lo) / (hi - lo) * 100), 99)::BIGINT AS bin, lo, hi, count(*) AS n, (SELECT round(quantile_cont(score, 0.95), 4) FROM s) AS p95, (SELECT round(quantile_cont(score, 0.99), 4) FROM s) AS p99, 1000::DOUBLE AS threshold FROM s, e GROUP BY ALL")
 def score_histogram(spark, sf_dir):
-    return metrics.score_histogram(fx.labelled_scores(spark, sf_dir))
+    return rounded(metrics.score_histogram(fx.labelled_scores(spark, sf_dir), threshold=1000), "p95", "p99", digits=4)
+
+
+_SKETCH = 1024
+
+
+@query("SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max, true AS p50_within, true AS p95_within, true AS p99_within FROM events")
+def running_score_stats(spark, sf_dir):
+    """Statistics of a stream, merged from those of its micro-batches; the sketch's percentiles must lie within its stated error in rank."""
+    folder = scratch(spark, "running")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        metrics.sketch_stats(batch, "value", k=_SKETCH).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    jobs.run_batches(_event_stream(spark, sf_dir).select(F.col("value").cast("double").alias("value")), keep, f"{folder}/checkpoint")
+    told = Stored(metrics.read_stats(metrics.merge_stats(spark.read.parquet(f"{folder}/parts").drop("batch"))), "running").df
+    x, names = F.col("value").cast("double"), [f"p{round(100 * p)}" for p in metrics.PERCENTILES]
+    # the ranks that a value holds: from the share of values below it to the share of those not above
+    ranks = fx.table(spark, sf_dir, "events").crossJoin(F.broadcast(told.select(*names))).agg(*[F.avg((x < F.col(p)).cast("double")).alias(f"{p}_lo") for p in names], *[F.avg((x <= F.col(p)).cast("double")).alias(f"{p}_hi") for p in names])
+    error = metrics.rank_error(_SKETCH)
+    within = [((F.col(f"{n}_lo") <= p + error) & (F.col(f"{n}_hi") >= p - error)).alias(f"{n}_within") for n, p in zip(names, metrics.PERCENTILES, strict=True)]
+    return rounded(told.crossJoin(F.broadcast(ranks)).select("n", "mean", "std", "min", "max", *within), "mean", "std")
 
 
 @query(f"""WITH {_LONG}, p AS (SELECT slot::BIGINT AS feature, e AS x, floor(e * 10 + 0.5) / 10 AS y FROM l), b AS (SELECT feature, min(least(x, y)) AS lo, max(greatest(x, y)) AS hi FROM p GROUP BY feature),
@@ -640,20 +663,22 @@ def ablation_variants(spark, sf_dir):
 
 def _ablation_sql() -> str:
     parts = []
+    names = ", ".join(f"('{name}', '{removed or ''}', '{';'.join(kept)}', {len(kept)})" for name, kept, removed in ablation.variants(_BRANCHES))
     for name, kept, _ in ablation.variants(_BRANCHES):
         k = len(kept)
         cells = ", ".join(f"{{'slot': i * {k} + {j}, 'value': l_{b}}}" for j, b in enumerate(kept))
         parts.append(f"SELECT '{name}' AS variant, evt, sum((value - floor(value)) * (value - floor(value))) FILTER (slot < 12) / 12 AS score FROM (SELECT evt, unnest([{cells}], recursive := true) FROM lines) GROUP BY evt")
     return f"""WITH {fx.SQL_LINES}, v AS ({" UNION ALL ".join(parts)})
 SELECT variant, round(avg(score), 9) AS mean, round(stddev_pop(score), 9) AS std, round(min(score), 9) AS min, round(max(score), 9) AS max, round(avg((score >= 0.0005)::INT), 9) AS fraction, count(*) AS n,
-round(quantile_cont(score, 0.5), 9) AS p50, round(quantile_cont(score, 0.95), 9) AS p95, round(quantile_cont(score, 0.99), 9) AS p99 FROM v GROUP BY variant"""
+round(quantile_cont(score, 0.5), 9) AS p50, round(quantile_cont(score, 0.95), 9) AS p95, round(quantile_cont(score, 0.99), 9) AS p99, round(avg(score), 9) AS eval_loss, any_value(removed) AS removed, any_value(branches) AS branches, any_value(n_branches) AS n_branches
+FROM v JOIN (VALUES {names}) b(variant, removed, branches, n_branches) USING (variant) GROUP BY variant"""
 
 
 @query(_ablation_sql())
 def ablation_summary(spark, sf_dir):
     error = lambda x: vec.mse(x, F.transform(x, lambda e: F.floor(e).cast("double")))
     scores = ablation.variant_scores(fx.ragged(spark, sf_dir), _BRANCHES, lambda v: vec.bound(v, error), 12, ["evt"])
-    return rounded(ablation.summary(scores, 0.0005), "mean", "std", "min", "max", "fraction", "p50", "p95", "p99", digits=9)
+    return rounded(ablation.summary(scores, 0.0005, _BRANCHES), "mean", "std", "min", "max", "fraction", "p50", "p95", "p99", "eval_loss", digits=9)
 
 
 _FILES = "f AS (SELECT '/data/DQM_' || c_name || '.root' AS path, c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AS good FROM customer)"

@@ -132,16 +132,29 @@ def flatten_bins(features: DataFrame, bins_column: str = "bins") -> DataFrame:
     return features.withColumn(bins_column, F.flatten(bins_column))
 
 
-def save_scores(window_scores: DataFrame, node_scores: DataFrame, path: str) -> None:
-    """Window scores with flags and provenance, and node scores (inactive nodes have no row)."""
+def save_scores(window_scores: DataFrame, node_scores: DataFrame, path: str, settings: dict | None = None, filenames: DataFrame | None = None) -> None:
+    """A scoring job's record: window scores with flags and provenance, node scores (inactive nodes have no row), and what they were made with.
+
+    ``settings`` (threshold, number of channels, names of features ...) and ``filenames`` (file_idx, path) may be left out.
+    """
     window_scores.write.mode("overwrite").parquet(f"{path}/window_scores")
     node_scores.write.mode("overwrite").parquet(f"{path}/node_scores")
+    spark = window_scores.sparkSession
+    spark.createDataFrame([(k, str(v)) for k, v in (settings or {}).items()], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    names = spark.createDataFrame([], "file_idx long, path string") if filenames is None else filenames.select(F.col("file_idx").cast("long"), "path")
+    names.write.mode("overwrite").parquet(f"{path}/filenames")
 
 
 def load_scores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(window scores, node scores)."""
     return spark.read.parquet(f"{path}/window_scores"), spark.read.parquet(f"{path}/node_scores")
 
 
+def load_score_record(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+    """(settings, (file_idx, path)) of saved scores."""
+    return {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/settings").collect()}, spark.read.parquet(f"{path}/filenames")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Small result tables as CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -210,3 +210,49 @@ def test_helper_columns_never_meet_a_callers(spark):
     assert placed.columns == [*kept, "at"] and all(r["at"] == r["i"] and r["_pos"] == r["i"] * 10 + 2 for r in placed.collect())
     pairs = score.pair_by_position(df, df.select("i", "_place"), "i").collect()
     assert len(pairs) == 6 and all(r["_place"] == r["right__place"] == r["i"] * 10 + 6 for r in pairs)
+
+
+def test_sketches_merge_over_batches(spark):
+    """Statistics of parts, merged by group, against the exact ones of all rows; groups of one, of ties, null keys and null scores among them."""
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in rng.lognormal(size=20_000)] + [("b", 3.0)] * 50 + [("c", 7.5), (None, 1.0), (None, 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, score double")
+    parts = [metrics.sketch_stats(df.filter(F.pmod(F.xxhash64("g", "score"), F.lit(5)) == i), by=["g"], k=512) for i in range(5)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    twice = metrics.merge_stats(metrics.merge_stats(whole.filter("n % 2 = 0"), ["g"]).union(whole.filter("n % 2 = 1")), ["g"])
+    got = {r["g"]: r for r in metrics.read_stats(twice).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        own = np.sort([v for k, v in rows if k == g and v is not None])
+        assert r["n"] == len(own) and np.allclose([r["mean"], r["std"], r["min"], r["max"]], [own.mean(), own.std(), own[0], own[-1]])
+        for p in metrics.PERCENTILES:
+            value = r[f"p{round(100 * p)}"]
+            low, high = np.searchsorted(own, value, side="left") / len(own), np.searchsorted(own, value, side="right") / len(own)
+            assert value in own and low <= p + metrics.rank_error(512) and high >= p - metrics.rank_error(512)
+    assert metrics.read_stats(metrics.merge_stats(metrics.sketch_stats(df.limit(0)))).count() == 0
+
+
+def test_score_record_keeps_settings_and_names(spark, tmp_path):
+    from hitwatch.sources import files
+
+    one = spark.createDataFrame([(0, 1.5)], "window_id long, score_mean double")
+    nodes = spark.createDataFrame([(0, 3, 1.5)], "window_id long, channel long, mse double")
+    files.save_scores(one, nodes, f"{tmp_path}/a", {"threshold": 0.5, "features": "sum,cnt"}, spark.createDataFrame([(1, "x.root")], "file_idx int, path string"))
+    files.save_scores(one, nodes, f"{tmp_path}/b")
+    settings, names = files.load_score_record(spark, f"{tmp_path}/a")
+    assert settings == {"threshold": "0.5", "features": "sum,cnt"} and [tuple(r) for r in names.collect()] == [(1, "x.root")]
+    settings, names = files.load_score_record(spark, f"{tmp_path}/b")
+    assert settings == {} and names.count() == 0 and [d.count() for d in files.load_scores(spark, f"{tmp_path}/b")] == [1, 1]
+
+
+def test_histogram_markers_and_ablation_branches(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(101)] + [(float("inf"),)], "score double")
+    rows = metrics.score_histogram(df, bins=10, threshold=42.0).collect()
+    assert sum(r["n"] for r in rows) == 101 and {(r["p95"], r["p99"], r["threshold"]) for r in rows} == {(95.0, 99.0, 42.0)}
+    assert {r["threshold"] for r in metrics.score_histogram(df).collect()} == {None}
+    scores = spark.createDataFrame([("baseline_all", 1.0, 4.0), ("minus_a_b", 3.0, 8.0), ("minus_a_b", 5.0, 2.0)], "variant string, score double, loss double")
+    got = {r["variant"]: r for r in ablation.summary(scores, 3.0, ["a.b", "c"], loss="loss").collect()}
+    assert [got["minus_a_b"][c] for c in ("eval_loss", "removed", "branches", "n_branches", "fraction")] == [5.0, "a.b", "c", 1, 1.0]
+    assert [got["baseline_all"][c] for c in ("eval_loss", "removed", "branches", "n_branches")] == [4.0, "", "a.b;c", 2]
