@@ -1,4 +1,11 @@
-"""Corpus pipeline: toxicity, language, near-duplicates, source mixing, token ids; each stage takes what the one before kept."""
+"""Corpus pipeline: toxicity, language, near-duplicates, source mixing, token ids; each stage takes what the one before kept.
+
+Defined cases: a null text counts as empty; an empty one, or one without letters, passes toxicity (unless the model calls texts without features
+toxic) and leaves at language ID, as its language is unknown. Of repeated rows, and of rows that share an id but not their text, each is judged by its own
+text; of each group of near duplicates one row stays, so one of repeated rows. Rows with a null id take part, and are the first of their group only if
+all its rows are such. A null source is a source of its own. Columns besides ``COLUMNS`` are dropped by the first stage, whatever their names. An empty table gives an
+empty result, as does one that a stage leaves nothing of; without labelled rows the toxicity stage keeps or drops all by the smoothed share of label 1.
+"""
 
 from __future__ import annotations
 
