@@ -57,8 +57,11 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype("i8") + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, bool)
         bits[ones] = True
-        low = (values[:, None] >> np.arange(low_bits, dtype="u8")) & np.uint64(1)
-        return cls(n, low_bits, np.packbits(low.astype("u1").ravel()).tobytes(), np.packbits(bits).tobytes(), ones[::SELECT_EVERY].astype("<u4"))
+        # a bit at a time, so that no table of 64-bit cells is made
+        low = np.empty((n, low_bits), "u1")
+        for b in range(low_bits):
+            low[:, b] = (values >> np.uint64(b)) & np.uint64(1)
+        return cls(n, low_bits, np.packbits(low.ravel()).tobytes(), np.packbits(bits).tobytes(), ones[::SELECT_EVERY].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QIIII", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples.tobytes()
@@ -217,7 +220,7 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -302,7 +305,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id
             return row
 
         for batch in batches:
-            for a, b in slices(batch.column(1), min(2 << 20, 2 * shard_ids)):
+            for a, b in slices(batch.column(1), min(1 << 20, 2 * shard_ids)):
                 flat, each = own.encode(batch.column(1).slice(a, b - a))
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 counts.append(each + 1)

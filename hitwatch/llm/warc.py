@@ -71,9 +71,13 @@ def http_parts(message: bytes) -> tuple[bytes, bytes]:
     return message[: end + 4], message[end + 4 :]
 
 
-def declared_length(header: bytes) -> int:
-    """Body length that an HTTP header declares."""
-    return int(next(line.split(b":", 1)[1] for line in header.split(b"\r\n") if line.lower().startswith(b"content-length:")))
+def declared_length(header: bytes) -> int | None:
+    """Body length that an HTTP header declares; null where it declares none, or none that is a number."""
+    for line in header.split(b"\r\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
 
 
 # --- ARC --------------------------------------------------------------------------------------------------------
@@ -311,7 +315,8 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
                             continue
                         digest, is_http = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["Content-Type"].startswith("application/http")
                         header, payload = http_parts(block) if is_http else (b"", block)
-                        size = declared_length(header) if is_http else len(block)
+                        declared = declared_length(header) if is_http else None
+                        size = len(payload) if declared is None else declared
                         if head["WARC-Type"] != "revisit" and (digest != sha1_base32(payload) or size != len(payload)):
                             raise ValueError(f"digest does not match in record {head['WARC-Record-ID']}")
                         number = lambda k, h=head: int(h[k]) if k in h else None

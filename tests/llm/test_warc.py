@@ -100,3 +100,7 @@ def test_broken_digest_is_noticed(spark, tmp_path):
     files = spark.createDataFrame([(f"a{warc.SUFFIX}",)], "file string")
     with pytest.raises(Exception, match="digest"):
         warc.read(spark, f"file://{tmp_path}", files).collect()
+
+
+def test_lengths_that_messages_declare():
+    assert [warc.declared_length(h) for h in (b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\nX: 1", b"HTTP/1.0 200 OK", b"content-length:7", b"Content-Length: many", b"")] == [12, None, 7, None, None]
