@@ -127,7 +127,9 @@ def saved_windows(spark, sf_dir):
     """Windows, their metadata and settings written and read back; bins flattened."""
     p, path = fx.Prepared(spark, sf_dir), scratch(spark, "saved")
     made = windows.bin_arrays(windows.dense_window_features(p.hits, _SAVED, p.n), _SAVED.bins, ("sum", "cnt"))
-    files.save_windows(made, windows.provenance(spark, p.events, _SAVED, p.n), {"window_size": _SAVED.size}, path)
+    # a folder for each range of windows, so that a range reads its own files alone
+    ranged = made.withColumn("window_range", F.floor(F.col("window_id") / 256))
+    files.save_windows(ranged, windows.provenance(spark, p.events, _SAVED, p.n), {"window_size": _SAVED.size}, path, partition_by="window_range")
     rows, meta, settings = files.load_windows(spark, path)
     flat = files.flatten_bins(rows).select("window_id", "channel", F.posexplode("bins").alias("slot", "value"))
     known = flat.join(meta.select("window_id", "first_run"), "window_id")

@@ -193,3 +193,14 @@ def test_store_is_written_with_one_exchange(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **k: (plans.append(plan_of(self._df)), real(self, path, *a, **k))[1])
     event_store.save(spark.range(9).select(F.col("id").alias("event_idx"), F.col("id").alias("evt")), hit_rows(spark, 9), f"{tmp_path}/store")
     assert len(re.findall("Exchange", plans[0])) == 1 and "rangepartitioning(event_idx" in plans[0] and "Join" not in plans[0]
+
+
+def test_saved_windows_are_pruned_by_their_partition(spark, tmp_path):
+    from hitwatch.sources import files
+
+    made = spark.range(100).select(F.col("id").alias("window_id"), F.lit(1).alias("channel"), F.floor(F.col("id") / 25).alias("window_range"))
+    files.save_windows(made, spark.range(1), {"a": 1}, f"{tmp_path}/w", partition_by="window_range")
+    rows, _, settings = files.load_windows(spark, f"{tmp_path}/w")
+    part = rows.filter("window_range = 2")
+    assert re.search(r"PartitionFilters: \[[^]]*window_range", plan_of(part)) and settings == {"a": "1"}
+    assert sorted(r["window_id"] for r in part.collect()) == list(range(50, 75))
