@@ -7,9 +7,12 @@ for each bit of impact, so 64 postings are scored by one ``bit_count`` of two wo
 impact; what is left of a vector after a segment has a known length, which bounds (Cauchy-Schwarz) what the rest of
 its postings can add.
 
-1. Part of the vectors (``FIRST`` of ``PARTS`` hash classes) give each query a bar: the ``k``-th largest of the scores
+Vectors lie in bands of length, the largest impacts of all being those of the longest vectors, and bands in blocks.
+
+1. The longest vectors, and part of the others (``FIRST`` of ``PARTS`` hash classes), give each query a bar: the ``k``-th largest of the scores
    that different vectors are proved to reach. It only decides how early others can be left.
-2. All vectors: a pair is left after the first segment, or after the second, if its bound proves that it stays below the
+2. By descending length: a band whose longest vector cannot reach the bars of a pack of queries, and with it all shorter ones, is proved out and never
+   meets that pack. Elsewhere a pair is left after the first segment, or after the second, if its bound proves that it stays below the
    bar. All others are possible members and are rescored exactly.
 
 Equal vectors are one row of the index with their ``k + 1`` smallest ids, as no others can be among a query's best; so
@@ -39,6 +42,8 @@ BLOCK_ROWS, PACK_ROWS, GROUP_PACKS = 16_384, 256, 16
 PARTS, FIRST = 64, 16
 #: A block's rows that set bars are looked at in so many lots: each gives a query one score that is reached.
 SLOTS = 4
+#: Bands of length for each power of two.
+BANDS = 4
 #: Bits of impact of a vector's leading and next digits, and of a query's.
 LEADING, NEXT, QUERY = 3, 3, 5
 RADIX = 1 << NEXT
@@ -77,14 +82,19 @@ def _rest(digits: str, unit: Column) -> Column:
     return _length(F.zip_with("_x", digits, lambda x, t: x - t * unit))
 
 
+def _band(length: Column) -> Column:
+    """Band of a length, or of a bar for one; those of 0 or less, and of lengths beyond all, are the lowest and the highest."""
+    return F.when(length > 0, F.floor(F.log2(F.least(length, F.lit(1e300))) * BANDS)).otherwise(-BANDS * 1100).cast("int")
+
+
 def index_rows(rows: DataFrame, words: int) -> DataFrame:
-    """(dim, v, ids, block, part, length, step, rest_1, rest_2, a_*, b_*): the posting segments of each row's vector ``v``."""
+    """(dim, v, ids, block, part, band, length, step, rest_1, rest_2, a_*, b_*): the posting segments of each row's vector ``v``."""
     top = ((1 << LEADING) - 1) * RADIX + RADIX // 2 - 1
     split = _digits(rows, top).withColumn("_a", F.transform("_t", lambda t: F.rint(t / RADIX)))
     split = split.withColumn("_b", F.zip_with("_t", "_a", lambda t, a: t - a * RADIX))
     a, b = _words("_a", LEADING, words), _words("_b", NEXT, words)
     named = [c.alias(f"a_{i}") for i, c in enumerate(a)] + [c.alias(f"b_{i}") for i, c in enumerate(b)]
-    return split.select("dim", "v", "place.*", "length", "step", _rest("_a", F.col("step") * RADIX).alias("rest_1"), _rest("_t", F.col("step")).alias("rest_2"), *named)
+    return split.select("dim", "v", "place.*", _band(F.col("length")).alias("band"), "length", "step", _rest("_a", F.col("step") * RADIX).alias("rest_1"), _rest("_t", F.col("step")).alias("rest_2"), *named)
 
 
 def query_rows(asked: DataFrame, words: int) -> DataFrame:
@@ -141,17 +151,37 @@ class Index:
         block, part = F.pmod("h", F.lit(self.blocks)).cast("int"), F.pmod(F.shiftright("h", 32), F.lit(PARTS)).cast("int")
         placed = merged.select("dim", "v", F.struct("ids", block.alias("block"), part.alias("part")).alias("place"))
         self.rows = common.Stored(index_rows(placed, self.words), "topk").df
+        # a row for each number of dimensions and band: lengths of doubles span some 8,000 bands at most
+        self.bands = common.Stored(self.rows.groupBy("dim", "band").agg(F.max("length").alias("far"), F.count("*").alias("rows")), "topk_bands").df
+        self.few = self.bands.count() <= common.BROADCAST_ROWS
+
+    def longest(self) -> int:
+        """The band from which up an eighth of the rows lie at most, over all numbers of dimensions."""
+        sizes = self.bands.groupBy("band").agg(F.sum("rows").alias("rows")).orderBy(F.desc("band")).collect()
+        most, above = sum(r["rows"] for r in sizes) // 8, 0
+        for r in sizes:
+            above += r["rows"]
+            if above > most:
+                return r["band"] + 1
+        return 0
 
     def met(self, queries: DataFrame, rows: DataFrame, n_queries: int) -> DataFrame:
-        """Pairs of queries and index rows: rows, and packs of queries, are dealt by block and group of packs; then packs are opened."""
+        """Pairs of queries and index rows: rows, and packs of queries, are dealt by band, block and group of packs; then packs are opened.
+
+        Where queries have a ``bar``, packs hold queries of like bars for their length, and meet the bands alone that can reach the lowest of them.
+        """
         packs = max(1, -(-n_queries // PACK_ROWS))
         groups = -(-packs // GROUP_PACKS)
         fields = [c for c in queries.columns if c != "dim"]
+        # what a vector's length must be at least for the bar to be reached
+        need = F.when((F.col("bar") > 0) & (F.col("q_length") > 0), F.col("bar") / F.col("q_length") * (1 - 2 * SLACK)).otherwise(0.0) if "bar" in fields else F.lit(0.0)
         rows, queries = _never_null(rows), _never_null(queries)
-        packed = queries.groupBy("dim", F.pmod(F.xxhash64("id", "mark"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct(*fields)).alias("queries"))  # about PACK_ROWS each
-        asked = packed.select("dim", "queries", F.pmod("pack", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
+        packed = queries.groupBy("dim", _band(need).alias("level"), F.pmod(F.xxhash64("id", "mark"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct(*fields)).alias("queries"), F.min(need).alias("need"))  # about PACK_ROWS each
+        bands = self.bands.select("dim", "band", "far")
+        reach = packed.join(F.broadcast(bands) if self.few else bands, "dim").filter("far >= need")
+        asked = reach.select("dim", "band", "queries", F.pmod("pack", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
         dealt = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        key, parts = ["block", "group", "dim"], min(self.blocks * groups, 20_000)
+        key, parts = ["block", "group", "dim", "band"], min(self.blocks * groups, 20_000)
         joined = dealt.repartition(parts, *key).join(asked.repartition(parts, *key), key)
         opened = joined.select(*dealt.columns, F.inline("queries").alias(*["q_v" if f == "v" else f for f in fields]))
         # a row that holds nothing but the query's own id is no candidate for it
@@ -168,6 +198,19 @@ def _bounds(words: int) -> tuple[Column, Column, Column, Column]:
     return first * unit, left(F.col("rest_1")), both * unit, left(F.col("rest_2"))
 
 
+def with_bars(index: Index, asked: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """Queries with the score that their ``k`` best vectors reach at least, from part of the index, and the number of queries."""
+    queries = common.Stored(query_rows(asked, index.words), "topk_queries").df
+    n_queries, key = queries.count(), ["id", "mark"]
+    *_, score, error = _bounds(index.words)
+    first = index.rows.filter((F.col("part") < FIRST) | (F.col("band") >= index.longest())).drop("v").withColumn("slot", F.col("part") % SLOTS)
+    shown = index.met(queries.drop("v"), first, n_queries).withColumn("least", F.explode(F.array(score - error)))
+    reached = shown.groupBy("block", "band", "group", "dim", "slot", *key).agg(F.max("least").alias("bar"))
+    place = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("bar"), "block", "band", "slot"))
+    bars = reached.withColumn("r", place).filter(F.col("r") <= k).filter(F.col("r") == k).select(*key, "bar")
+    return common.Stored(queries.join(bars, key, "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))), "topk_bars").df, n_queries
+
+
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` best rows of ``vectors`` for those with ids divisible by ``every``."""
     x, most = F.col("_x").cast("array<double>"), float(MOST)
@@ -176,18 +219,9 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     known = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_x")).filter(F.col("id").isNotNull() & sound)
     base = known.select("id", whole.alias("v")).select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
     asked = base.filter(F.pmod("id", F.lit(every)) == 0).select("dim", "id", F.col("h").alias("mark"), "v").distinct()
-    index = Index(base, k)
-    queries = common.Stored(query_rows(asked, index.words), "topk_queries").df
-    n_queries, key = queries.count(), ["id", "mark"]
+    index, key = Index(base, k), ["id", "mark"]
+    barred, n_queries = with_bars(index, asked, k)
     score_1, error_1, score_2, error_2 = _bounds(index.words)
-
-    first = index.rows.filter(F.col("part") < FIRST).drop("v").withColumn("slot", F.col("part") % SLOTS)
-    shown = index.met(queries.drop("v"), first, n_queries).withColumn("least", F.explode(F.array(score_2 - error_2)))
-    reached = shown.groupBy("block", "group", "dim", "slot", *key).agg(F.max("least").alias("bar"))
-    place = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("bar"), "block", "slot"))
-    bars = reached.withColumn("r", place).filter(F.col("r") <= k).filter(F.col("r") == k).select(*key, "bar")
-    barred = common.Stored(queries.join(bars, key, "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))), "topk_bars").df
-
     pairs = index.met(barred, index.rows, n_queries)
     left = pairs.filter(score_1 + error_1 >= F.col("bar"))
     # as a generated row the second bound is worked out behind the first filter, in a method of its own that is small enough to be compiled

@@ -88,3 +88,27 @@ def test_plan_is_native_and_has_no_cross_join(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
     plan = topk.search(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Cartesian", "NestedLoop", "Existing"))
+
+
+def met_pairs(spark, rows, every=20, k=5):
+    """How many pairs of queries and distinct vectors are met once the bars are known, and how many there are."""
+    df = spark.createDataFrame(rows, "id long, v array<double>").selectExpr("id", "transform(v, x -> floor(256 * x)) AS v", "size(v) AS dim").selectExpr("id", "v", "dim", "xxhash64(v) AS h")
+    index = topk.Index(df, k)
+    asked = df.filter(f"id % {every} = 0").selectExpr("dim", "id", "h AS mark", "v").distinct()
+    barred, n = topk.with_bars(index, asked, k)
+    return index.met(barred, index.rows, n).count(), sum(i % every == 0 for i, _ in rows) * (len(rows) - 1)
+
+
+def test_short_vectors_are_never_met(spark):
+    """Of vectors whose lengths span six powers of ten, only those long enough for the bars are scored; of equal ones all are."""
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(1_000, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    even = [(i, (v * 100).tolist()) for i, v in enumerate(unit)]
+    uneven = [(i, (v * 10.0 ** rng.uniform(-2, 4)).tolist()) for i, v in enumerate(unit)]
+    (met, of), (met_even, of_even) = met_pairs(spark, uneven), met_pairs(spark, even)
+    assert met < 0.2 * of and met_even == of_even
+    assert found(spark, uneven, "double", every=20) == brute(uneven, 20, 5)
+    # scores below 0 alone: no bar is above 0, so nothing is proved out
+    negative = [(0, [-1.0, -1.0])] + [(i, [float(i), 1.0]) for i in range(1, 40)]
+    assert found(spark, negative, "double", every=50) == brute(negative, 50, 5)
