@@ -176,7 +176,7 @@ class Index:
         # what a vector's length must be at least for the bar to be reached
         need = F.when((F.col("bar") > 0) & (F.col("q_length") > 0), F.col("bar") / F.col("q_length") * (1 - 2 * SLACK)).otherwise(0.0) if "bar" in fields else F.lit(0.0)
         rows, queries = _never_null(rows), _never_null(queries)
-        packed = queries.groupBy("dim", _band(need).alias("level"), F.pmod(F.xxhash64("id", "mark"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct(*fields)).alias("queries"), F.min(need).alias("need"))  # about PACK_ROWS each
+        packed = queries.groupBy("dim", F.floor(_band(need) / BANDS).alias("level"), F.pmod(F.xxhash64("id", "mark"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct(*fields)).alias("queries"), F.min(need).alias("need"))  # about PACK_ROWS each
         bands = self.bands.select("dim", "band", "far")
         reach = packed.join(F.broadcast(bands) if self.few else bands, "dim").filter("far >= need")
         asked = reach.select("dim", "band", "queries", F.pmod("pack", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
