@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hitwatch.llm import bpe, common, langid, mixing, simhash, toxicity
 from hitwatch.llm.queries import TOXIC_FROM, tokenizer_path

@@ -10,7 +10,7 @@ from hitwatch.functions import vectors as vec
 from hitwatch.operators import geometry, hits, index, metrics, score, splits, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
-from hitwatch.plans.registry import query, rounded, slots
+from hitwatch.plans.registry import query, rounded
 from hitwatch.sources import event_batches, files
 from hitwatch.sources import event_store as store
 from hitwatch.sources.scratch import scratch
