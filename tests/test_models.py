@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hitwatch.operators import graph, predict, window_pass
+from hitwatch.operators import graph, hits, predict, window_pass, windows
 from hitwatch.operators.windows import Layout
 from hitwatch.plans.queries import LAYOUT, Graph
 from tests.test_plans import plan_of
@@ -143,3 +143,21 @@ def test_one_exchange_by_window(spark, sf_dir):
     for df in (predict.Model("gnn", lambda x, e, own: x).node_scores(g.rows, LAYOUT, g.n), window_pass.neighbour_forecast(g.rows, LAYOUT, g.n), window_pass.propagated_frames(g.rows, LAYOUT, g.n)):
         plan = plan_of(df)
         assert len(re.findall(r"Exchange", plan)) == 1 and not re.search("Join|Cartesian|Aggregate", plan)
+
+
+@pytest.mark.parametrize("block", [1, 1 << 15])
+@pytest.mark.parametrize("layout", [Layout(5, 5, 3, 2), Layout(5, 2, 1, 1), Layout(2, 7, 1, 3), Layout(3, 1, 0, 2)])
+def test_hits_are_assembled_in_their_task(spark, monkeypatch, block, layout):
+    """One exchange, of hits; the blocks are those of assembled frames, with idle windows, windows over several ranges and no negative channels."""
+    monkeypatch.setattr(window_pass, "BLOCK", block)
+    rng, n = np.random.default_rng(block), 200
+    rows = [(int(e), int(c), float(x)) for e, c, x in zip(rng.integers(0, 90, 300), rng.integers(-1, 12, 300), rng.integers(1, 50, 300), strict=True)]
+    df = spark.createDataFrame([*rows, (3, 2, None)], "event_idx long, channel long, integral double")
+    work = lambda b: (b.window, b.channel, b.rank, b.x.sum(axis=1), (b.x * np.arange(b.x.shape[1])).sum(axis=1), b.y.sum(axis=1))
+    schema, names, count = "window_id long, channel long, node_rank long, s double, t double, y double", ("sum", "cnt", "min", "max", "mean", "stdev"), layout.count(n)
+    got = window_pass.hit_pass(df, layout, n, work, schema, features=names)
+    assert len(re.findall("Exchange", plan_of(got))) == 1 and "Join" not in plan_of(got)
+    frames = windows.frame_features(hits.hit_partials(df), layout, n)
+    want = window_pass.window_pass(graph.assemble(frames, layout, count), layout, count, work, schema, features=names)
+    rounded = lambda d: sorted((r[0], r[1], r[2], *[round(v, 6) for v in r[3:]]) for r in d.collect())
+    assert rounded(got) == rounded(want) and {r["window_id"] for r in got.collect()} == set(range(count))

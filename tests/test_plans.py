@@ -7,7 +7,7 @@ import pytest
 from hitwatch.operators import graph, hits, score
 from hitwatch.operators.windows import Layout
 from hitwatch.plans import fixtures as fx
-from hitwatch.plans.queries import LAYOUT, Graph
+from hitwatch.plans.queries import LAYOUT, QUERIES, Graph
 
 
 def plan_of(df):
@@ -65,3 +65,10 @@ def test_values_meet_their_nodes_without_a_join(spark, sf_dir):
     values = g.rows.filter("w = 3").groupBy("window_id", "channel").agg({"sum": "sum"}).withColumnRenamed("sum(sum)", "value")
     for made in (graph.neighbour_sum(g.nodes, values), graph.neighbour_norm(g.nodes, values)):
         assert not re.search("Join|Cartesian", plan_of(made))
+
+
+def test_the_grid_is_made_where_its_scores_are(spark, sf_dir):
+    """Windows x channels rows come last: they meet no scores by a join and are not exchanged."""
+    plan = plan_of(QUERIES["node_score_grid"](spark, sf_dir))
+    after = plan.partition("MapInArrow")[0]
+    assert "Generate" in after and not re.search("Exchange|Join", after)
