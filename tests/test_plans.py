@@ -72,3 +72,10 @@ def test_the_grid_is_made_where_its_scores_are(spark, sf_dir):
     plan = plan_of(QUERIES["node_score_grid"](spark, sf_dir))
     after = plan.partition("MapInArrow")[0]
     assert "Generate" in after and not re.search("Exchange|Join", after)
+
+
+def test_copies_to_overlapping_frames_are_not_exchanged(prepared):
+    """Where an event is in many frames, rows go to their frames after the last exchange."""
+    plan = plan_of(prepared.frames(Layout(20, 7, 4, 3)))
+    after = plan.partition("Exchange")[0]
+    assert "MapInArrow" in after and "HashAggregate" not in after and "frame_start" not in plan.partition("Exchange")[2]

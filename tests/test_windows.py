@@ -191,3 +191,14 @@ def test_cells_agree_with_active_nodes(spark):
     a = graph.active_nodes(rows, layout, layout.count(n)).collect()
     b = graph.node_cells(rows, layout, layout.count(n)).drop("cells").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("partials", [1, 1 << 15])
+@pytest.mark.parametrize("layout", [Layout(20, 7, 4, 3), Layout(6, 1, 0, 4), Layout(9, 2, 1, 2), Layout(7, 10, 9, 1)])
+def test_overlapping_frames_over_several_blocks(spark, monkeypatch, layout, partials):
+    monkeypatch.setattr(windows, "FRAMES", 2)
+    monkeypatch.setattr(windows, "PARTIALS", partials)
+    n, rows, df = events_and_hits(spark, [random.Random(i).randrange(4) for i in range(150)], 5, 7)
+    got = windows.frame_features(hits.channel_partials(df), layout, n)
+    assert layout.overlap > 2 and {(r["frame_start"], r["channel"], r["bin"]): (round(r["sum"], 6), r["cnt"], r["min"], r["max"]) for r in got.collect()} == naive(rows, layout, n)
+    assert got.count() == got.select("frame_start", "channel", "bin").distinct().count()
