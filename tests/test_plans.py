@@ -79,3 +79,11 @@ def test_copies_to_overlapping_frames_are_not_exchanged(prepared):
     plan = plan_of(prepared.frames(Layout(20, 7, 4, 3)))
     after = plan.partition("Exchange")[0]
     assert "MapInArrow" in after and "HashAggregate" not in after and "frame_start" not in plan.partition("Exchange")[2]
+
+
+@pytest.mark.parametrize("name", ["node_vector_sums"])
+def test_windows_are_assembled_after_the_last_exchange(spark, sf_dir, name):
+    """Hits are exchanged once, by ranges of windows; what is made of the windows comes from that task alone."""
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    after = plan.partition("Exchange")[0]
+    assert "MapInArrow" in after and not re.search("Aggregate|Window|Join", after) and not re.search(r"Exchange hashpartitioning\(window_id", plan)
