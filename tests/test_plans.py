@@ -81,7 +81,7 @@ def test_copies_to_overlapping_frames_are_not_exchanged(prepared):
     assert "MapInArrow" in after and "HashAggregate" not in after and "frame_start" not in plan.partition("Exchange")[2]
 
 
-@pytest.mark.parametrize("name", ["node_vector_sums", "stacked_propagation"])
+@pytest.mark.parametrize("name", ["node_vector_sums", "node_vectors", "stacked_propagation"])
 def test_windows_are_assembled_after_the_last_exchange(spark, sf_dir, name):
     """Hits are exchanged once, by ranges of windows; what is made of the windows comes from that task alone."""
     plan = plan_of(QUERIES[name](spark, sf_dir))
