@@ -204,3 +204,19 @@ def test_saved_windows_are_pruned_by_their_partition(spark, tmp_path):
     part = rows.filter("window_range = 2")
     assert re.search(r"PartitionFilters: \[[^]]*window_range", plan_of(part)) and settings == {"a": "1"}
     assert sorted(r["window_id"] for r in part.collect()) == list(range(50, 75))
+
+
+def test_a_range_of_saved_windows_has_one_file(spark, sf_dir, tmp_path, monkeypatch):
+    """However many tasks there are: files would be tasks x ranges else."""
+    from hitwatch.plans import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda spark, label: f"file://{tmp_path}/{label}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plan = plan_of(queries.QUERIES["saved_windows"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = list((tmp_path / "saved" / "windows").glob("window_range=*"))
+    assert ranges and all(len(list(r.glob("*.parquet"))) == 1 for r in ranges)
+    # metadata come before the bins become rows
+    assert not re.search("Exchange|Join", plan.partition("posexplode")[0])
