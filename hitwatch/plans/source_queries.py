@@ -80,10 +80,10 @@ def event_store(spark, sf_dir):
 
 
 def _sorted_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Folders of four sources of different sizes, each one Parquet file of events sorted by their number."""
+    """Folders of four sources of different sizes, each one Parquet file of events sorted by their number, with small row groups."""
     path = scratch(spark, "sources")
     rows = fx.events(spark, sf_dir).select("run", "evt", F.least(F.col("evt") % 7, F.lit(3)).alias("file"))
-    rows.repartition("file").sortWithinPartitions("file", "evt").write.partitionBy("file").parquet(path)
+    rows.repartition("file").sortWithinPartitions("file", "evt").write.option("parquet.block.size", 1 << 20).partitionBy("file").parquet(path)
     return [f"{path}/file={i}" for i in range(4)]
 
 
@@ -98,10 +98,11 @@ def event_batches_over_files(spark, sf_dir):
 
 @query(f"{_NUMBERED} SELECT run, evt, i // 4096 AS batch, i % 4096 AS place, i // 4096 AS arrival FROM e")
 def event_batch_stream(spark, sf_dir):
-    """The same events as a stream that admits 4,096 a micro-batch."""
+    """The same events by streams that admit 4,096 a micro-batch, each a stretch of the batches."""
     paths, folder = _sorted_files(spark, sf_dir), scratch(spark, "arrivals")
     schema = spark.read.parquet(paths[0]).schema
-    return event_batches.to_table(event_batches.read_batches(spark, paths, schema, 4096), f"{folder}/rows", f"{folder}/checkpoint")
+    streams = min(8, spark.sparkContext.defaultParallelism)
+    return event_batches.side_by_side(spark, paths, schema, 4096, f"{folder}/rows", f"{folder}/checkpoint", streams)
 
 
 _STORE_LAYOUT = Layout(20, 20, 4, 4)

@@ -67,26 +67,30 @@ class Slice(InputPartition):
 
 
 class EventReader(DataSourceStreamReader):
-    """Offsets are (file, row): what comes next. Each call for the newest offset admits ``size`` events more, until the files end."""
+    """Offsets are (file, row): what comes next. Each call for the newest offset admits ``size`` events more, until the files or batch ``last`` end."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.size = schema, int(options["size"])
         self.paths, self.rows = json.loads(options["paths"]), json.loads(options["rows"])
         self.firsts = [0, *accumulate(self.rows)]
+        self.first, self.end = int(options.get("first", 0)) * self.size, min(int(options.get("last", self.firsts[-1])) * self.size, self.firsts[-1])
         self.at = self.initialOffset()
 
     def _place(self, offset: dict) -> int:
         return self.firsts[offset["file"]] + offset["row"]
 
+    def _offset(self, place: int, file: int = 0) -> dict:
+        """Offset of a place that lies in no file before ``file``."""
+        while file < len(self.paths) and place >= self.firsts[file + 1]:
+            file += 1
+        return {"file": file, "row": place - self.firsts[file]}
+
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"file": 0, "row": 0}
+        return self._offset(self.first) if self.first else {"file": 0, "row": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        place = min(self._place(self.at) + self.size, self.firsts[-1])
-        file = self.at["file"]
-        while file < len(self.paths) and place >= self.firsts[file + 1]:
-            file += 1
-        self.at = {"file": file, "row": place - self.firsts[file]}
+        at = self._place(self.at)
+        self.at = self._offset(max(at, min(at + self.size, self.end)), self.at["file"])
         return self.at
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -136,16 +140,24 @@ def read_batches(spark: SparkSession, paths: Sequence[str], schema: StructType,
     """A stream of the events of Parquet files in which every micro-batch has exactly ``size`` events, the last one what is left.
 
     ``batch`` and ``place`` are added to ``schema``. A query that is started again goes on from its checkpoint; files may have been added to the end of
-    the list since. The driver holds the list of files and their sizes, executors read the rows, each task a slice of one file. Paths must be
-    ones that Arrow's file systems know (local, HDFS, S3, GCS).
+    the list since. The driver holds the list of files and their sizes, executors read the rows, each task a slice of one file. A slice costs the row groups that
+    it lies in, which should be small for small batches. Paths must be ones that Arrow's file systems know (local, HDFS, S3, GCS).
     """
+    return _stream(spark, _listed(spark, paths), schema, size)
+
+
+def _listed(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int]]:
+    """The files and their numbers of rows, as many as there are files."""
+    return [(r["path"], r["rows"]) for r in file_sizes(spark, paths).orderBy("ord", "path").collect()]
+
+
+def _stream(spark: SparkSession, files: Sequence[tuple[str, int]], schema: StructType, size: int, **stretch: int) -> DataFrame:
     if size < 1:
         raise ValueError("a batch has at least one event")
     spark.dataSource.register(EventBatchSource)
-    files = [(r["path"], r["rows"]) for r in file_sizes(spark, paths).orderBy("ord", "path").collect()]  # as many as there are files
     whole = StructType([*schema.fields, StructField("batch", LongType()), StructField("place", LongType())])
     reader = spark.readStream.format("event_batches").schema(whole).option("paths", json.dumps([p for p, _ in files])).option("rows", json.dumps([n for _, n in files]))
-    return reader.option("size", size).load()
+    return reader.options(size=size, **stretch).load()
 
 
 def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -157,14 +169,43 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
         query.stop()
 
 
+def _save(folder: str, first: int = 0) -> Callable[[DataFrame, int], None]:
+    def save(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/arrival={first + number}"
+        discard(batch.sparkSession, path)
+        batch.write.parquet(path)
+
+    return save
+
+
+def _arrived(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("arrival", LongType())])).parquet(folder)
+
+
 def to_table(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """All events of a stream with the micro-batch (``arrival``) in which they came; a batch that comes again replaces its rows."""
-    spark = stream.sparkSession
+    run_batches(stream, _save(folder), checkpoint)
+    return _arrived(stream.sparkSession, stream.schema, folder)
 
-    def save(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/arrival={number}"
-        discard(spark, path)
-        batch.write.parquet(path)
 
-    run_batches(stream, save, checkpoint)
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("arrival", LongType())])).parquet(folder)
+def side_by_side(spark: SparkSession, paths: Sequence[str], schema: StructType, size: int, folder: str, checkpoint: str, streams: int) -> DataFrame:
+    """``to_table`` of ``read_batches`` by several streams at a time, each of which admits a stretch of the batches, one a micro-batch.
+
+    A stream's micro-batches come one after the other, so one stream takes no less time on more machines. ``arrival`` counts on from the stretch's first
+    batch. When it is started again the same ``streams`` and files must be given, as each stretch has a checkpoint of its own.
+    """
+    files = _listed(spark, paths)
+    n = -(-sum(rows for _, rows in files) // size)
+    streams = max(1, min(streams, n))
+    queries, last = [], 0
+    try:
+        for i in range(streams):
+            first, last = last, n * (i + 1) // streams
+            made = _stream(spark, files, schema, size, first=first, last=last)
+            queries.append(made.writeStream.foreachBatch(_save(folder, first)).option("checkpointLocation", f"{checkpoint}/{i}").start())
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    return _arrived(spark, made.schema, folder)

@@ -220,3 +220,29 @@ def test_a_range_of_saved_windows_has_one_file(spark, sf_dir, tmp_path, monkeypa
     assert ranges and all(len(list(r.glob("*.parquet"))) == 1 for r in ranges)
     # metadata come before the bins become rows
     assert not re.search("Exchange|Join", plan.partition("posexplode")[0])
+
+
+@pytest.mark.parametrize("streams", [1, 2, 9])
+def test_streams_side_by_side_admit_the_same_batches(spark, sources, tmp_path, streams):
+    """Each micro-batch of each stream has exactly ``size`` events; those that were done do not come again."""
+    schema = spark.read.parquet(sources[0]).schema
+    for _ in range(2):
+        got = event_batches.side_by_side(spark, sources, schema, 5, f"{tmp_path}/rows", f"{tmp_path}/cp", streams)
+    assert sorted(map(tuple, got.select("evt", "x", "batch", "place", "arrival").collect())) == [(i, 2 * i, i // 5, i % 5, i // 5) for i in range(24)]
+    commits = [len([f for f in c.iterdir() if f.name.isdigit()]) for c in tmp_path.glob("cp/*/commits")]
+    assert len(commits) == min(streams, 5) and sum(commits) == 5 and max(commits) - min(commits) <= 1
+
+
+def test_streamed_events_lie_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A micro-batch reads its row groups whole: with a file in one group, each of them would read the file."""
+    import pyarrow.parquet as pq
+
+    from hitwatch.plans import fixtures, source_queries
+
+    events = spark.range(400_000).select(F.lit(1).alias("run"), (F.col("id") * 7).alias("evt"))
+    monkeypatch.setattr(fixtures, "events", lambda spark, sf_dir: events)
+    monkeypatch.setattr(source_queries, "scratch", lambda spark, label: f"file://{tmp_path}/{label}")
+    source_queries._sorted_files(spark, "")
+    (file,) = (tmp_path / "sources" / "file=0").glob("*.parquet")
+    kept = pq.ParquetFile(file).metadata
+    assert kept.num_rows == 400_000 and max(kept.row_group(i).num_rows for i in range(kept.num_row_groups)) < 300_000
